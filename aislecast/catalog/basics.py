@@ -142,14 +142,14 @@ def feature_chain(f: Frames) -> DataFrame:
     return rounded(f.prepared)
 
 
-_NUMERIC = [
+NUMERIC = [
     "store", "day_of_week", "sales", "customers", "open", "promo", "school_holiday",
     "competition_distance", "competition_open_since_month", "competition_open_since_year", "promo2",
     "promo2_since_week", "promo2_since_year", "is_promo",
 ]
 
 
-@query("numeric_columns", sql("clean", f"SELECT {', '.join(_NUMERIC)} FROM clean"))
+@query("numeric_columns", sql("clean", f"SELECT {', '.join(NUMERIC)} FROM clean"))
 def numeric_columns(f: Frames) -> DataFrame:
     return columns.numeric_columns(f.clean)
 
@@ -454,9 +454,7 @@ def cyclic_encoding(f: Frames) -> DataFrame:
 def robust_scale(f: Frames) -> DataFrame:
     kept = f.training.select("store", "date", *prepare.ROBUST)
     parameters = scaling.robust_parameters(kept, prepare.ROBUST)
-    for name in prepare.ROBUST:
-        kept = scaling.scale_column(kept, name, parameters)
-    return rounded(kept)
+    return rounded(scaling.scale_columns(kept, parameters))
 
 
 @query(
@@ -472,9 +470,7 @@ def robust_scale(f: Frames) -> DataFrame:
 def minmax_scale(f: Frames) -> DataFrame:
     kept = f.training.select("store", "date", *prepare.MINMAX)
     parameters = scaling.minmax_parameters(kept, prepare.MINMAX)
-    for name in prepare.MINMAX:
-        kept = scaling.scale_column(kept, name, parameters)
-    return rounded(kept)
+    return rounded(scaling.scale_columns(kept, parameters))
 
 
 @query(

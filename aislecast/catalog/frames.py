@@ -11,15 +11,9 @@ from pyspark.sql import functions as F
 from ..operators.joins import attach_store
 from ..operators.rows import holdout_start, split_by_date
 from ..plans import models
-from ..plans.prepare import add_features, clean, model_rows, parameter_table, prepare, training_rows
+from ..plans.prepare import add_features, clean, fit_parameters, model_rows, prepare, training_rows
 from ..schemas import JOINED_COLUMNS
-from ..sources.panel import (
-    future_panel,
-    panel_last_date,
-    sales_panel,
-    selling_stores,
-    store_panel,
-)
+from ..sources import panel
 from ..sources.parameters import Parameters
 
 
@@ -29,62 +23,66 @@ class Frames:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @property
+    @cached_property
+    def line(self) -> DataFrame:
+        return panel.lines(self.spark, self.sf_dir)
+
+    @cached_property
     def sales(self) -> DataFrame:
-        return sales_panel(self.spark, self.sf_dir)
+        return panel.sales_panel(self.line)
 
-    @property
+    @cached_property
     def store(self) -> DataFrame:
-        return store_panel(self.spark, self.sf_dir)
+        return panel.store_panel(panel.suppliers(self.spark, self.sf_dir))
 
-    @property
+    @cached_property
     def future(self) -> DataFrame:
-        return future_panel(self.spark, self.sf_dir, self.cutoff)
+        return panel.future_panel(self.sales, self.cutoff)
 
-    @property
+    @cached_property
     def joined(self) -> DataFrame:
         return attach_store(self.sales, self.store)
 
-    @property
+    @cached_property
     def raw(self) -> DataFrame:
         return self.joined.toDF(*JOINED_COLUMNS)
 
-    @property
+    @cached_property
     def distance_fill(self) -> DataFrame:
         """One row: 10 x the largest distance of a store that has sales."""
-        rivals = selling_stores(self.spark, self.sf_dir)
+        rivals = panel.selling_stores(self.line, self.store)
         return rivals.agg((F.max("CompetitionDistance") * 10).alias("value"))
 
-    @property
+    @cached_property
     def clean(self) -> DataFrame:
         fill: Column = self.distance_fill.scalar()
         return clean(self.raw, fill)
 
-    @property
+    @cached_property
     def features(self) -> DataFrame:
         return add_features(self.clean)
 
-    @property
+    @cached_property
     def training(self) -> DataFrame:
         return training_rows(self.features)
 
     @cached_property
     def last(self) -> dt.date:
-        return panel_last_date(self.spark, self.sf_dir)
+        return panel.panel_last_date(self.line)
 
     @property
     def cutoff(self) -> dt.date:
         return holdout_start(self.last)
 
-    @property
+    @cached_property
     def parameter_table(self) -> DataFrame:
-        return parameter_table(self.training, self.distance_fill)
+        return fit_parameters(self.training, self.distance_fill)
 
     @cached_property
     def parameters(self) -> Parameters:
         return Parameters.from_table(self.parameter_table)
 
-    @property
+    @cached_property
     def prepared(self) -> DataFrame:
         return model_rows(prepare(self.training, self.parameters))
 

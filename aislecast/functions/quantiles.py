@@ -26,12 +26,18 @@ def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
 
 
 def exact_quantiles(
-    counts: DataFrame, groups: Sequence[str], probs: Sequence[float], slices: int = SLICES
+    counts: DataFrame,
+    groups: Sequence[str],
+    probs: Sequence[float],
+    slices: int = SLICES,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value_counts`` output.
 
     Returns ``groups`` plus ``total`` (rows) and ``q``, an array in the order of
-    ``probs``. Equal to NumPy's default method.
+    ``probs``. Equal to NumPy's default method. ``few_groups`` says that the
+    groups are column names, at most one per column of a table: the one-row-per-
+    group frames are then broadcast. Otherwise Spark picks the join by size.
     """
     groups = list(groups)
     cuts = [i / slices for i in range(1, slices)]
@@ -41,7 +47,7 @@ def exact_quantiles(
         F.sum("n").alias("total"),
     )
     below_value = F.size(F.filter("borders", lambda b: b < F.col("x")))
-    sliced = _attach(counts, borders, groups).withColumn("slice", below_value)
+    sliced = _attach(counts, borders, groups, few_groups).withColumn("slice", below_value)
 
     # One row per group: an array of (slice, rows in it), at most `slices` long.
     sizes = sliced.groupBy(*groups, "slice").agg(F.sum("n").alias("rows"))
@@ -54,12 +60,12 @@ def exact_quantiles(
     for rank in wanted["all"]:
         holds_rank = holds_rank | ((F.col("start") <= rank) & (rank < F.col("end")))
     totals = borders.select(*groups, "total")
-    targets = _attach(sizes, totals, groups).where(holds_rank).select(*groups, "slice", "start")
+    targets = _attach(sizes, totals, groups, few_groups).where(holds_rank).select(*groups, "slice", "start")
 
     inside = Window.partitionBy(*groups, "slice").orderBy("x")
     keys = [*groups, "slice"]
     ranked = (
-        sliced.join(targets, keys)
+        sliced.join(F.broadcast(targets) if few_groups or not groups else targets, keys)
         .withColumn("end", F.col("start") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
     )
@@ -81,10 +87,11 @@ def quantiles(
     probs: Sequence[float],
     approx: bool = False,
     accuracy: int = 10000,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Quantiles of ``value`` per group, exact by default or from Spark's sketch."""
     if not approx:
-        return exact_quantiles(value_counts(df, groups, value), groups, probs)
+        return exact_quantiles(value_counts(df, groups, value), groups, probs, few_groups=few_groups)
     x = F.col(value).cast("double")
     return df.groupBy(*groups).agg(
         F.count(x).alias("total"),
@@ -105,9 +112,9 @@ def _ranks(probs: Sequence[float]) -> dict[str, list]:
     }
 
 
-def _attach(rows: DataFrame, per_group: DataFrame, groups: list[str]) -> DataFrame:
+def _attach(rows: DataFrame, per_group: DataFrame, groups: list[str], few: bool) -> DataFrame:
     """Join a one-row-per-group frame; with no groups it is a single row."""
     if groups:
-        return rows.join(per_group, groups)
+        return rows.join(F.broadcast(per_group) if few else per_group, groups)
     one = per_group.select(F.struct("*").alias("s")).scalar()
     return rows.withColumns({name: one[name] for name in per_group.columns})

@@ -36,6 +36,12 @@ def text_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def long_values(df: DataFrame, columns: Sequence[str], name: str = "attribute") -> DataFrame:
+    """``(name, value)`` rows of the given columns as doubles."""
+    doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
+    return doubles.unpivot([], list(columns), name, "value")
+
+
 def numeric_columns(df: DataFrame) -> DataFrame:
     return df.select(*numeric_names(df))
 

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encode import assortment_rank, cycle, lookup
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import exact_quantiles, quantiles, value_counts
 from ..schemas import CYCLES, TARGET
 from ..session import durable
+from .columns import long_values
+
+QUARTILES = [0.25, 0.5, 0.75]
 
 # A literal map or one column per level is for metadata-sized sets of levels.
 MAX_LITERAL_LEVELS = 1000
@@ -18,10 +21,18 @@ MAX_LITERAL_LEVELS = 1000
 
 def robust_parameters(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """``(feature, center, scale)``: median and interquartile range."""
-    long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
-    )
-    q = quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75], approx=approx)
+    long = long_values(df, columns, "feature")
+    if not approx:
+        return robust_from_counts(value_counts(long, ["feature"], "value"))
+    return _median_and_range(quantiles(long, ["feature"], "value", QUARTILES, approx=True))
+
+
+def robust_from_counts(counts: DataFrame) -> DataFrame:
+    """The same from ``(feature, x, n)`` value counts."""
+    return _median_and_range(exact_quantiles(counts, ["feature"], QUARTILES, few_groups=True))
+
+
+def _median_and_range(q: DataFrame) -> DataFrame:
     return q.select(
         "feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale")
     )
@@ -29,17 +40,14 @@ def robust_parameters(df: DataFrame, columns: Sequence[str], approx: bool = Fals
 
 def minmax_parameters(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, center, scale)``: minimum and range."""
-    row = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.min(c).cast("double").alias("center"),
-                (F.max(c) - F.min(c)).cast("double").alias("scale"),
-            ).alias(c)
-            for c in columns
-        ]
+    return minmax_from_counts(long_values(df, columns, "feature").withColumnRenamed("value", "x"))
+
+
+def minmax_from_counts(counts: DataFrame) -> DataFrame:
+    """The same from ``(feature, x)`` rows, repeated values or not."""
+    return counts.groupBy("feature").agg(
+        F.min("x").alias("center"), (F.max("x") - F.min("x")).alias("scale")
     )
-    return row.select(F.inline(F.array(*columns)))
 
 
 def scaled(value: Column, center: Column | float, scale: Column | float) -> Column:
@@ -49,11 +57,16 @@ def scaled(value: Column, center: Column | float, scale: Column | float) -> Colu
     return (value - center) / F.coalesce(F.nullif(scale, F.lit(0.0)), F.lit(1.0))
 
 
-def scale_column(df: DataFrame, column: str, parameters: DataFrame) -> DataFrame:
-    """Scale with the column's row of ``parameters``, read as a scalar subquery."""
-    row = parameters.where(F.col("feature") == column).select(F.struct("center", "scale").alias("p"))
-    one = row.scalar()
-    return df.withColumn(column, scaled(F.col(column), one["center"], one["scale"]))
+def scale_columns(df: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Scale every column that has a row in ``parameters``.
+
+    The parameters are one row per column; they are read here and become
+    literals, so applying them needs no join.
+    """
+    fitted = {r["feature"]: (r["center"], r["scale"]) for r in parameters.collect()}
+    return df.withColumns(
+        {name: scaled(F.col(name).cast("double"), *pair) for name, pair in fitted.items()}
+    )
 
 
 def unscaled(value: Column, center: float, scale: float) -> Column:

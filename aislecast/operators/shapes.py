@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, value_counts
-from .columns import numeric_names
+from .columns import long_values, numeric_names
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 25) -> DataFrame:
@@ -17,33 +17,19 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
     Returns ``(attribute, bin, lower, upper, n)``; empty bins have ``n = 0``.
     """
     names = list(columns or numeric_names(df))
-    doubles = df.select([F.col(c).cast("double").alias(c) for c in names])
-    limits = doubles.agg(
-        *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in names]
+    counts = value_counts(long_values(df, names), ["attribute"], "value")
+    limits = counts.groupBy("attribute").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    limits = limits.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+
+    # One row per column of the table: safe to broadcast. A constant column has
+    # no width: all its rows are in the first bin.
+    spot = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("width"))), F.lit(0))
+    placed = counts.join(F.broadcast(limits), "attribute").withColumn(
+        "bin", F.least(spot, F.lit(bins - 1)).cast("int")
     )
-    one = limits.select(F.struct("*").alias("s")).scalar()
-
-    def bin_of(c: str):
-        lo, hi = one[c]["lo"], one[c]["hi"]
-        spot = F.floor(F.try_divide(F.col(c) - lo, (hi - lo) / bins))
-        # A constant column has no width: all its rows are in the first bin.
-        number = F.when(hi > lo, F.least(spot, F.lit(bins - 1))).when(F.col(c).isNotNull(), 0)
-        return number.cast("int").alias(c)
-
-    binned = doubles.select([bin_of(c) for c in names]).unpivot([], names, "attribute", "bin")
-    counts = binned.where(F.col("bin").isNotNull()).groupBy("attribute", "bin").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # The frame of all bins: one row per column, spread over the bin numbers.
-    frame = limits.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).alias("s")) for c in names]))
-    ).select(
-        "attribute",
-        F.col("s.lo").alias("lo"),
-        ((F.col("s.hi") - F.col("s.lo")) / bins).alias("width"),
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"),
-    )
-    return frame.join(counts, ["attribute", "bin"], "left").select(
+    filled = placed.groupBy("attribute", "bin").agg(F.sum("n").alias("n"))
+    every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every.join(filled, ["attribute", "bin"], "left").select(
         "attribute",
         "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("lower"),

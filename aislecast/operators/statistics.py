@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantiles
-from .columns import numeric_names
-
-
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(attribute, value)`` rows of the given columns as doubles."""
-    doubles = df.select([F.col(c).cast("double").alias(c) for c in columns])
-    return doubles.unpivot([], list(columns), "attribute", "value")
+from ..functions.quantiles import exact_quantiles, quantiles, value_counts
+from ..session import held
+from .columns import long_values, numeric_names
 
 
 def describe_numeric(
@@ -23,59 +22,107 @@ def describe_numeric(
 ) -> DataFrame:
     """Min, max, range, mean, median, population std, skew and kurtosis per column.
 
-    Skew and (excess) kurtosis are bias-corrected.
+    Skew and (excess) kurtosis are bias-corrected. The table is read once, into
+    counts of distinct values per column; the moments are taken around the mean
+    from those counts, and so are the exact medians.
     """
-    long = _long(df, columns or numeric_names(df))
-    x = F.col("value")
-    moments = long.groupBy("attribute").agg(
-        F.count(x).alias("n"),
+    names = list(columns or numeric_names(df))
+    counts = value_counts(long_values(df, names), ["attribute"], "value")
+    x, n = F.col("x"), F.col("n")
+    sums = counts.groupBy("attribute").agg(
+        F.sum(n).cast("double").alias("total"),
+        (F.sum(n * x) / F.sum(n)).alias("mean"),
         F.min(x).alias("min"),
         F.max(x).alias("max"),
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"),
-        F.skewness(x).alias("g1"),
-        F.kurtosis(x).alias("g2"),
     )
-    medians = quantiles(long, ["attribute"], "value", [0.5], approx=approx_median)
-    n = F.col("n").cast("double")
-    skew = F.try_divide(F.col("g1") * F.sqrt(n * (n - 1)), n - 2)
-    kurtosis = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6)
-    return moments.join(medians.select("attribute", F.col("q")[0].alias("median")), "attribute").select(
+    # One row per column of the table: safe to broadcast.
+    gap = x - F.col("mean")
+    around = counts.join(F.broadcast(sums), "attribute").groupBy(
+        "attribute", "total", "mean", "min", "max"
+    )
+    moments = around.agg(
+        *[(F.sum(n * F.pow(gap, F.lit(p))) / F.col("total")).alias(f"m{int(p)}") for p in (2.0, 3.0, 4.0)]
+    )
+    if approx_median:
+        medians = quantiles(long_values(df, names), ["attribute"], "value", [0.5], approx=True)
+    else:
+        medians = exact_quantiles(counts, ["attribute"], [0.5], few_groups=True)
+    medians = F.broadcast(medians.select("attribute", F.col("q")[0].alias("median")))
+
+    total, m2 = F.col("total"), F.col("m2")
+    g1 = F.try_divide(F.col("m3"), F.pow(m2, F.lit(1.5)))
+    g2 = F.try_divide(F.col("m4"), m2 * m2) - 3
+    skew = F.try_divide(g1 * F.sqrt(total * (total - 1)), total - 2)
+    kurtosis = F.try_divide(total - 1, (total - 2) * (total - 3)) * ((total + 1) * g2 + 6)
+    return moments.join(medians, "attribute").select(
         "attribute",
         "min",
         "max",
         (F.col("max") - F.col("min")).alias("range"),
         "mean",
         "median",
-        "std",
-        F.when(n > 2, skew).alias("skew"),
-        F.when(n > 3, kurtosis).alias("kurtosis"),
+        F.sqrt(m2).alias("std"),
+        F.when(total > 2, skew).alias("skew"),
+        F.when(total > 3, kurtosis).alias("kurtosis"),
     )
 
 
+# More pairs than this are computed as one matrix instead of as single aggregates.
+MAX_PAIR_AGGREGATES = 15
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair as ``(col_a, col_b, r)``.
 
-    All pairs are aggregates of one pass; only the upper triangle is computed
-    and mirrored on the single result row.
+    Few columns are pairwise aggregates. Many columns are one distributed
+    covariance matrix; its size is the square of the number of columns. Rows
+    with a missing value count for the pairs they are complete in, so a table
+    with missing values is always done pair by pair.
     """
     names = list(columns or numeric_names(df))
     doubles = df.select([F.col(c).cast("double").alias(c) for c in names])
+    if len(names) * (len(names) - 1) // 2 <= MAX_PAIR_AGGREGATES:
+        return _corr_pairs(doubles, list(combinations(names, 2)), names)
+    with held(doubles) as kept:
+        gaps = kept.where(" OR ".join(f"`{n}` IS NULL" for n in names))
+        if not gaps.isEmpty():
+            return _corr_in_batches(doubles, names)
+        rows = VectorAssembler(inputCols=names, outputCol="v").transform(kept).select("v")
+        matrix = Correlation.corr(rows, "v").first()[0].toArray()
+    cells = [
+        (a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+    ]
+    cells = [(a, b, 1.0 if a == b and r is not None else r) for a, b, r in cells]
+    return df.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
+
+
+def _corr_in_batches(doubles: DataFrame, names: list[str]) -> DataFrame:
     pairs = list(combinations(names, 2))
-    sums = [F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
-    spreads = [F.stddev_pop(a).alias(f"{a}|{a}") for a in names]
-    row = doubles.agg(*sums, *spreads)
+    parts = [
+        _corr_pairs(doubles, pairs[i : i + MAX_PAIR_AGGREGATES], names if i == 0 else [])
+        for i in range(0, len(pairs), MAX_PAIR_AGGREGATES)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _corr_pairs(
+    doubles: DataFrame, pairs: Sequence[tuple[str, str]], diagonal: Sequence[str]
+) -> DataFrame:
+    """Both triangles of the given pairs from one aggregate row."""
+    sums = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    spreads = [F.stddev_pop(a).alias(f"s{i}") for i, a in enumerate(diagonal)]
 
     def cell(a: str, b: str, r: Column) -> Column:
         return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r"))
 
     cells = []
-    for a, b in pairs:
-        r = F.col(f"`{a}|{b}`")
-        cells += [cell(a, b, r), cell(b, a, r)]
-    for a in names:
-        cells.append(cell(a, a, F.when(F.col(f"`{a}|{a}`") > 0, F.lit(1.0))))
-    return row.select(F.inline(F.array(*cells)))
+    for i, (a, b) in enumerate(pairs):
+        cells += [cell(a, b, F.col(f"r{i}")), cell(b, a, F.col(f"r{i}"))]
+    for i, a in enumerate(diagonal):
+        cells.append(cell(a, a, F.when(F.col(f"s{i}") > 0, F.lit(1.0))))
+    return doubles.agg(*sums, *spreads).select(F.inline(F.array(*cells)))
 
 
 def corr_with(totals: DataFrame, x: str = "key", y: str = "sales") -> DataFrame:

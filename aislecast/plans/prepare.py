@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -25,6 +25,7 @@ from ..operators.columns import cast_integers, parse_dates, rename_snake
 from ..operators.nulls import fill, fill_from_date
 from ..operators.rows import open_rows, open_with_sales
 from ..schemas import JOINED_COLUMNS, MONTH_NAMES, SERVING_DISTANCE, TARGET
+from ..session import held
 from ..sources.parameters import COLUMNS, Parameters
 
 ROBUST = ["competition_distance", "competition_time_month"]
@@ -85,44 +86,78 @@ def scoring_rows(df: DataFrame) -> DataFrame:
     return open_rows(df).drop("open", "promo_interval", "month_map")
 
 
-def parameter_table(
-    training: DataFrame, distance_fill: DataFrame | None = None, approx: bool = False
-) -> DataFrame:
+def fit_parameters(training: DataFrame, distance_fill: DataFrame | None = None) -> DataFrame:
     """Fit every scaler and encoder: ``(feature, method, name, value)``.
 
     ``training`` holds ``training_rows``; ``distance_fill`` is a one-row frame
-    ``(value)`` kept along with the scalers for filling new records.
+    ``(value)`` kept along with the scalers for filling new records. The table
+    is read once, into counts of distinct values; quantiles, ranges and levels
+    are taken from those counts.
     """
-
-    def rows(fitted: DataFrame, method: str) -> DataFrame:
-        long = fitted.unpivot("feature", ["center", "scale"], "name", "value")
-        return long.select("feature", F.lit(method).alias("method"), "name", "value")
-
-    robust = rows(scaling.robust_parameters(training, ROBUST, approx), "robust")
-    minmax = rows(scaling.minmax_parameters(training, MINMAX), "minmax")
-    parts = [robust, minmax, _level_rows(training)]
-    if distance_fill is not None:
-        parts.append(
-            distance_fill.select(
-                F.lit("competition_distance").alias("feature"),
-                F.lit("fill").alias("method"),
-                F.lit("value").alias("name"),
-                F.col("value").cast("double").alias("value"),
+    with held(_feature_counts(training)) as counts:
+        numbers = counts.where(F.col("x").isNotNull()).select("feature", "x", "n")
+        parts = [
+            _scale_rows(scaling.robust_from_counts(numbers.where(F.col("feature").isin(ROBUST))), "robust"),
+            _scale_rows(scaling.minmax_from_counts(numbers.where(F.col("feature").isin(MINMAX))), "minmax"),
+            counts.where(F.col("level").isNotNull())
+            .select("feature", F.lit("level").alias("method"), F.col("level").alias("name"))
+            .withColumn("value", F.lit(0.0))
+            .limit(2 * scaling.MAX_LITERAL_LEVELS + 1),
+        ]
+        if distance_fill is not None:
+            parts.append(
+                distance_fill.select(
+                    F.lit("competition_distance").alias("feature"),
+                    F.lit("fill").alias("method"),
+                    F.lit("value").alias("name"),
+                    F.col("value").cast("double").alias("value"),
+                )
             )
+        rows = reduce(DataFrame.unionByName, parts).collect()
+    return training.sparkSession.createDataFrame(_with_codes(rows), COLUMNS)
+
+
+def _feature_counts(training: DataFrame) -> DataFrame:
+    """``(feature, x, level, n)``: distinct numbers or levels of every fitted column."""
+    cells = [
+        F.struct(
+            F.lit(name).alias("feature"),
+            F.col(name).cast("double").alias("x"),
+            F.lit(None).cast("string").alias("level"),
+        )
+        for name in ROBUST + MINMAX
+    ]
+    cells += [
+        F.struct(
+            F.lit(name).alias("feature"),
+            F.lit(None).cast("double").alias("x"),
+            F.col(name).alias("level"),
         )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _level_rows(training: DataFrame) -> DataFrame:
-    """Sorted levels of both encoders from one pass over their joint values."""
-    both = training.select(LABELLED, ONE_HOT).distinct()
-    parts = []
-    for column in (LABELLED, ONE_HOT):
-        levels = scaling.few_levels(both, column)
-        if levels is None:
-            raise ValueError(f"{column} has more than {scaling.MAX_LITERAL_LEVELS} levels")
-        parts += [(column, "level", level, float(i)) for i, level in enumerate(levels)]
-    return training.sparkSession.createDataFrame(parts, COLUMNS)
+        for name in (LABELLED, ONE_HOT)
+    ]
+    long = training.select(F.inline(F.array(*cells)))
+    return long.groupBy("feature", "x", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _scale_rows(fitted: DataFrame, method: str) -> DataFrame:
+    long = fitted.unpivot("feature", ["center", "scale"], "name", "value")
+    return long.select("feature", F.lit(method).alias("method"), "name", "value")
+
+
+def _with_codes(rows: list[Row]) -> list[tuple]:
+    """Number the sorted levels of each encoder."""
+    levels: dict[str, list[str]] = {LABELLED: [], ONE_HOT: []}
+    out = []
+    for feature, method, name, value in rows:
+        if method == "level":
+            levels[feature].append(name)
+        else:
+            out.append((feature, method, name, value))
+    for feature, names in levels.items():
+        if len(names) > scaling.MAX_LITERAL_LEVELS:
+            raise ValueError(f"{feature} has more than {scaling.MAX_LITERAL_LEVELS} levels")
+        out += [(feature, "level", name, float(i)) for i, name in enumerate(sorted(names))]
+    return out
 
 
 def prepare(df: DataFrame, parameters: Parameters) -> DataFrame:

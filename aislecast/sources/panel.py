@@ -10,100 +10,92 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rows import holdout_start
-from ..schemas import FUTURE, SALES, STORE
 
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
-def store_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    key = F.col("s_suppkey")
-    promo2 = (key % 2).cast("int")
-    has_rival_date = key % 3 != 1
-    months = (
-        F.when(key % 3 == 0, "Jan,Apr,Jul,Oct")
-        .when(key % 3 == 1, "Feb,May,Aug,Nov")
-        .otherwise("Mar,Jun,Sept,Dec")
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+
+
+def store_panel(supplier: DataFrame) -> DataFrame:
+    """One row per store."""
+    return supplier.selectExpr(
+        "s_suppkey AS Store",
+        "substring('abcd', s_nationkey % 4 + 1, 1) AS StoreType",
+        "substring('abc', CAST(s_suppkey % 3 + 1 AS INT), 1) AS Assortment",
+        "IF(s_suppkey % 10 = 3, NULL, CAST(floor((s_acctbal + 1000) / 4) * 10 AS DOUBLE))"
+        " AS CompetitionDistance",
+        "IF(s_suppkey % 3 = 1, NULL, CAST(s_suppkey % 12 + 1 AS DOUBLE))"
+        " AS CompetitionOpenSinceMonth",
+        "IF(s_suppkey % 3 = 1, NULL, CAST(1990 + s_suppkey % 12 AS DOUBLE))"
+        " AS CompetitionOpenSinceYear",
+        "CAST(s_suppkey % 2 AS INT) AS Promo2",
+        "IF(s_suppkey % 2 = 1, CAST(s_suppkey % 52 + 1 AS DOUBLE), NULL) AS Promo2SinceWeek",
+        "IF(s_suppkey % 2 = 1, CAST(1995 + s_suppkey % 6 AS DOUBLE), NULL) AS Promo2SinceYear",
+        "IF(s_suppkey % 2 = 1, element_at(array('Jan,Apr,Jul,Oct', 'Feb,May,Aug,Nov',"
+        " 'Mar,Jun,Sept,Dec'), CAST(s_suppkey % 3 + 1 AS INT)), NULL) AS PromoInterval",
     )
-    return s.select(
-        key.alias("Store"),
-        F.substring(F.lit("abcd"), (F.col("s_nationkey") % 4 + 1).cast("int"), F.lit(1)).alias("StoreType"),
-        F.substring(F.lit("abc"), (key % 3 + 1).cast("int"), F.lit(1)).alias("Assortment"),
-        F.when(key % 10 != 3, F.floor((F.col("s_acctbal") + 1000) / 4).cast("double") * 10).alias(
-            "CompetitionDistance"
-        ),
-        F.when(has_rival_date, (key % 12 + 1).cast("double")).alias("CompetitionOpenSinceMonth"),
-        F.when(has_rival_date, (1990 + key % 12).cast("double")).alias("CompetitionOpenSinceYear"),
-        promo2.alias("Promo2"),
-        F.when(promo2 == 1, (key % 52 + 1).cast("double")).alias("Promo2SinceWeek"),
-        F.when(promo2 == 1, (1995 + key % 6).cast("double")).alias("Promo2SinceYear"),
-        F.when(promo2 == 1, months).alias("PromoInterval"),
-    ).select(*STORE.names)
-
-
-def sales_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def sales_panel(line: DataFrame) -> DataFrame:
     """One row per store and day.
 
     The distinct order count is the only two-step aggregate; Spark drops it
     from the plan wherever ``Customers`` is not used.
     """
-    lines = _lines(spark, sf_dir).select(
-        F.col("l_suppkey").alias("Store"),
-        F.col("l_shipdate").cast("date").alias("Date"),
-        "l_orderkey",
-        "l_quantity",
-        F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("long").alias("amount"),
-    )
-    days = lines.groupBy("Store", "Date").agg(
-        F.countDistinct("l_orderkey").alias("Customers"),
-        F.max("l_quantity").alias("largest"),
-        F.sum("amount").alias("amount"),
-    )
-    date = F.col("Date")
-    weekday = F.weekday(date) + 1
-    closed = F.col("largest") < 5
-    month_day = F.date_format(date, "MM-dd")
-    holiday = (
-        F.when(month_day.isin("12-25", "12-26"), "c")
-        .when(month_day.isin("04-01", "04-02"), "b")
-        .when(month_day.isin("01-01", "05-01", "10-03"), "a")
-        .otherwise("0")
+    days = (
+        line.selectExpr(
+            "l_suppkey AS Store",
+            "CAST(l_shipdate AS DATE) AS Date",
+            "l_orderkey",
+            "l_quantity",
+            "CAST(floor(l_extendedprice * (1 - l_discount)) AS BIGINT) AS amount",
+        )
+        .groupBy("Store", "Date")
+        .agg(
+            F.countDistinct("l_orderkey").alias("Customers"),
+            F.max("l_quantity").alias("largest"),
+            F.sum("amount").alias("amount"),
+        )
     )
-    return days.select(
+    return days.selectExpr(
         "Store",
-        weekday.alias("DayOfWeek"),
+        "weekday(Date) + 1 AS DayOfWeek",
         "Date",
-        F.when(closed, F.lit(0).cast("long")).otherwise(F.col("amount")).alias("Sales"),
+        "IF(largest < 5, 0L, amount) AS Sales",
         "Customers",
-        F.when(closed, 0).otherwise(1).alias("Open"),
-        F.when((weekday <= 5) & (F.weekofyear(date) % 2 == 1), 1).otherwise(0).alias("Promo"),
-        holiday.alias("StateHoliday"),
-        F.when(F.month(date).isin(7, 8), 1).otherwise(0).alias("SchoolHoliday"),
-    ).select(*SALES.names)
+        "IF(largest < 5, 0, 1) AS Open",
+        "IF(weekday(Date) < 5 AND weekofyear(Date) % 2 = 1, 1, 0) AS Promo",
+        "CASE WHEN date_format(Date, 'MM-dd') IN ('12-25', '12-26') THEN 'c'"
+        " WHEN date_format(Date, 'MM-dd') IN ('04-01', '04-02') THEN 'b'"
+        " WHEN date_format(Date, 'MM-dd') IN ('01-01', '05-01', '10-03') THEN 'a'"
+        " ELSE '0' END AS StateHoliday",
+        "IF(month(Date) IN (7, 8), 1, 0) AS SchoolHoliday",
+    )
 
 
-def panel_last_date(spark: SparkSession, sf_dir: str) -> dt.date:
+def panel_last_date(line: DataFrame) -> dt.date:
     """Latest sales date, from the one date column of the line items."""
-    return _lines(spark, sf_dir).agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+    return line.agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
 
 
-def selling_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selling_stores(line: DataFrame, store: DataFrame) -> DataFrame:
     """Store rows that occur in the sales table."""
-    keys = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("Store")).distinct()
-    return store_panel(spark, sf_dir).join(keys, "Store", "left_semi")
+    keys = line.select(F.col("l_suppkey").alias("Store")).distinct()
+    return store.join(keys, "Store", "left_semi")
 
 
-def future_panel(spark: SparkSession, sf_dir: str, cutoff: dt.date | None = None) -> DataFrame:
+def future_panel(sales: DataFrame, cutoff: dt.date) -> DataFrame:
     """Rows from the cutoff on, without sales; some stores have no open flag."""
-    cutoff = cutoff or holdout_start(panel_last_date(spark, sf_dir))
-    rows = sales_panel(spark, sf_dir).where(F.col("Date") >= F.lit(cutoff))
-    days = F.datediff(F.col("Date"), F.lit(dt.date(1995, 1, 1)))
-    return rows.withColumns(
-        {
-            "Open": F.when(F.col("Store") % 7 != 5, F.col("Open")),
-            "Id": (F.col("Store") * 100000 + days).cast("long"),
-        }
-    ).select(*FUTURE.names)
+    return sales.where(F.col("Date") >= F.lit(cutoff)).selectExpr(
+        "Store * 100000 + datediff(Date, DATE'1995-01-01') AS Id",
+        "Store",
+        "DayOfWeek",
+        "Date",
+        "IF(Store % 7 = 5, NULL, Open) AS Open",
+        "Promo",
+        "StateHoliday",
+        "SchoolHoliday",
+    )
