@@ -1,6 +1,6 @@
 """Every operator as a named query over the given tables."""
 
-from . import basics, business, statistics  # noqa: F401
+from . import basics, business, modelling, statistics  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -159,7 +159,7 @@ def numeric_columns(f: Frames) -> DataFrame:
     sql("train", "SELECT state_holiday, store_type, assortment, year_week FROM train"),
 )
 def text_columns(f: Frames) -> DataFrame:
-    return columns.text_columns(f.training)
+    return columns.text_columns(f.open_days)
 
 
 @query(
@@ -342,7 +342,7 @@ def join_sales_store(f: Frames) -> DataFrame:
     ),
 )
 def join_store_metrics(f: Frames) -> DataFrame:
-    t = f.training
+    t = f.open_days
     latest = t.groupBy("store").agg(F.max("date").alias("last_date"))
     return rounded(
         joins.join_metrics(
@@ -361,7 +361,7 @@ def join_store_metrics(f: Frames) -> DataFrame:
     ),
 )
 def join_agg_back(f: Frames) -> DataFrame:
-    kept = f.training.select("store", "date", "sales")
+    kept = f.open_days.select("store", "date", "sales")
     return rounded(joins.attach_mean(kept, "sales", "mean_sales"))
 
 
@@ -393,17 +393,17 @@ def year_week(f: Frames) -> DataFrame:
     sql("feat", "SELECT store, date, competition_since, competition_time_month FROM feat"),
 )
 def competition_since(f: Frames) -> DataFrame:
-    return f.features.select("store", "date", "competition_since", "competition_time_month")
+    return f.dated.select("store", "date", "competition_since", "competition_time_month")
 
 
 @query("promo_since", sql("feat", "SELECT store, date, promo_since, promo_time_week FROM feat"))
 def promo_since(f: Frames) -> DataFrame:
-    return f.features.select("store", "date", "promo_since", "promo_time_week")
+    return f.dated.select("store", "date", "promo_since", "promo_time_week")
 
 
 @query("is_promo", sql("clean", "SELECT store, date, promo_interval, month_map, is_promo FROM clean"))
 def is_promo(f: Frames) -> DataFrame:
-    return f.clean.select("store", "date", "promo_interval", "month_map", "is_promo")
+    return f.dated.select("store", "date", "promo_interval", "month_map", "is_promo")
 
 
 @query("decode_categories", sql("feat", "SELECT store, date, assortment, state_holiday FROM feat"))
@@ -425,14 +425,14 @@ def decode_categories(f: Frames) -> DataFrame:
     ),
 )
 def log_target(f: Frames) -> DataFrame:
-    logged = scaling.log_target(f.training.select("store", "date", "sales"))
+    logged = scaling.log_target(f.open_days.select("store", "date", "sales"))
     both = logged.withColumn("restored", F.round(scaling.unlog(F.col("sales")), 4))
     return rounded(both, 6, ["sales"])
 
 
 @query("cyclic_encoding", sql("train", f"SELECT store, date, {_CYCLES_SQL} FROM train"))
 def cyclic_encoding(f: Frames) -> DataFrame:
-    parts = f.training.select("store", "date", "day_of_week", "month", "day", "week_of_year")
+    parts = f.open_days.select("store", "date", "day_of_week", "month", "day", "week_of_year")
     return rounded(
         scaling.cyclic_encoding(parts).drop("day_of_week", "month", "day", "week_of_year")
     )
@@ -468,7 +468,7 @@ def robust_scale(f: Frames) -> DataFrame:
     ),
 )
 def minmax_scale(f: Frames) -> DataFrame:
-    kept = f.training.select("store", "date", *prepare.MINMAX)
+    kept = f.open_days.select("store", "date", *prepare.MINMAX)
     parameters = scaling.minmax_parameters(kept, prepare.MINMAX)
     return rounded(scaling.scale_columns(kept, parameters))
 
@@ -482,7 +482,7 @@ def minmax_scale(f: Frames) -> DataFrame:
     ),
 )
 def label_encode(f: Frames) -> DataFrame:
-    kept = f.training.select("store", "date", "store_type")
+    kept = f.open_days.select("store", "date", "store_type")
     levels = scaling.few_levels(f.store.withColumnRenamed("StoreType", "store_type"), "store_type")
     return scaling.label_encode(kept, "store_type", levels)
 
@@ -500,7 +500,7 @@ def label_encode(f: Frames) -> DataFrame:
     ),
 )
 def one_hot(f: Frames) -> DataFrame:
-    kept = f.training.select("store", "date", "state_holiday")
+    kept = f.open_days.select("store", "date", "state_holiday")
     return scaling.one_hot(kept, "state_holiday", scaling.few_levels(kept, "state_holiday"))
 
 
@@ -513,7 +513,7 @@ def one_hot(f: Frames) -> DataFrame:
     ),
 )
 def ordinal_encode(f: Frames) -> DataFrame:
-    kept = f.training.select("store", "date", "assortment")
+    kept = f.open_days.select("store", "date", "assortment")
     return scaling.ordinal_encode(kept, "assortment", ASSORTMENT_RANK)
 
 

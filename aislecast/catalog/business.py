@@ -26,7 +26,8 @@ def _total_sql(*keys: str, where: str = "") -> str:
 def _register_total(name: str, *keys: str) -> None:
     @query(name, _total_sql(*keys))
     def build(f: Frames) -> DataFrame:
-        return totals.total_by(f.training, *keys)
+        rows_of = f.training if "competition_distance" in keys else f.open_days
+        return totals.total_by(rows_of, *keys)
 
 
 _register_total("sales_by_assortment", "assortment")
@@ -76,7 +77,7 @@ def bin_distance(f: Frames) -> DataFrame:
     ),
 )
 def sales_by_competition_months(f: Frames) -> DataFrame:
-    return totals.total_by_competition_months(f.training)
+    return totals.total_by_competition_months(f.open_days)
 
 
 @query(
@@ -89,7 +90,7 @@ def sales_by_competition_months(f: Frames) -> DataFrame:
     ),
 )
 def sales_by_promo_weeks(f: Frames) -> DataFrame:
-    return totals.total_by_promo_weeks(f.training)
+    return totals.total_by_promo_weeks(f.open_days)
 
 
 @query(
@@ -103,14 +104,14 @@ def sales_by_promo_weeks(f: Frames) -> DataFrame:
     ),
 )
 def weekly_promo_compare(f: Frames) -> DataFrame:
-    return totals.weekly_promo_compare(f.training)
+    return totals.weekly_promo_compare(f.open_days)
 
 
 @query(
     "sales_by_holiday", _total_sql("state_holiday", where="WHERE state_holiday <> 'regular_day'")
 )
 def sales_by_holiday(f: Frames) -> DataFrame:
-    return totals.total_by_holiday(f.training)
+    return totals.total_by_holiday(f.open_days)
 
 
 @query(
@@ -118,7 +119,7 @@ def sales_by_holiday(f: Frames) -> DataFrame:
     _total_sql("year", "state_holiday", where="WHERE state_holiday <> 'regular_day'"),
 )
 def sales_by_year_holiday(f: Frames) -> DataFrame:
-    return totals.total_by_holiday(f.training, "year")
+    return totals.total_by_holiday(f.open_days, "year")
 
 
 @query(
@@ -129,7 +130,7 @@ def sales_by_year_holiday(f: Frames) -> DataFrame:
     ),
 )
 def sales_by_half_year(f: Frames) -> DataFrame:
-    return totals.total_by_half_year(f.training)
+    return totals.total_by_half_year(f.open_days)
 
 
 @query(
@@ -141,7 +142,7 @@ def sales_by_half_year(f: Frames) -> DataFrame:
     ),
 )
 def sales_before_after_10th(f: Frames) -> DataFrame:
-    return totals.total_around_tenth(f.training)
+    return totals.total_around_tenth(f.open_days)
 
 
 @query(
@@ -160,12 +161,12 @@ def mean_by_store(f: Frames) -> DataFrame:
     ),
 )
 def cutoff_by_store(f: Frames) -> DataFrame:
-    return rows.cutoff_by_store(f.training.select("store", "date"))
+    return rows.cutoff_by_store(f.open_days.select("store", "date"))
 
 
 @query("distinct_values", sql("train", "SELECT DISTINCT state_holiday FROM train"))
 def distinct_values(f: Frames) -> DataFrame:
-    return totals.distinct_values(f.training, "state_holiday")
+    return totals.distinct_values(f.open_days, "state_holiday")
 
 
 _PIVOT_SQL = (
@@ -179,7 +180,7 @@ _PIVOT_SQL = (
 
 @query("pivot_week_assortment", sql("train", _PIVOT_SQL))
 def pivot_week_assortment(f: Frames) -> DataFrame:
-    return totals.pivot_totals(f.training, "year_week", "assortment", ASSORTMENTS)
+    return totals.pivot_totals(f.open_days, "year_week", "assortment", ASSORTMENTS)
 
 
 @query(
@@ -191,7 +192,7 @@ def pivot_week_assortment(f: Frames) -> DataFrame:
     ),
 )
 def pivot_week_extra(f: Frames) -> DataFrame:
-    extra = f.training.where(F.col("assortment") == "extra")
+    extra = f.open_days.where(F.col("assortment") == "extra")
     return totals.pivot_totals(extra, "year_week", "assortment", ["extra"])
 
 
@@ -204,7 +205,7 @@ _CROSS_SQL = (
 
 @query("crosstab_holiday_storetype", sql("train", _CROSS_SQL))
 def crosstab_holiday_storetype(f: Frames) -> DataFrame:
-    return totals.crosstab(f.training, "state_holiday", "store_type", STORE_TYPES)
+    return totals.crosstab(f.open_days, "state_holiday", "store_type", STORE_TYPES)
 
 
 @query(
@@ -220,7 +221,7 @@ def crosstab_holiday_storetype(f: Frames) -> DataFrame:
 def category_counts(f: Frames) -> DataFrame:
     """All three counts from one pass; regular days are not charted."""
     names = ["state_holiday", "store_type", "assortment"]
-    long = f.training.select(*names).unpivot([], names, "attribute", "level")
+    long = f.open_days.select(*names).unpivot([], names, "attribute", "level")
     return totals.count_by(long.where(F.col("level") != "regular_day"), "attribute", "level")
 
 
@@ -235,7 +236,7 @@ def category_counts(f: Frames) -> DataFrame:
 def split_date_range(f: Frames) -> DataFrame:
     """Both ranges from one pass over the training rows."""
     part = F.when(F.col("date") < F.lit(f.cutoff), "train").otherwise("test")
-    return f.training.groupBy(part.alias("part")).agg(
+    return f.open_days.groupBy(part.alias("part")).agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
 
@@ -249,7 +250,7 @@ def split_date_range(f: Frames) -> DataFrame:
     ),
 )
 def head_rows(f: Frames) -> DataFrame:
-    weekly = totals.total_by(f.training, "year_week", "assortment")
+    weekly = totals.total_by(f.open_days, "year_week", "assortment")
     return rows.head_rows(weekly, ["year_week", "assortment"])
 
 
@@ -386,7 +387,7 @@ def _fold_sql(body: str) -> str:
     ),
 )
 def cv_folds(f: Frames) -> DataFrame:
-    train, _ = rows.split_by_date(f.training.select("date"), f.cutoff)
+    train, _ = rows.split_by_date(f.open_days.select("date"), f.cutoff)
     return errors.cv_folds(train, rows.last_date(train))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import attach_store
@@ -18,7 +18,8 @@ from ..sources.parameters import Parameters
 
 
 class Frames:
-    """Each property is one stage; all are lazy but the dates and the parameters."""
+    """Each property is one stage; all are lazy but the dates, the distance fill and
+    the parameters, each a value of one or a few rows."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -55,8 +56,7 @@ class Frames:
 
     @cached_property
     def clean(self) -> DataFrame:
-        fill: Column = self.distance_fill.scalar()
-        return clean(self.raw, fill)
+        return clean(self.raw, self.distance_fill.first()[0])
 
     @cached_property
     def features(self) -> DataFrame:
@@ -66,6 +66,16 @@ class Frames:
     def training(self) -> DataFrame:
         return training_rows(self.features)
 
+    @cached_property
+    def open_days(self) -> DataFrame:
+        """The training rows without the competition distance, hence without its fill job."""
+        return training_rows(self.dated)
+
+    @cached_property
+    def dated(self) -> DataFrame:
+        """All rows with features, without the competition distance."""
+        return add_features(clean(self.raw, None).drop("competition_distance"))
+
     @cached_property
     def last(self) -> dt.date:
         return panel.panel_last_date(self.line)
@@ -93,7 +103,7 @@ class Frames:
     @property
     def log_sales(self) -> DataFrame:
         """Store, date and log sales of the training rows: no parameters needed."""
-        return self.training.select("store", "date", F.log1p("sales").alias("sales"))
+        return self.open_days.select("store", "date", F.log1p("sales").alias("sales"))
 
     def scored_by_average(self, fit_on: str = "train") -> DataFrame:
         train, test = split_by_date(self.log_sales, self.cutoff)

@@ -85,7 +85,7 @@ FROM (
 def trend_line(f: Frames) -> DataFrame:
     """Straight lines of the charted totals: long-open rivals and week 0 are left out."""
     half = F.when(F.col("month") > 6, 2).otherwise(1)
-    keyed = f.training.withColumn("half_year", half)
+    keyed = f.open_days.withColumn("half_year", half)
     sums = totals.totals_per_key(keyed, [*TREND_KEYS[1:], "half_year"])
     attribute, key = F.col("attribute"), F.col("key")
     weeks, months = attribute == "promo_time_week", attribute == "competition_time_month"
@@ -122,7 +122,7 @@ FROM (
 
 @query("cramers_v", sql("train", _cramers_sql("state_holiday", "store_type")))
 def cramers_v(f: Frames) -> DataFrame:
-    return rounded(statistics.cramers_v(f.training, "state_holiday", "store_type"))
+    return rounded(statistics.cramers_v(f.open_days, "state_holiday", "store_type"))
 
 
 @query(
@@ -130,7 +130,7 @@ def cramers_v(f: Frames) -> DataFrame:
     sql("train", " UNION ALL ".join(_cramers_sql(x, y) for x, y in product(CATEGORIES, CATEGORIES))),
 )
 def cramers_v_matrix(f: Frames) -> DataFrame:
-    return rounded(statistics.cramers_v_matrix(f.training, CATEGORIES))
+    return rounded(statistics.cramers_v_matrix(f.open_days, CATEGORIES))
 
 
 _HISTOGRAM_SQL = " UNION ALL ".join(
@@ -172,7 +172,7 @@ GROUP BY store_type, p, lo, h, step, n
 @query("kernel_density", sql("train", _KDE_SQL))
 def kernel_density(f: Frames) -> DataFrame:
     """Density of sales per store type, in millionths."""
-    curve = shapes.kernel_density(f.training, "store_type", "sales")
+    curve = shapes.kernel_density(f.open_days, "store_type", "sales")
     return rounded(curve.withColumn("density", F.col("density") * 1e6), 4)
 
 

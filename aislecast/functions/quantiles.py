@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+SLICES = 32
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -38,45 +38,54 @@ def exact_quantiles(
     ``probs``. Equal to NumPy's default method. ``few_groups`` says that the
     groups are column names, at most one per column of a table: the one-row-per-
     group frames are then broadcast. Otherwise Spark picks the join by size.
+    At least one group column is needed; a constant will do.
     """
     groups = list(groups)
+    small = F.broadcast if few_groups else _as_is
     cuts = [i / slices for i in range(1, slices)]
     # One row per group: the slice borders, found over distinct values.
     borders = counts.groupBy(*groups).agg(
-        F.percentile_approx("x", [float(c) for c in cuts], F.lit(20 * slices)).alias("borders"),
-        F.sum("n").alias("total"),
+        F.percentile_approx("x", cuts, F.lit(20 * slices)).alias("borders")
     )
-    below_value = F.size(F.filter("borders", lambda b: b < F.col("x")))
-    sliced = _attach(counts, borders, groups, few_groups).withColumn("slice", below_value)
-
-    # One row per group: an array of (slice, rows in it), at most `slices` long.
-    sizes = sliced.groupBy(*groups, "slice").agg(F.sum("n").alias("rows"))
-    running = Window.partitionBy(*groups, F.lit(0)).orderBy("slice")
-    sizes = sizes.withColumn("end", F.sum("rows").over(running))
-    sizes = sizes.withColumn("start", F.col("end") - F.col("rows")).drop("rows")
-
-    wanted = _ranks(probs)
-    holds_rank = F.lit(False)
-    for rank in wanted["all"]:
-        holds_rank = holds_rank | ((F.col("start") <= rank) & (rank < F.col("end")))
-    totals = borders.select(*groups, "total")
-    targets = _attach(sizes, totals, groups, few_groups).where(holds_rank).select(*groups, "slice", "start")
-
+    # One row per group: rows up to each border, then the slices holding a rank.
+    up_to = [
+        F.sum(F.when(F.col("x") <= F.col("borders")[i], F.col("n")).otherwise(0))
+        for i in range(slices - 1)
+    ]
+    sizes = (
+        counts.join(small(borders), groups)
+        .groupBy(*groups)
+        .agg(F.first("borders").alias("borders"), F.array(*up_to).alias("ends"), F.sum("n").alias("total"))
+    )
+    low, high, share = _ranks(probs)
+    in_slice = [_slice_of(rank) for rank in low + high]
+    targets = small(
+        sizes.withColumn("slice", F.explode(F.array_distinct(F.array(*in_slice)))).select(
+            *groups,
+            "slice",
+            "total",
+            F.get("borders", F.col("slice") - 1).alias("above"),
+            F.get("borders", F.col("slice")).alias("to"),
+            F.coalesce(F.get("ends", F.col("slice") - 1), F.lit(0)).alias("before"),
+        )
+    )
+    over = F.coalesce(F.col("x") > F.col("above"), F.lit(True))
+    under = F.coalesce(F.col("x") <= F.col("to"), F.lit(True))
     inside = Window.partitionBy(*groups, "slice").orderBy("x")
-    keys = [*groups, "slice"]
     ranked = (
-        sliced.join(F.broadcast(targets) if few_groups or not groups else targets, keys)
-        .withColumn("end", F.col("start") + F.sum("n").over(inside))
+        counts.join(targets, groups)
+        .where(over & under)
+        .withColumn("end", F.col("before") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
     )
 
     def at(rank):
         return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("x")))
 
-    picks = []
-    for low, high, share in zip(wanted["low"], wanted["high"], wanted["share"]):
-        first, second = at(low), at(high)
-        picks.append(first + (second - first) * F.max(share))
+    picks = [
+        at(first) + (at(second) - at(first)) * F.max(part)
+        for first, second, part in zip(low, high, share)
+    ]
     return ranked.groupBy(*groups).agg(F.max("total").alias("total"), F.array(*picks).alias("q"))
 
 
@@ -99,22 +108,18 @@ def quantiles(
     )
 
 
-def _ranks(probs: Sequence[float]) -> dict[str, list]:
-    """Zero-based ranks around each quantile and the share between them."""
+def _ranks(probs: Sequence[float]) -> tuple[list[Column], list[Column], list[Column]]:
+    """Zero-based ranks below and above each quantile, and the share between them."""
     spots = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
     low = [F.floor(s) for s in spots]
-    high = [F.ceil(s) for s in spots]
-    return {
-        "low": low,
-        "high": high,
-        "share": [s - f for s, f in zip(spots, low)],
-        "all": low + high,
-    }
-
-
-def _attach(rows: DataFrame, per_group: DataFrame, groups: list[str], few: bool) -> DataFrame:
-    """Join a one-row-per-group frame; with no groups it is a single row."""
-    if groups:
-        return rows.join(F.broadcast(per_group) if few else per_group, groups)
-    one = per_group.select(F.struct("*").alias("s")).scalar()
-    return rows.withColumns({name: one[name] for name in per_group.columns})
+    return low, [F.ceil(s) for s in spots], [s - f for s, f in zip(spots, low)]
+
+
+def _slice_of(rank: Column) -> Column:
+    """Number of the slice with the row of this rank: the borders it lies beyond."""
+    return F.size(F.filter("ends", lambda end: end <= rank))
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
+

@@ -87,7 +87,7 @@ def box_stats(df: DataFrame, dimensions: Sequence[str], value: str) -> DataFrame
         long = df.select(F.col(value), F.lit("all").alias("dimension"), F.lit("all").alias("level"))
     groups = ["dimension", "level"]
     counts = value_counts(long.where(F.col("level").isNotNull()), groups, value)
-    boxes = exact_quantiles(counts, groups, [0.25, 0.5, 0.75]).select(
+    boxes = exact_quantiles(counts, groups, [0.25, 0.5, 0.75], few_groups=not dimensions).select(
         *groups,
         F.col("q")[0].alias("q1"),
         F.col("q")[1].alias("median"),

@@ -42,12 +42,16 @@ STARTS = [
 
 def clean(
     df: DataFrame,
-    distance_fill: Column | float = SERVING_DISTANCE,
+    distance_fill: Column | float | None = SERVING_DISTANCE,
     month_names: Mapping[int, str] = MONTH_NAMES,
 ) -> DataFrame:
-    """Parse dates, fill missing values, mark promotion months, cast to int."""
+    """Parse dates, fill missing values, mark promotion months, cast to int.
+
+    ``distance_fill=None`` leaves missing distances as they are.
+    """
     df = parse_dates(df, "date")
-    df = fill(df, "competition_distance", distance_fill)
+    if distance_fill is not None:
+        df = fill(df, "competition_distance", distance_fill)
     df = fill_from_date(df)
     df = df.withColumn("month_map", month_abbreviation(F.col("date"), month_names))
     df = df.withColumn("is_promo", listed(F.col("month_map"), F.col("promo_interval")))
