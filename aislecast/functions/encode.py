@@ -18,10 +18,16 @@ from ..schemas import (
 )
 
 
+def _sql_literal(value: str | int | float) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
 def lookup(key: Column, table: Mapping) -> Column:
     """Value of ``key`` in a literal map; an unknown key gives NULL."""
-    pairs = [F.lit(item) for pair in table.items() for item in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
+    items = ", ".join(_sql_literal(item) for pair in table.items() for item in pair)
+    return F.try_element_at(F.expr(f"map({items})"), key)
 
 
 def decode(key: Column, names: Mapping[str, str], otherwise: str) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 32
+# Distinct values that fit one aggregation buffer with ease.
+SMALL = 200_000
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -31,6 +33,7 @@ def exact_quantiles(
     probs: Sequence[float],
     slices: int = SLICES,
     few_groups: bool = False,
+    distinct: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value_counts`` output.
 
@@ -38,9 +41,16 @@ def exact_quantiles(
     ``probs``. Equal to NumPy's default method. ``few_groups`` says that the
     groups are column names, at most one per column of a table: the one-row-per-
     group frames are then broadcast. Otherwise Spark picks the join by size.
-    At least one group column is needed; a constant will do.
+    At least one group column is needed; a constant will do. ``distinct`` is
+    the number of rows of ``counts`` where the caller knows it: a small table
+    goes to Spark's own weighted ``percentile``, with the same result.
     """
     groups = list(groups)
+    if distinct is not None and distinct <= SMALL:
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        return counts.groupBy(*groups).agg(
+            F.sum("n").alias("total"), F.percentile("x", wanted, F.col("n")).alias("q")
+        )
     small = F.broadcast if few_groups else _as_is
     cuts = [i / slices for i in range(1, slices)]
     # One row per group: the slice borders, found over distinct values.
@@ -48,14 +58,11 @@ def exact_quantiles(
         F.percentile_approx("x", cuts, F.lit(20 * slices)).alias("borders")
     )
     # One row per group: rows up to each border, then the slices holding a rank.
-    up_to = [
-        F.sum(F.when(F.col("x") <= F.col("borders")[i], F.col("n")).otherwise(0))
-        for i in range(slices - 1)
-    ]
+    up_to = ", ".join(f"sum(IF(x <= borders[{i}], n, 0L))" for i in range(slices - 1))
     sizes = (
         counts.join(small(borders), groups)
         .groupBy(*groups)
-        .agg(F.first("borders").alias("borders"), F.array(*up_to).alias("ends"), F.sum("n").alias("total"))
+        .agg(F.first("borders").alias("borders"), F.expr(f"array({up_to})").alias("ends"), F.sum("n").alias("total"))
     )
     low, high, share = _ranks(probs)
     in_slice = [_slice_of(rank) for rank in low + high]

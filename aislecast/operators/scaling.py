@@ -27,9 +27,11 @@ def robust_parameters(df: DataFrame, columns: Sequence[str], approx: bool = Fals
     return _median_and_range(quantiles(long, ["feature"], "value", QUARTILES, approx=True))
 
 
-def robust_from_counts(counts: DataFrame) -> DataFrame:
-    """The same from ``(feature, x, n)`` value counts."""
-    return _median_and_range(exact_quantiles(counts, ["feature"], QUARTILES, few_groups=True))
+def robust_from_counts(counts: DataFrame, distinct: int | None = None) -> DataFrame:
+    """The same from ``(feature, x, n)`` value counts, ``distinct`` of them if known."""
+    return _median_and_range(
+        exact_quantiles(counts, ["feature"], QUARTILES, few_groups=True, distinct=distinct)
+    )
 
 
 def _median_and_range(q: DataFrame) -> DataFrame:

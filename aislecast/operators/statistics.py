@@ -27,7 +27,16 @@ def describe_numeric(
     from those counts, and so are the exact medians.
     """
     names = list(columns or numeric_names(df))
-    counts = value_counts(long_values(df, names), ["attribute"], "value")
+    with held(value_counts(long_values(df, names), ["attribute"], "value")) as counts:
+        medians = exact_quantiles(counts, ["attribute"], [0.5], few_groups=True, distinct=counts.count())
+        if approx_median:
+            medians = quantiles(long_values(df, names), ["attribute"], "value", [0.5], approx=True)
+        table = _moments(counts, medians.select("attribute", F.col("q")[0].alias("median")))
+        return df.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
+def _moments(counts: DataFrame, medians: DataFrame) -> DataFrame:
+    """One row per column, from its value counts and its median."""
     x, n = F.col("x"), F.col("n")
     sums = counts.groupBy("attribute").agg(
         F.sum(n).cast("double").alias("total"),
@@ -43,18 +52,12 @@ def describe_numeric(
     moments = around.agg(
         *[(F.sum(n * F.pow(gap, F.lit(p))) / F.col("total")).alias(f"m{int(p)}") for p in (2.0, 3.0, 4.0)]
     )
-    if approx_median:
-        medians = quantiles(long_values(df, names), ["attribute"], "value", [0.5], approx=True)
-    else:
-        medians = exact_quantiles(counts, ["attribute"], [0.5], few_groups=True)
-    medians = F.broadcast(medians.select("attribute", F.col("q")[0].alias("median")))
-
     total, m2 = F.col("total"), F.col("m2")
     g1 = F.try_divide(F.col("m3"), F.pow(m2, F.lit(1.5)))
     g2 = F.try_divide(F.col("m4"), m2 * m2) - 3
     skew = F.try_divide(g1 * F.sqrt(total * (total - 1)), total - 2)
     kurtosis = F.try_divide(total - 1, (total - 2) * (total - 3)) * ((total + 1) * g2 + 6)
-    return moments.join(medians, "attribute").select(
+    return moments.join(F.broadcast(medians), "attribute").select(
         "attribute",
         "min",
         "max",

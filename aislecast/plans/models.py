@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -48,6 +50,8 @@ FIRST_BOOSTED = {
 SEED = 42
 # --- end of fixed values -----------------------------------------------------
 
+PARALLEL_FITS = 4
+
 
 def estimator(regressor, features: Sequence[str] = FEATURES) -> Pipeline:
     """Assemble ``features`` and fit ``regressor`` on the log target."""
@@ -102,7 +106,7 @@ def boosted(
         maxIter=n_estimators, stepSize=eta, maxDepth=max_depth, subsamplingRate=subsample,
         featureSubsetStrategy=str(colsample_bytree) if colsample_bytree < 1 else "all",
         minInstancesPerNode=min_child_weight, maxBins=bins, seed=seed,
-        checkpointInterval=10, maxMemoryInMB=memory_mb, cacheNodeIds=True,
+        checkpointInterval=10, maxMemoryInMB=memory_mb,
     )
     return estimator(model, features)
 
@@ -146,18 +150,28 @@ def fold_predictions(
     folds: int,
     fit_predict: Callable[[DataFrame, DataFrame], DataFrame],
     days: int = HORIZON_DAYS,
+    parallelism: int = PARALLEL_FITS,
 ) -> DataFrame:
     """Validation rows of every fold with predictions and their fold number.
 
     Folds go back from ``last`` in equal steps, each trained on all rows before
-    its window. The loop runs over folds, not rows; every fit is distributed.
+    its window. The folds, not the rows, are looped over; every fit is a
+    distributed job and ``parallelism`` of them share the cluster.
     """
-    parts = []
-    for k in range(folds, 0, -1):
+
+    def one_fold(k: int) -> DataFrame:
         train, valid = errors.fold_split(rows, last, k, days)
         scored = fit_predict(train, valid)
-        parts.append(scored.select(F.lit(k).alias("fold"), "store", "date", TARGET, "predictions"))
-    return reduce(DataFrame.unionByName, parts)
+        return scored.select(F.lit(k).alias("fold"), "store", "date", TARGET, "predictions")
+
+    return reduce(DataFrame.unionByName, in_threads(one_fold, range(folds, 0, -1), parallelism))
+
+
+def in_threads(work: Callable, items: Iterable, parallelism: int) -> list:
+    """Results of ``work`` for each item, in order, from a few driver threads."""
+    target = inheritable_thread_target(work)
+    with ThreadPool(parallelism) as pool:
+        return pool.map(target, list(items))
 
 
 def fold_errors(predicted: DataFrame, model_name: str) -> DataFrame:

@@ -99,10 +99,13 @@ def fit_parameters(training: DataFrame, distance_fill: DataFrame | None = None)
     are taken from those counts.
     """
     with held(_feature_counts(training)) as counts:
+        distinct = counts.count()
         numbers = counts.where(F.col("x").isNotNull()).select("feature", "x", "n")
+        robust = numbers.where(F.col("feature").isin(ROBUST))
+        minmax = numbers.where(F.col("feature").isin(MINMAX))
         parts = [
-            _scale_rows(scaling.robust_from_counts(numbers.where(F.col("feature").isin(ROBUST))), "robust"),
-            _scale_rows(scaling.minmax_from_counts(numbers.where(F.col("feature").isin(MINMAX))), "minmax"),
+            _scale_rows(scaling.robust_from_counts(robust, distinct), "robust"),
+            _scale_rows(scaling.minmax_from_counts(minmax), "minmax"),
             counts.where(F.col("level").isNotNull())
             .select("feature", F.lit("level").alias("method"), F.col("level").alias("name"))
             .withColumn("value", F.lit(0.0))
