@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spreading import salted_join
+
 SLICES = 32
 # Distinct values that fit one aggregation buffer with ease.
 SMALL = 200_000
@@ -40,7 +42,7 @@ def exact_quantiles(
     Returns ``groups`` plus ``total`` (rows) and ``q``, an array in the order of
     ``probs``. Equal to NumPy's default method. ``few_groups`` says that the
     groups are column names, at most one per column of a table: the one-row-per-
-    group frames are then broadcast. Otherwise Spark picks the join by size.
+    group frames are then broadcast. Otherwise they are joined with salted keys.
     At least one group column is needed; a constant will do. ``distinct`` is
     the number of rows of ``counts`` where the caller knows it: a small table
     goes to Spark's own weighted ``percentile``, with the same result.
@@ -51,7 +53,12 @@ def exact_quantiles(
         return counts.groupBy(*groups).agg(
             F.sum("n").alias("total"), F.percentile("x", wanted, F.col("n")).alias("q")
         )
-    small = F.broadcast if few_groups else _as_is
+
+    def attach(per_group: DataFrame) -> DataFrame:
+        if few_groups:
+            return counts.join(F.broadcast(per_group), groups)
+        return salted_join(counts, per_group, groups, ["x"])
+
     cuts = [i / slices for i in range(1, slices)]
     # One row per group: the slice borders, found over distinct values.
     borders = counts.groupBy(*groups).agg(
@@ -60,27 +67,26 @@ def exact_quantiles(
     # One row per group: rows up to each border, then the slices holding a rank.
     up_to = ", ".join(f"sum(IF(x <= borders[{i}], n, 0L))" for i in range(slices - 1))
     sizes = (
-        counts.join(small(borders), groups)
+        attach(borders)
         .groupBy(*groups)
         .agg(F.first("borders").alias("borders"), F.expr(f"array({up_to})").alias("ends"), F.sum("n").alias("total"))
     )
     low, high, share = _ranks(probs)
     in_slice = [_slice_of(rank) for rank in low + high]
-    targets = small(
-        sizes.withColumn("slice", F.explode(F.array_distinct(F.array(*in_slice)))).select(
-            *groups,
-            "slice",
-            "total",
-            F.get("borders", F.col("slice") - 1).alias("above"),
-            F.get("borders", F.col("slice")).alias("to"),
-            F.coalesce(F.get("ends", F.col("slice") - 1), F.lit(0)).alias("before"),
-        )
+    slice_number = F.explode(F.array_distinct(F.array(*in_slice)))
+    targets = sizes.withColumn("slice", slice_number).select(
+        *groups,
+        "slice",
+        "total",
+        F.get("borders", F.col("slice") - 1).alias("above"),
+        F.get("borders", F.col("slice")).alias("to"),
+        F.coalesce(F.get("ends", F.col("slice") - 1), F.lit(0)).alias("before"),
     )
     over = F.coalesce(F.col("x") > F.col("above"), F.lit(True))
     under = F.coalesce(F.col("x") <= F.col("to"), F.lit(True))
     inside = Window.partitionBy(*groups, "slice").orderBy("x")
     ranked = (
-        counts.join(targets, groups)
+        attach(targets)
         .where(over & under)
         .withColumn("end", F.col("before") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
@@ -125,8 +131,3 @@ def _ranks(probs: Sequence[float]) -> tuple[list[Column], list[Column], list[Col
 def _slice_of(rank: Column) -> Column:
     """Number of the slice with the row of this rank: the borders it lies beyond."""
     return F.size(F.filter("ends", lambda end: end <= rank))
-
-
-def _as_is(df: DataFrame) -> DataFrame:
-    return df
-

@@ -3,7 +3,8 @@
 No join carries a broadcast hint: the store table can grow with the data, so
 the choice is left to Spark, which broadcasts only below
 ``spark.sql.autoBroadcastJoinThreshold`` (checked again at run time by AQE) and
-otherwise shuffles by store and splits skewed partitions.
+otherwise shuffles by store and splits skewed partitions. A sales table has one
+row per store and day, so no store holds more rows than there are days.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encode import lookup
+from ..functions.spreading import salted_join
 
 
 def attach_store(sales: DataFrame, store: DataFrame, key: str = "Store") -> DataFrame:
@@ -30,16 +32,22 @@ def join_metrics(*frames: DataFrame, key: str = "store") -> DataFrame:
 
 
 def attach_mean(
-    df: DataFrame, value: str, name: str, key: str = "store", source: DataFrame | None = None
+    df: DataFrame,
+    value: str,
+    name: str,
+    key: str = "store",
+    source: DataFrame | None = None,
+    spread_by: str = "date",
 ) -> DataFrame:
     """Left join of the per-key mean of ``value``, taken from ``source`` or from ``df``.
 
     The mean is a map-side combined aggregate, so a key that holds much of the
     table adds one small row per task to the shuffle, which a window would not.
+    The rows of such a key are dealt over several tasks by ``spread_by``.
     """
     base = df if source is None else source
     means = base.groupBy(key).agg(F.avg(value).alias(name))
-    return df.join(means, key, "left")
+    return salted_join(df, means, [key], [spread_by], "left", salts=8)
 
 
 def map_lookup(df: DataFrame, name: str, key: Column, table: Mapping) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encode import assortment_rank, cycle, lookup
 from ..functions.quantiles import exact_quantiles, quantiles, value_counts
+from ..functions.spreading import salted_join
 from ..schemas import CYCLES, TARGET
 from ..session import durable
 from .columns import long_values
@@ -114,7 +115,8 @@ def label_encode(df: DataFrame, column: str, levels: Sequence | None = None) ->
         codes = {level: code for code, level in enumerate(levels)}
         return df.withColumn(column, lookup(F.col(column), codes).cast("int"))
     names = df.columns
-    coded = df.join(level_codes(df, column), column, "left")
+    others = [n for n in names if n != column] or names
+    coded = salted_join(df, level_codes(df, column), [column], others, "left")
     return coded.withColumn(column, F.col("code")).select(*names)
 
 

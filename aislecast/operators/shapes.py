@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, value_counts
+from ..functions.spreading import salted_join
 from .columns import long_values, numeric_names
 
 
@@ -63,15 +65,18 @@ def kernel_density(
         (F.col("lo") - cut * F.col("h")).alias("first"),
         ((F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("step"),
     )
-    placed = counts.join(grid.where(F.col("h") > 0), group)
-    spots = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.col("first") + F.col("point") * F.col("step")
-    z = (at - x) / F.col("h")
-    weight = F.sum(n * F.exp(-z * z / 2))
-    scale = F.first("total") * F.first("h") * F.sqrt(2 * F.pi())
-    return spots.groupBy(group, "point").agg(
-        F.first(at).alias("at"), (weight / scale).alias("density")
+    placed = salted_join(counts, grid.where(F.col("h") > 0), [group], ["x"]).select(
+        group,
+        # In bandwidths from the first grid point, and the share of one value.
+        ((F.col("first") - x) / F.col("h")).alias("z0"),
+        (F.col("step") / F.col("h")).alias("dz"),
+        (n / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))).alias("w"),
+        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     )
+    z = F.col("z0") + F.col("point") * F.col("dz")
+    curve = placed.groupBy(group, "point").agg(F.sum(F.col("w") * F.exp(z * z * -0.5)).alias("density"))
+    at = F.col("first") + F.col("point") * F.col("step")
+    return curve.join(grid, group).select(group, "point", at.alias("at"), "density")
 
 
 def box_stats(df: DataFrame, dimensions: Sequence[str], value: str) -> DataFrame:
@@ -95,7 +100,7 @@ def box_stats(df: DataFrame, dimensions: Sequence[str], value: str) -> DataFrame
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - reach, F.col("q3") + reach)
-    return counts.join(boxes, groups).groupBy(*groups, "q1", "median", "q3").agg(
+    return salted_join(counts, boxes, groups, ["x"]).groupBy(*groups, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("x"))).alias("low"),
         F.max(F.when(inside, F.col("x"))).alias("high"),
         F.sum(F.when(~inside, F.col("n")).otherwise(0)).alias("outliers"),

@@ -12,9 +12,10 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spreading import salted_join
 from ..operators import errors
 from ..operators.joins import attach_mean
 from ..schemas import FEATURES, HORIZON_DAYS, TARGET
@@ -169,7 +170,7 @@ def fold_predictions(
 
 def in_threads(work: Callable, items: Iterable, parallelism: int) -> list:
     """Results of ``work`` for each item, in order, from a few driver threads."""
-    target = inheritable_thread_target(work)
+    target = inheritable_thread_target(SparkSession.active())(work)
     with ThreadPool(parallelism) as pool:
         return pool.map(target, list(items))
 
@@ -215,7 +216,7 @@ def cross_validate_average(
     valid = rows.where(day >= F.lit(first)).withColumn(
         "fold", F.explode(errors.validation_folds(day, last, folds, days))
     )
-    joined = valid.join(per_store, "store", "left")
+    joined = salted_join(valid, per_store, ["store"], ["date"], "left", salts=8)
     mean = F.element_at(F.array(*[F.col(f"m{k}") for k in range(1, folds + 1)]), F.col("fold"))
     predicted = joined.select(
         "fold", "store", "date", F.expm1(TARGET).alias(TARGET), F.expm1(mean).alias("predictions")
