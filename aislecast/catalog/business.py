@@ -260,9 +260,13 @@ def sample_rows(f: Frames) -> DataFrame:
 
 
 # --- errors of the average model ---------------------------------------------
-_ERRORS = """round(avg(abs(sales - predictions)), 6) AS mae,
-  round(avg(abs(sales - predictions) / greatest(abs(sales), 2.220446049250313e-16)), 6) AS mape,
-  round(sqrt(avg(pow(sales - predictions, 2))), 6) AS rmse"""
+def errors_sql(digits: int) -> str:
+    return f"""round(avg(abs(sales - predictions)), {digits}) AS mae,
+  round(avg(abs(sales - predictions) / greatest(abs(sales), 2.220446049250313e-16)), {digits}) AS mape,
+  round(sqrt(avg(pow(sales - predictions, 2))), {digits}) AS rmse"""
+
+
+_ERRORS = errors_sql(6)
 
 
 @query("ml_error", sql("scored", f"SELECT 'Average Model' AS model_name, {_ERRORS} FROM scored"))
@@ -304,7 +308,7 @@ def store_scenarios(f: Frames) -> DataFrame:
 
 @query(
     "worst_stores_topk",
-    sql("scored", f"{_SCENARIOS} ORDER BY round(({'mape'}), 4) DESC, store LIMIT 5"),
+    sql("scored", f"{_SCENARIOS} ORDER BY mape DESC, store LIMIT 5"),
 )
 def worst_stores_topk(f: Frames) -> DataFrame:
     scenarios = rounded(errors.store_scenarios(f.scored_by_average()), 4)
@@ -370,14 +374,14 @@ fold_list AS (
 )"""
 
 
-def _fold_sql(body: str) -> str:
+def fold_sql(body: str) -> str:
     base = sql("scored", "").rstrip()
     return base + _FOLD_CTE + "\n" + body.strip()
 
 
 @query(
     "cv_folds",
-    _fold_sql(
+    fold_sql(
         """SELECT fold, validation_start, validation_end,
           min(date) FILTER (date < validation_start) AS train_min,
           max(date) FILTER (date < validation_start) AS train_max,
@@ -417,10 +421,14 @@ def _cv_text(name: str) -> str:
     )
 
 
-_CV_COLUMNS = ", ".join(
-    f"round(avg({n}), 6) AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std, {_cv_text(n)}"
-    for n in ("mae", "mape", "rmse")
-)
+def cv_columns(digits: int) -> str:
+    return ", ".join(
+        f"round(avg({n}), {digits}) AS {n}_mean, round(stddev_pop({n}), {digits}) AS {n}_std, {_cv_text(n)}"
+        for n in ("mae", "mape", "rmse")
+    )
+
+
+_CV_COLUMNS = cv_columns(6)
 
 
 def _average_folds(f: Frames) -> DataFrame:
@@ -430,7 +438,7 @@ def _average_folds(f: Frames) -> DataFrame:
 
 @query(
     "cv_summary",
-    _fold_sql("").rstrip() + _FOLD_ERRORS + f"SELECT 'Average Model' AS model_name, {_CV_COLUMNS} FROM fold_errors",
+    fold_sql("").rstrip() + _FOLD_ERRORS + f"SELECT 'Average Model' AS model_name, {_CV_COLUMNS} FROM fold_errors",
 )
 def cv_summary(f: Frames) -> DataFrame:
     return rounded(errors.cv_summary(_average_folds(f)))
@@ -438,7 +446,7 @@ def cv_summary(f: Frames) -> DataFrame:
 
 @query(
     "union_results",
-    _fold_sql("").rstrip()
+    fold_sql("").rstrip()
     + _FOLD_ERRORS
     + f"""SELECT 'Average Model' AS model_name, {_ERRORS}, NULL AS mae_cv, NULL AS mape_cv,
       NULL AS rmse_cv FROM scored

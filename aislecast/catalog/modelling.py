@@ -18,6 +18,7 @@ from ..sources.models import load_model, save_model
 from ..sources.records import read_records, write_records
 from ..streaming.scoring import score_stream
 from .base_sql import sql
+from .business import cv_columns, errors_sql, fold_sql
 from .frames import Frames
 from .registry import query, rounded
 
@@ -108,6 +109,73 @@ def lasso_one_feature(f: Frames) -> DataFrame:
     return _one_feature(f, name, models.lasso(features=[name]))
 
 
+def _month_rows(f: Frames) -> DataFrame:
+    """Rows of the one-feature model before and after the cutoff."""
+    return f.open_days.select(
+        "store",
+        "date",
+        F.col("competition_time_month").cast("double").alias("competition_time_month"),
+        F.log1p("sales").alias("sales"),
+    )
+
+
+_LINE_HOLDOUT = f"""
+SELECT 'Linear Regression' AS model_name, {errors_sql(4)} FROM (
+  SELECT sales, exp(a + b * competition_time_month) - 1 AS predictions
+  FROM (SELECT * FROM parts WHERE is_test) CROSS JOIN (
+    SELECT regr_intercept(log_sales, CAST(competition_time_month AS DOUBLE)) AS a,
+      regr_slope(log_sales, CAST(competition_time_month AS DOUBLE)) AS b
+    FROM parts WHERE NOT is_test))
+"""
+
+
+@query("linear_regression_holdout", sql("scored", _LINE_HOLDOUT))
+def linear_regression_holdout(f: Frames) -> DataFrame:
+    """Fit, predict and measure with one feature: the exact check of the model path."""
+
+    def work(kept: DataFrame) -> DataFrame:
+        model = models.linear(["competition_time_month"])
+        return models.holdout_error("Linear Regression", model, *_split(f, kept))
+
+    return rounded(models.with_held(_month_rows(f), work), 4)
+
+
+_LINE_FOLDS = """,
+line_rows AS (
+  SELECT date, CAST(competition_time_month AS DOUBLE) AS x, log_sales AS y
+  FROM parts WHERE NOT is_test
+),
+line_fits AS (
+  SELECT fold, regr_intercept(y, x) AS a, regr_slope(y, x) AS b
+  FROM fold_list JOIN line_rows ON date < validation_start GROUP BY fold
+),
+fold_errors AS (
+  SELECT fold, avg(abs(s - p)) AS mae, avg(abs(s - p) / greatest(abs(s), 2.220446049250313e-16)) AS mape,
+    sqrt(avg(pow(s - p, 2))) AS rmse
+  FROM (
+    SELECT l.fold, exp(r.y) - 1 AS s, exp(t.a + t.b * r.x) - 1 AS p
+    FROM fold_list l JOIN line_rows r ON r.date BETWEEN l.validation_start AND l.validation_end
+    JOIN line_fits t ON t.fold = l.fold)
+  GROUP BY fold
+)
+"""
+
+
+@query(
+    "cross_validate_one_feature",
+    fold_sql("").rstrip() + _LINE_FOLDS + f"SELECT 'Linear Regression' AS model_name, {cv_columns(4)} FROM fold_errors",
+)
+def cross_validate_one_feature(f: Frames) -> DataFrame:
+    """Five folds of the one-feature model: the exact check of cross-validation."""
+
+    def work(kept: DataFrame) -> DataFrame:
+        train, _ = _split(f, kept)
+        model = models.linear(["competition_time_month"])
+        return models.cross_validate(train, rows.last_date(train), 5, "Linear Regression", model)
+
+    return rounded(models.with_held(_month_rows(f), work), 4)
+
+
 @query("model_roundtrip")
 def model_roundtrip(f: Frames) -> DataFrame:
     """Largest difference between predictions of a model and of its saved copy."""
