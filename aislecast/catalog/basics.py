@@ -173,7 +173,7 @@ def cast_types(f: Frames) -> DataFrame:
 
 @query("parse_date", sql("raw", "SELECT store, date, sales FROM raw"))
 def parse_date(f: Frames) -> DataFrame:
-    texts = f.raw.select("store", F.date_format("date", "yyyy-MM-dd").alias("date"), "sales")
+    texts = f.named_sales.select("store", F.date_format("date", "yyyy-MM-dd").alias("date"), "sales")
     return columns.parse_dates(texts, "date")
 
 
@@ -315,7 +315,7 @@ def filter_not_null(f: Frames) -> DataFrame:
     ),
 )
 def time_split(f: Frames) -> DataFrame:
-    kept = f.raw.select("store", "date", "sales")
+    kept = f.named_sales.select("store", "date", "sales")
     train, test = rows.split_by_date(kept, f.cutoff)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
@@ -342,7 +342,7 @@ def join_sales_store(f: Frames) -> DataFrame:
     ),
 )
 def join_store_metrics(f: Frames) -> DataFrame:
-    t = f.open_days
+    t = f.sales_days
     latest = t.groupBy("store").agg(F.max("date").alias("last_date"))
     return rounded(
         joins.join_metrics(
@@ -361,7 +361,7 @@ def join_store_metrics(f: Frames) -> DataFrame:
     ),
 )
 def join_agg_back(f: Frames) -> DataFrame:
-    kept = f.open_days.select("store", "date", "sales")
+    kept = f.sales_days.select("store", "date", "sales")
     return rounded(joins.attach_mean(kept, "sales", "mean_sales"))
 
 
@@ -370,7 +370,7 @@ def join_agg_back(f: Frames) -> DataFrame:
     sql("clean", "SELECT store, date, month_map FROM clean"),
 )
 def map_lookup(f: Frames) -> DataFrame:
-    kept = f.raw.select("store", "date")
+    kept = f.named_sales.select("store", "date")
     return joins.map_lookup(kept, "month_map", F.month("date"), MONTH_NAMES)
 
 
@@ -380,12 +380,12 @@ def map_lookup(f: Frames) -> DataFrame:
     sql("feat", "SELECT store, date, year, month, day, week_of_year FROM feat"),
 )
 def date_parts(f: Frames) -> DataFrame:
-    return f.raw.select("store", "date").withColumns(dates.date_parts(F.col("date")))
+    return f.named_sales.select("store", "date").withColumns(dates.date_parts(F.col("date")))
 
 
 @query("year_week", sql("feat", "SELECT store, date, year_week FROM feat"))
 def year_week(f: Frames) -> DataFrame:
-    return f.raw.select("store", "date", dates.year_week(F.col("date")).alias("year_week"))
+    return f.named_sales.select("store", "date", dates.year_week(F.col("date")).alias("year_week"))
 
 
 @query(
@@ -425,14 +425,14 @@ def decode_categories(f: Frames) -> DataFrame:
     ),
 )
 def log_target(f: Frames) -> DataFrame:
-    logged = scaling.log_target(f.open_days.select("store", "date", "sales"))
+    logged = scaling.log_target(f.sales_days.select("store", "date", "sales"))
     both = logged.withColumn("restored", F.round(scaling.unlog(F.col("sales")), 4))
     return rounded(both, 6, ["sales"])
 
 
 @query("cyclic_encoding", sql("train", f"SELECT store, date, {_CYCLES_SQL} FROM train"))
 def cyclic_encoding(f: Frames) -> DataFrame:
-    parts = f.open_days.select("store", "date", "day_of_week", "month", "day", "week_of_year")
+    parts = f.sales_days.select("store", "date", "day_of_week", "month", "day", "week_of_year")
     return rounded(
         scaling.cyclic_encoding(parts).drop("day_of_week", "month", "day", "week_of_year")
     )
@@ -500,7 +500,7 @@ def label_encode(f: Frames) -> DataFrame:
     ),
 )
 def one_hot(f: Frames) -> DataFrame:
-    kept = f.open_days.select("store", "date", "state_holiday")
+    kept = f.sales_days.select("store", "date", "state_holiday")
     return scaling.one_hot(kept, "state_holiday", scaling.few_levels(kept, "state_holiday"))
 
 

@@ -14,6 +14,8 @@ from .registry import query, rounded
 
 ASSORTMENTS = ["basic", "extended", "extra"]
 STORE_TYPES = ["a", "b", "c", "d"]
+# Keys of the sales table: their totals need no join with the stores.
+SALES_KEYS = {"year", "month", "day", "day_of_week", "school_holiday", "state_holiday", "year_week"}
 
 _SUM = "CAST(sum(sales) AS BIGINT) AS sales"
 
@@ -26,6 +28,8 @@ def _total_sql(*keys: str, where: str = "") -> str:
 def _register_total(name: str, *keys: str) -> None:
     @query(name, _total_sql(*keys))
     def build(f: Frames) -> DataFrame:
+        if SALES_KEYS.issuperset(keys):
+            return totals.total_by(f.sales_days, *keys)
         rows_of = f.training if "competition_distance" in keys else f.open_days
         return totals.total_by(rows_of, *keys)
 
@@ -111,7 +115,7 @@ def weekly_promo_compare(f: Frames) -> DataFrame:
     "sales_by_holiday", _total_sql("state_holiday", where="WHERE state_holiday <> 'regular_day'")
 )
 def sales_by_holiday(f: Frames) -> DataFrame:
-    return totals.total_by_holiday(f.open_days)
+    return totals.total_by_holiday(f.sales_days)
 
 
 @query(
@@ -119,7 +123,7 @@ def sales_by_holiday(f: Frames) -> DataFrame:
     _total_sql("year", "state_holiday", where="WHERE state_holiday <> 'regular_day'"),
 )
 def sales_by_year_holiday(f: Frames) -> DataFrame:
-    return totals.total_by_holiday(f.open_days, "year")
+    return totals.total_by_holiday(f.sales_days, "year")
 
 
 @query(
@@ -130,7 +134,7 @@ def sales_by_year_holiday(f: Frames) -> DataFrame:
     ),
 )
 def sales_by_half_year(f: Frames) -> DataFrame:
-    return totals.total_by_half_year(f.open_days)
+    return totals.total_by_half_year(f.sales_days)
 
 
 @query(
@@ -142,7 +146,7 @@ def sales_by_half_year(f: Frames) -> DataFrame:
     ),
 )
 def sales_before_after_10th(f: Frames) -> DataFrame:
-    return totals.total_around_tenth(f.open_days)
+    return totals.total_around_tenth(f.sales_days)
 
 
 @query(
@@ -161,12 +165,12 @@ def mean_by_store(f: Frames) -> DataFrame:
     ),
 )
 def cutoff_by_store(f: Frames) -> DataFrame:
-    return rows.cutoff_by_store(f.open_days.select("store", "date"))
+    return rows.cutoff_by_store(f.sales_days.select("store", "date"))
 
 
 @query("distinct_values", sql("train", "SELECT DISTINCT state_holiday FROM train"))
 def distinct_values(f: Frames) -> DataFrame:
-    return totals.distinct_values(f.open_days, "state_holiday")
+    return totals.distinct_values(f.sales_days, "state_holiday")
 
 
 _PIVOT_SQL = (
@@ -236,7 +240,7 @@ def category_counts(f: Frames) -> DataFrame:
 def split_date_range(f: Frames) -> DataFrame:
     """Both ranges from one pass over the training rows."""
     part = F.when(F.col("date") < F.lit(f.cutoff), "train").otherwise("test")
-    return f.open_days.groupBy(part.alias("part")).agg(
+    return f.sales_days.groupBy(part.alias("part")).agg(
         F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
 
@@ -391,7 +395,7 @@ def fold_sql(body: str) -> str:
     ),
 )
 def cv_folds(f: Frames) -> DataFrame:
-    train, _ = rows.split_by_date(f.open_days.select("date"), f.cutoff)
+    train, _ = rows.split_by_date(f.sales_days.select("date"), f.cutoff)
     return errors.cv_folds(train, rows.last_date(train))
 
 

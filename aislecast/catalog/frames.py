@@ -8,10 +8,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.columns import rename_snake
 from ..operators.joins import attach_store
-from ..operators.rows import holdout_start, split_by_date
+from ..operators.rows import holdout_start, open_with_sales, split_by_date
 from ..plans import models
-from ..plans.prepare import add_features, clean, fit_parameters, model_rows, prepare, training_rows
+from ..plans.prepare import add_features, calendar_features, clean, fit_parameters, model_rows, prepare, training_rows
 from ..schemas import JOINED_COLUMNS
 from ..sources import panel
 from ..sources.parameters import Parameters
@@ -66,6 +67,16 @@ class Frames:
     def training(self) -> DataFrame:
         return training_rows(self.features)
 
+    @cached_property
+    def named_sales(self) -> DataFrame:
+        """The sales table with engine names, without a store joined to it."""
+        return rename_snake(self.sales)
+
+    @cached_property
+    def sales_days(self) -> DataFrame:
+        """Open days with sales and their calendar parts, for questions about no store column."""
+        return open_with_sales(calendar_features(self.named_sales))
+
     @cached_property
     def open_days(self) -> DataFrame:
         """The training rows without the competition distance, hence without its fill job."""
@@ -103,7 +114,7 @@ class Frames:
     @property
     def log_sales(self) -> DataFrame:
         """Store, date and log sales of the training rows: no parameters needed."""
-        return self.open_days.select("store", "date", F.log1p("sales").alias("sales"))
+        return self.sales_days.select("store", "date", F.log1p("sales").alias("sales"))
 
     def scored_by_average(self, fit_on: str = "train") -> DataFrame:
         train, test = split_by_date(self.log_sales, self.cutoff)

@@ -26,6 +26,8 @@ def _sql_literal(value: str | int | float) -> str:
 
 def lookup(key: Column, table: Mapping) -> Column:
     """Value of ``key`` in a literal map; an unknown key gives NULL."""
+    if not table:
+        return F.lit(None)
     items = ", ".join(_sql_literal(item) for pair in table.items() for item in pair)
     return F.try_element_at(F.expr(f"map({items})"), key)
 

@@ -193,7 +193,11 @@ def cramers_v_from_counts(cells: DataFrame, published: bool = False) -> DataFram
     col_side = cols.groupBy(*pair).agg(
         F.count(F.lit(1)).alias("n_cols"), F.sum(1 / F.col("c")).alias("inv_c")
     )
-    t = shares.join(row_side, pair).join(col_side, pair)
+    # One row per pair from each of the three: gathered without a join.
+    parts = shares.unionByName(row_side, allowMissingColumns=True)
+    parts = parts.unionByName(col_side, allowMissingColumns=True)
+    names = ["phi", "n", "n_rows", "inv_r", "n_cols", "inv_c"]
+    t = parts.groupBy(*pair).agg(*[F.max(name).alias(name) for name in names])
 
     n, r, k = F.col("n").cast("double"), F.col("n_rows"), F.col("n_cols")
     plain = F.greatest(n * (F.col("phi") - 1), F.lit(0.0))

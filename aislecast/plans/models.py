@@ -51,7 +51,9 @@ FIRST_BOOSTED = {
 SEED = 42
 # --- end of fixed values -----------------------------------------------------
 
+# Fits that share the cluster: folds of one model, and draws of one search.
 PARALLEL_FITS = 4
+PARALLEL_DRAWS = 2
 
 
 def estimator(regressor, features: Sequence[str] = FEATURES) -> Pipeline:
@@ -242,11 +244,14 @@ def random_search(
     bins: int = 256,
 ) -> DataFrame:
     """Cross-validated error of each drawn combination, best RMSE first."""
-    results = []
-    for draw, values in enumerate(draw_parameters(grid, draws, seed)):
-        result = cross_validate(rows, last, folds, "Boosted Trees", boosted(**values, bins=bins, seed=seed))
+    def one_draw(item: tuple[int, dict]) -> DataFrame:
+        draw, values = item
+        model = boosted(**values, bins=bins, seed=seed)
+        result = cross_validate(rows, last, folds, "Boosted Trees", model)
         settings = [F.lit(v).alias(name) for name, v in values.items()]
-        results.append(result.select(F.lit(draw).alias("draw"), *settings, "*"))
+        return result.select(F.lit(draw).alias("draw"), *settings, "*")
+
+    results = in_threads(one_draw, enumerate(draw_parameters(grid, draws, seed)), PARALLEL_DRAWS)
     return reduce(DataFrame.unionByName, results).orderBy("rmse_mean", "draw")
 
 

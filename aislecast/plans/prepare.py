@@ -58,19 +58,28 @@ def clean(
     return cast_integers(df, *STARTS)
 
 
-def add_features(df: DataFrame) -> DataFrame:
-    """Calendar parts, time since competition and promotion began, decoded names."""
+def calendar_features(df: DataFrame) -> DataFrame:
+    """What follows from the sales columns alone, also before a store is joined."""
     date = F.col("date")
-    df = df.withColumns(
+    return df.withColumns(
         {
             **dates.date_parts(date),
             "year_week": dates.year_week(date),
+            "state_holiday": holiday_name(F.col("state_holiday")),
+        }
+    )
+
+
+def add_features(df: DataFrame) -> DataFrame:
+    """Calendar parts, time since competition and promotion began, decoded names."""
+    date = F.col("date")
+    df = calendar_features(df).withColumns(
+        {
             "competition_since": dates.month_start(
                 F.col("competition_open_since_year"), F.col("competition_open_since_month")
             ),
             "promo_since": dates.week_before(F.col("promo2_since_year"), F.col("promo2_since_week")),
             "assortment": assortment_name(F.col("assortment")),
-            "state_holiday": holiday_name(F.col("state_holiday")),
         }
     )
     return df.withColumns(
