@@ -51,9 +51,8 @@ FIRST_BOOSTED = {
 SEED = 42
 # --- end of fixed values -----------------------------------------------------
 
-# Fits that share the cluster: folds of one model, and draws of one search.
+# Folds of one model that are fitted at the same time.
 PARALLEL_FITS = 4
-PARALLEL_DRAWS = 2
 
 
 def estimator(regressor, features: Sequence[str] = FEATURES) -> Pipeline:
@@ -244,14 +243,12 @@ def random_search(
     bins: int = 256,
 ) -> DataFrame:
     """Cross-validated error of each drawn combination, best RMSE first."""
-    def one_draw(item: tuple[int, dict]) -> DataFrame:
-        draw, values = item
+    results = []
+    for draw, values in enumerate(draw_parameters(grid, draws, seed)):
         model = boosted(**values, bins=bins, seed=seed)
         result = cross_validate(rows, last, folds, "Boosted Trees", model)
         settings = [F.lit(v).alias(name) for name, v in values.items()]
-        return result.select(F.lit(draw).alias("draw"), *settings, "*")
-
-    results = in_threads(one_draw, enumerate(draw_parameters(grid, draws, seed)), PARALLEL_DRAWS)
+        results.append(result.select(F.lit(draw).alias("draw"), *settings, "*"))
     return reduce(DataFrame.unionByName, results).orderBy("rmse_mean", "draw")
 
 
