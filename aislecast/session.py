@@ -55,6 +55,32 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/aislecast/{label}-{uuid.uuid4().hex}"
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """Have ``path`` deleted when the application ends; the path itself is returned."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a work folder whose content no frame needs any more."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+    """Write ``df`` as parquet below the shared folder and read it back.
+
+    The lineage ends at the files, which every executor reaches, so a lost
+    executor costs no recomputation. They go when the application ends.
+    """
+    spark = df.sparkSession
+    path = kept_until_exit(spark, work_path(spark, label))
+    schema = df.schema
+    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    return spark.read.schema(schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and cut its lineage."""
     shared_folder(df.sparkSession)
