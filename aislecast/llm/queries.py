@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, token_files, trie_bpe, warc
+from . import decontaminate, lines, neighbours, quality, token_files, trie_bpe, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,34 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.drop_repeated_lines(docs)
     kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256)
     return rows.select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
+@query(
+    "op10_hilbert_search",
+    """
+    WITH v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+        FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    ), r AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op10_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_quality_scores")
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score from a model fitted on labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = quality.score_documents(docs, model, carry=["doc_id"])
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -64,8 +64,7 @@ class SpacedEncoder:
         if len(self.known) > MEMO:
             self.known.clear()
         split = [None if _RUNS.search(text) else text.split(" ") for text in texts]
-        new = {w for words in split if words for w in words[1:]} - self.known.keys()
-        fresh = list(new)
+        fresh = [w for w in {w for words in split if words for w in words[1:]} if w not in self.known]
         for start in range(0, len(fresh), 10_000):
             part = fresh[start : start + 10_000]
             done = self.tokenizer.encode_batch([" " + w for w in part], add_special_tokens=False)

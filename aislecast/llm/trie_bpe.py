@@ -197,7 +197,7 @@ class WordEncoder:
         split = [
             [w for w in _SPACES.split(t) if w] if _SEPARATORS.search(t) else t.split() for t in texts
         ]
-        new = list({w for words in split for w in words} - self.ids.keys())
+        new = [w for w in {w for words in split for w in words} if w not in self.ids]
         for start in range(0, len(new), 50_000):
             self._learn(new[start : start + 50_000])
         ids_of, tokens_of, out = self.ids.__getitem__, self.tokens.__getitem__, []

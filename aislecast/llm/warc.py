@@ -297,4 +297,5 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFr
     spark: SparkSession = pages.sparkSession
     folder = kept_until_exit(spark, work_path(spark, "warc"))
     files = written(write_archives(plan_records(pages), folder, segment), "warc-files")
-    return decode_pages(reassemble(read_records(files.repartition("file"))))
+    # As many partitions as files, so that each file is a task's own work.
+    return decode_pages(reassemble(read_records(files.repartition(max(1, files.count())))))
