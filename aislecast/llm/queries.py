@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, neighbours, quality, token_files, trie_bpe, warc
+from . import decontaminate, lines, neighbours, privacy, quality, token_files, trie_bpe, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,20 @@ def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     rows = quality.score_documents(docs, model, carry=["doc_id"])
     return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op1_disclosure")
+def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's identifiers and the words that disclose them."""
+    rows = privacy.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return rows.select(
+        "doc_id",
+        *[count(kind) for kind in privacy.PATTERNS],
+        F.sha2(privacy.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        privacy.spans_text(F.col("spans")).alias("spans"),
+    )
