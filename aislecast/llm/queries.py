@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, near_copies, neighbours, privacy, quality, token_files, trie_bpe, warc
+from . import decontaminate, lines, near_copies, neighbours, privacy, quality, templates, token_files, trie_bpe, warc
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,9 @@ def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of shingles and group of near copies."""
     return near_copies.near_copies(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op6_template_text")
+def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's article, cut out by its host's template."""
+    return templates.extract_main_text(table(spark, sf_dir, "pages"))
