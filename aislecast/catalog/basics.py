@@ -201,15 +201,12 @@ _NOT_SELECTED = [
     sql(
         "train",
         " UNION ALL ".join(
-            f"SELECT '{n}' AS feature WHERE EXISTS (SELECT 1 FROM train)"
-            if n.startswith("state_holiday_")
-            else f"SELECT '{n}' AS feature WHERE (SELECT count({n}) FROM train) > 0"
-            for n in _NOT_SELECTED
+            f"SELECT '{n}' AS feature WHERE EXISTS (SELECT 1 FROM train)" for n in _NOT_SELECTED
         ),
     ),
 )
 def features_rejected(f: Frames) -> DataFrame:
-    """Prepared columns that hold data and are not in the fixed feature list."""
+    """Prepared columns that are not in the fixed feature list."""
     return columns.names_difference(f.prepared.drop("date", "sales"), FEATURES)
 
 
@@ -315,9 +312,8 @@ def filter_not_null(f: Frames) -> DataFrame:
     ),
 )
 def time_split(f: Frames) -> DataFrame:
-    kept = f.named_sales.select("store", "date", "sales")
-    train, test = rows.split_by_date(kept, f.cutoff)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    part = F.when(F.col("date") < F.lit(f.cutoff), "train").otherwise("test")
+    return f.named_sales.select("store", "date", "sales", part.alias("part"))
 
 
 # --- joins -------------------------------------------------------------------
@@ -482,9 +478,7 @@ def minmax_scale(f: Frames) -> DataFrame:
     ),
 )
 def label_encode(f: Frames) -> DataFrame:
-    kept = f.open_days.select("store", "date", "store_type")
-    levels = scaling.few_levels(f.store.withColumnRenamed("StoreType", "store_type"), "store_type")
-    return scaling.label_encode(kept, "store_type", levels)
+    return scaling.label_encode(f.open_days.select("store", "date", "store_type"), "store_type")
 
 
 @query(

@@ -22,12 +22,15 @@ def whole_periods(later: Column, earlier: Column, days: int) -> Column:
 
 
 def month_start(year: Column, month: Column) -> Column:
-    return F.make_date(year, month, F.lit(1))
+    """First day of the month; NULL where there is no such month."""
+    exists = month.between(1, 12) & year.between(1, 9999)
+    return F.when(exists, F.make_date(year, F.when(exists, month).otherwise(1), F.lit(1)))
 
 
 def week_before(year: Column, week: Column) -> Column:
-    """Monday of ``%W`` week ``week`` of ``year``, less seven days."""
-    eve = F.date_sub(F.make_date(year, F.lit(1), F.lit(1)), 1)
+    """Monday of ``%W`` week ``week`` of ``year``, less seven days; NULL where there is no such week."""
+    exists = week.between(0, 53) & year.between(1, 9999)
+    eve = F.date_sub(F.make_date(F.when(exists, year), F.lit(1), F.lit(1)), 1)
     return F.date_add(F.next_day(eve, "MON"), (7 * (week - 2)).cast("int"))
 
 

@@ -1,9 +1,9 @@
 """Exact quantiles without gathering a group in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. Here the values are first counted (with map-side combine),
-the distinct values of each group are cut into slices of about equal size, and
-only the slices that hold a wanted rank are sorted, each on its own.
+aggregation buffer. Here the values are first counted (with map-side combine).
+Brackets around the wanted ranks are then narrowed until each holds few enough
+distinct values to be sorted by one task, whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .spreading import salted_join
 
-SLICES = 32
-# Distinct values that fit one aggregation buffer with ease.
-SMALL = 200_000
+# Distinct values that one task sorts, and parts that a longer bracket is cut into.
+BRACKET_ROWS = 100_000
+PARTS = 32
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -33,9 +34,8 @@ def exact_quantiles(
     counts: DataFrame,
     groups: Sequence[str],
     probs: Sequence[float],
-    slices: int = SLICES,
     few_groups: bool = False,
-    distinct: int | None = None,
+    bracket_rows: int = BRACKET_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value_counts`` output.
 
@@ -43,52 +43,33 @@ def exact_quantiles(
     ``probs``. Equal to NumPy's default method. ``few_groups`` says that the
     groups are column names, at most one per column of a table: the one-row-per-
     group frames are then broadcast. Otherwise they are joined with salted keys.
-    At least one group column is needed; a constant will do. ``distinct`` is
-    the number of rows of ``counts`` where the caller knows it: a small table
-    goes to Spark's own weighted ``percentile``, with the same result.
+    At least one group column is needed; a constant will do.
+
+    A bracket is a range of values that holds a wanted rank; at first each
+    group is one. A bracket of more than ``bracket_rows`` distinct values is cut
+    at approximate quantiles, and only the parts that hold a rank go on. Each
+    pass makes the largest bracket some ``PARTS`` times smaller.
     """
     groups = list(groups)
-    if distinct is not None and distinct <= SMALL:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return counts.groupBy(*groups).agg(
-            F.sum("n").alias("total"), F.percentile("x", wanted, F.col("n")).alias("q")
-        )
-
-    def attach(per_group: DataFrame) -> DataFrame:
-        if few_groups:
-            return counts.join(F.broadcast(per_group), groups)
-        return salted_join(counts, per_group, groups, ["x"])
-
-    cuts = [i / slices for i in range(1, slices)]
-    # One row per group: the slice borders, found over distinct values.
-    borders = counts.groupBy(*groups).agg(
-        F.percentile_approx("x", cuts, F.lit(20 * slices)).alias("borders")
-    )
-    # One row per group: rows up to each border, then the slices holding a rank.
-    up_to = ", ".join(f"sum(IF(x <= borders[{i}], n, 0L))" for i in range(slices - 1))
-    sizes = (
-        attach(borders)
-        .groupBy(*groups)
-        .agg(F.first("borders").alias("borders"), F.expr(f"array({up_to})").alias("ends"), F.sum("n").alias("total"))
-    )
     low, high, share = _ranks(probs)
-    in_slice = [_slice_of(rank) for rank in low + high]
-    slice_number = F.explode(F.array_distinct(F.array(*in_slice)))
-    targets = sizes.withColumn("slice", slice_number).select(
-        *groups,
-        "slice",
-        "total",
-        F.get("borders", F.col("slice") - 1).alias("above"),
-        F.get("borders", F.col("slice")).alias("to"),
-        F.coalesce(F.get("ends", F.col("slice") - 1), F.lit(0)).alias("before"),
+    totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
+    nothing = F.lit(None).cast("double")
+    brackets = totals.select(
+        *groups, "total", nothing.alias("above"), nothing.alias("to"), F.lit(0).cast("long").alias("before")
     )
-    over = F.coalesce(F.col("x") > F.col("above"), F.lit(True))
-    under = F.coalesce(F.col("x") <= F.col("to"), F.lit(True))
-    inside = Window.partitionBy(*groups, "slice").orderBy("x")
+
+    def inside(brackets: DataFrame) -> DataFrame:
+        met = counts.join(F.broadcast(brackets), groups) if few_groups else salted_join(counts, brackets, groups, ["x"])
+        over = F.coalesce(F.col("x") > F.col("above"), F.lit(True))
+        return met.where(over & F.coalesce(F.col("x") <= F.col("to"), F.lit(True)))
+
+    bounds = ["total", "above", "to", "before"]
+    while (_largest(inside(brackets), [*groups, "before"]) or 0) > bracket_rows:
+        brackets = written(_narrowed(inside(brackets), [*groups, *bounds], low + high), "brackets")
+    within = Window.partitionBy(*groups, "before").orderBy("x")
     ranked = (
-        attach(targets)
-        .where(over & under)
-        .withColumn("end", F.col("before") + F.sum("n").over(inside))
+        inside(brackets)
+        .withColumn("end", F.col("before") + F.sum("n").over(within))
         .withColumn("start", F.col("end") - F.col("n"))
     )
 
@@ -102,6 +83,39 @@ def exact_quantiles(
     return ranked.groupBy(*groups).agg(F.max("total").alias("total"), F.array(*picks).alias("q"))
 
 
+def _largest(rows: DataFrame, keys: Sequence[str]) -> int | None:
+    """Distinct values in the largest bracket."""
+    return rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+def _narrowed(rows: DataFrame, keys: Sequence[str], ranks: Sequence[Column]) -> DataFrame:
+    """The parts of the brackets that hold a rank.
+
+    The sums per part are map-side combined, one row for each bracket and part.
+    """
+    cuts = [i / PARTS for i in range(1, PARTS)]
+    borders = rows.groupBy(*keys).agg(F.percentile_approx("x", cuts, F.lit(20 * PARTS)).alias("borders"))
+    # A group and the rows before it tell a bracket; its lower bound may be missing.
+    names = [k for k in keys if k not in ("above", "to")]
+    cut = salted_join(rows.drop("above", "to"), borders.select(*names, "above", "borders"), names, ["x"])
+    part = F.size(F.filter("borders", lambda b: b < F.col("x")))
+    sizes = cut.groupBy(*names, "above", "borders", part.alias("part")).agg(
+        F.sum("n").alias("size"), F.max("x").alias("to")
+    )
+    order = Window.partitionBy(*names).orderBy("part")
+    placed = sizes.withColumn("end", F.col("before") + F.sum("size").over(order)).withColumn(
+        "start", F.col("end") - F.col("size")
+    )
+    held = [(F.col("start") <= rank) & (rank < F.col("end")) for rank in ranks]
+    wanted = held[0]
+    for one in held[1:]:
+        wanted = wanted | one
+    below = F.coalesce(F.get("borders", F.col("part") - 1), "above")
+    return placed.where(wanted).select(
+        *[k for k in names if k != "before"], below.alias("above"), "to", F.col("start").alias("before")
+    )
+
+
 def quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -126,8 +140,3 @@ def _ranks(probs: Sequence[float]) -> tuple[list[Column], list[Column], list[Col
     spots = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
     low = [F.floor(s) for s in spots]
     return low, [F.ceil(s) for s in spots], [s - f for s, f in zip(spots, low)]
-
-
-def _slice_of(rank: Column) -> Column:
-    """Number of the slice with the row of this rank: the borders it lies beyond."""
-    return F.size(F.filter("ends", lambda end: end <= rank))

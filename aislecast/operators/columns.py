@@ -57,8 +57,10 @@ def cast_integers(df: DataFrame, *names: str, strict: bool = True) -> DataFrame:
     return df.withColumns({n: F.col(n).try_cast("int") for n in names})
 
 
-def parse_dates(df: DataFrame, *names: str, fmt: str | None = None) -> DataFrame:
-    return df.withColumns({n: F.to_date(n, fmt) if fmt else F.to_date(n) for n in names})
+def parse_dates(df: DataFrame, *names: str, fmt: str | None = None, strict: bool = True) -> DataFrame:
+    """Parse to dates; with ``strict=False`` what is no date becomes NULL."""
+    read = F.to_date if strict else F.try_to_date
+    return df.withColumns({n: read(n, fmt) if fmt else read(n) for n in names})
 
 
 def table_shape(df: DataFrame) -> DataFrame:
@@ -83,7 +85,6 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def names_difference(df: DataFrame, selected: Sequence[str]) -> DataFrame:
-    """Columns of ``df`` that hold data and are not in ``selected``."""
-    held = column_types(df).where(F.col("present") > 0).select(F.col("column_name").alias("feature"))
-    chosen = df.sparkSession.createDataFrame([(n,) for n in selected], "feature string")
-    return held.subtract(chosen)
+    """Columns of ``df`` that are not in ``selected``: a question about the schema alone."""
+    others = [(n,) for n in df.columns if n not in set(selected)]
+    return df.sparkSession.createDataFrame(others, "feature string")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encode import assortment_rank, cycle, lookup
-from ..functions.quantiles import exact_quantiles, quantiles, value_counts
+from ..functions.quantiles import quantiles
 from ..functions.spreading import salted_join
 from ..schemas import CYCLES, TARGET
 from ..session import durable
@@ -23,34 +23,23 @@ MAX_LITERAL_LEVELS = 1000
 def robust_parameters(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """``(feature, center, scale)``: median and interquartile range."""
     long = long_values(df, columns, "feature")
-    if not approx:
-        return robust_from_counts(value_counts(long, ["feature"], "value"))
-    return _median_and_range(quantiles(long, ["feature"], "value", QUARTILES, approx=True))
-
-
-def robust_from_counts(counts: DataFrame, distinct: int | None = None) -> DataFrame:
-    """The same from ``(feature, x, n)`` value counts, ``distinct`` of them if known."""
-    return _median_and_range(
-        exact_quantiles(counts, ["feature"], QUARTILES, few_groups=True, distinct=distinct)
-    )
-
-
-def _median_and_range(q: DataFrame) -> DataFrame:
+    q = quantiles(long, ["feature"], "value", QUARTILES, approx=approx, few_groups=True)
     return q.select(
         "feature", F.col("q")[1].alias("center"), (F.col("q")[2] - F.col("q")[0]).alias("scale")
     )
 
 
 def minmax_parameters(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, center, scale)``: minimum and range."""
-    return minmax_from_counts(long_values(df, columns, "feature").withColumnRenamed("value", "x"))
-
-
-def minmax_from_counts(counts: DataFrame) -> DataFrame:
-    """The same from ``(feature, x)`` rows, repeated values or not."""
-    return counts.groupBy("feature").agg(
-        F.min("x").alias("center"), (F.max("x") - F.min("x")).alias("scale")
-    )
+    """``(feature, center, scale)``: minimum and range, from one aggregate."""
+    ends = [
+        F.struct(
+            F.lit(c).alias("feature"),
+            F.min(F.col(c).cast("double")).alias("center"),
+            (F.max(F.col(c).cast("double")) - F.min(F.col(c).cast("double"))).alias("scale"),
+        )
+        for c in columns
+    ]
+    return df.agg(F.array(*ends).alias("rows")).select(F.inline("rows")).where(F.col("center").isNotNull())
 
 
 def scaled(value: Column, center: Column | float, scale: Column | float) -> Column:
@@ -108,20 +97,34 @@ def level_codes(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def label_encode(df: DataFrame, column: str, levels: Sequence | None = None) -> DataFrame:
-    """Replace sorted distinct values by 0..k-1."""
-    levels = levels if levels is not None else few_levels(df, column)
-    if levels is not None:
+def label_encode(
+    df: DataFrame, column: str, levels: Sequence | DataFrame | None = None, unseen: int | None = None
+) -> DataFrame:
+    """Replace sorted distinct values by 0..k-1, and a value that is no level, or missing, by ``unseen``.
+
+    ``levels`` is the sorted list, or a frame ``(column, code)``, which is
+    joined; without it the levels are those of ``df``, at any number.
+    """
+    if levels is None:
+        found = few_levels(df, column)
+        levels = level_codes(df, column) if found is None else found
+    other = F.lit(unseen).cast("int")
+    if not isinstance(levels, DataFrame):
         codes = {level: code for code, level in enumerate(levels)}
-        return df.withColumn(column, lookup(F.col(column), codes).cast("int"))
+        return df.withColumn(column, F.coalesce(lookup(F.col(column), codes).cast("int"), other))
     names = df.columns
     others = [n for n in names if n != column] or names
-    coded = salted_join(df, level_codes(df, column), [column], others, "left")
-    return coded.withColumn(column, F.col("code")).select(*names)
+    coded = salted_join(df, levels.select(column, "code"), [column], others, "left")
+    return coded.withColumn(column, F.coalesce(F.col("code").cast("int"), other)).select(*names)
+
 
+def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None) -> DataFrame:
+    """One 0/1 column ``<column>_<level>`` per level in place of ``column``.
 
-def one_hot(df: DataFrame, column: str, levels: Sequence[str]) -> DataFrame:
-    """One 0/1 column ``<column>_<level>`` per level in place of ``column``."""
+    A table gets no more than ``MAX_LITERAL_LEVELS`` such columns.
+    """
+    if levels is None or len(levels) > MAX_LITERAL_LEVELS:
+        raise ValueError(f"{column} has more than {MAX_LITERAL_LEVELS} levels, too many for a column each")
     flags = {
         f"{column}_{level}": F.when(F.col(column) == level, 1).otherwise(0) for level in levels
     }

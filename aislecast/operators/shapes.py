@@ -5,33 +5,48 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, value_counts
 from ..functions.spreading import salted_join
-from .columns import long_values, numeric_names
+from ..session import written
+from .columns import numeric_names
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 25) -> DataFrame:
     """Equal-width bins between each column's min and max, the last one closed.
 
-    Returns ``(attribute, bin, lower, upper, n)``; empty bins have ``n = 0``.
+    Returns ``(attribute, bin, lower, upper, n)``; empty bins have ``n = 0``. A
+    constant column has all its rows in the first bin, one without values has
+    no bins. The limits are one row, read first; the bins are then counted where
+    the rows are, so at most ``bins`` rows a column and task are shuffled.
     """
     names = list(columns or numeric_names(df))
-    counts = value_counts(long_values(df, names), ["attribute"], "value")
-    limits = counts.groupBy("attribute").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    limits = limits.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
-
-    # One row per column of the table: safe to broadcast. A constant column has
-    # no width: all its rows are in the first bin.
-    spot = F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), F.col("width"))), F.lit(0))
-    placed = counts.join(F.broadcast(limits), "attribute").withColumn(
-        "bin", F.least(spot, F.lit(bins - 1)).cast("int")
+    doubles = df.select([F.col(c).cast("double").alias(c) for c in names])
+    ends = doubles.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("lo", F.min), ("hi", F.max))])
+    row = ends.first()
+    known = {c: (row[f"lo{i}"], (row[f"hi{i}"] - row[f"lo{i}"]) / bins) for i, c in enumerate(names) if row[f"lo{i}"] is not None}
+    limits = df.sparkSession.createDataFrame(
+        [(c, lo, width, b) for c, (lo, width) in known.items() for b in range(bins)],
+        "attribute string, lo double, width double, bin int",
     )
-    filled = placed.groupBy("attribute", "bin").agg(F.sum("n").alias("n"))
-    every = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return every.join(filled, ["attribute", "bin"], "left").select(
+
+    def place(c: str) -> Column:
+        lo, width = known[c]
+        spot = F.floor((F.col(c) - F.lit(lo)) / F.lit(width)) if width else F.lit(0)
+        return F.when(F.col(c).isNotNull(), F.least(spot, F.lit(bins - 1)).cast("int")).alias(c)
+
+    filled = (
+        doubles.select(*[place(c) for c in known])
+        .unpivot([], list(known), "attribute", "bin")
+        .where(F.col("bin").isNotNull())
+        .groupBy("attribute", "bin")
+        .agg(F.count(F.lit(1)).alias("n"))
+        if known
+        else df.sparkSession.createDataFrame([], "attribute string, bin int, n long")
+    )
+    return limits.join(filled, ["attribute", "bin"], "left").select(
         "attribute",
         "bin",
         (F.col("lo") + F.col("bin") * F.col("width")).alias("lower"),
@@ -46,8 +61,8 @@ def kernel_density(
     """Gaussian kernel density of ``value`` per group at evenly spaced points.
 
     Scott bandwidth; the grid reaches ``cut`` bandwidths past the data. Rows are
-    first reduced to distinct values with counts. Each task then sums its
-    values into at most ``groups x points`` partial sums before the shuffle.
+    first reduced to distinct values with counts; one aggregate then holds
+    ``points`` sums for each group, combined on the map side.
     """
     counts = value_counts(df, [group], value)
     x, n = F.col("x"), F.col("n")
@@ -67,23 +82,30 @@ def kernel_density(
     )
     placed = salted_join(counts, grid.where(F.col("h") > 0), [group], ["x"]).select(
         group,
+        "first",
+        "step",
         # In bandwidths from the first grid point, and the share of one value.
         ((F.col("first") - x) / F.col("h")).alias("z0"),
         (F.col("step") / F.col("h")).alias("dz"),
         (n / (F.col("total") * F.col("h") * math.sqrt(2 * math.pi))).alias("w"),
-        F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
     )
-    z = F.col("z0") + F.col("point") * F.col("dz")
-    curve = placed.groupBy(group, "point").agg(F.sum(F.col("w") * F.exp(z * z * -0.5)).alias("density"))
-    at = F.col("first") + F.col("point") * F.col("step")
-    return curve.join(grid, group).select(group, "point", at.alias("at"), "density")
+
+    def height(point: int) -> Column:
+        z = F.col("z0") + point * F.col("dz")
+        return F.sum(F.col("w") * F.exp(z * z * -0.5))
+
+    curve = placed.groupBy(group, "first", "step").agg(F.array(*[height(i) for i in range(points)]).alias("heights"))
+    return curve.select(group, "first", "step", F.posexplode("heights").alias("point", "density")).select(
+        group, "point", (F.col("first") + F.col("point") * F.col("step")).alias("at"), "density"
+    )
 
 
 def box_stats(df: DataFrame, dimensions: Sequence[str], value: str) -> DataFrame:
     """Quartiles, whiskers (extreme rows within 1.5 IQR) and outliers per level.
 
     ``(dimension, level, q1, median, q3, low, high, outliers, n)``. With no
-    dimensions the whole table is one box.
+    dimensions the whole table is one box. The counts of distinct values are
+    made once, for quartiles and whiskers.
     """
     if dimensions:
         text = [F.col(d).cast("string").alias(d) for d in dimensions]
@@ -91,7 +113,7 @@ def box_stats(df: DataFrame, dimensions: Sequence[str], value: str) -> DataFrame
     else:
         long = df.select(F.col(value), F.lit("all").alias("dimension"), F.lit("all").alias("level"))
     groups = ["dimension", "level"]
-    counts = value_counts(long.where(F.col("level").isNotNull()), groups, value)
+    counts = written(value_counts(long.where(F.col("level").isNotNull()), groups, value), "box-counts")
     boxes = exact_quantiles(counts, groups, [0.25, 0.5, 0.75]).select(
         *groups,
         F.col("q")[0].alias("q1"),

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_quantiles, quantiles, value_counts
+from ..functions.quantiles import exact_quantiles, value_counts
 from ..session import held
 from .columns import long_values, numeric_names
 
@@ -22,110 +18,60 @@ def describe_numeric(
 ) -> DataFrame:
     """Min, max, range, mean, median, population std, skew and kurtosis per column.
 
-    Skew and (excess) kurtosis are bias-corrected. The table is read once, into
-    counts of distinct values per column; the moments are taken around the mean
-    from those counts, and so are the exact medians.
+    Skew and (excess) kurtosis are bias-corrected. All of them are aggregates of
+    one pass, so no value is shuffled, and with ``approx_median`` neither for
+    the median. An exact median needs the counts of the distinct values.
     """
     names = list(columns or numeric_names(df))
-    with held(value_counts(long_values(df, names), ["attribute"], "value")) as counts:
-        medians = exact_quantiles(counts, ["attribute"], [0.5], few_groups=True, distinct=counts.count())
-        if approx_median:
-            medians = quantiles(long_values(df, names), ["attribute"], "value", [0.5], approx=True)
-        table = _moments(counts, medians.select("attribute", F.col("q")[0].alias("median")))
-        return df.sparkSession.createDataFrame(table.collect(), table.schema)
-
-
-def _moments(counts: DataFrame, medians: DataFrame) -> DataFrame:
-    """One row per column, from its value counts and its median."""
-    x, n = F.col("x"), F.col("n")
-    sums = counts.groupBy("attribute").agg(
-        F.sum(n).cast("double").alias("total"),
-        (F.sum(n * x) / F.sum(n)).alias("mean"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    )
-    # One row per column of the table: safe to broadcast.
-    gap = x - F.col("mean")
-    around = counts.join(F.broadcast(sums), "attribute").groupBy(
-        "attribute", "total", "mean", "min", "max"
-    )
-    moments = around.agg(
-        *[(F.sum(n * F.pow(gap, F.lit(p))) / F.col("total")).alias(f"m{int(p)}") for p in (2.0, 3.0, 4.0)]
-    )
-    total, m2 = F.col("total"), F.col("m2")
-    g1 = F.try_divide(F.col("m3"), F.pow(m2, F.lit(1.5)))
-    g2 = F.try_divide(F.col("m4"), m2 * m2) - 3
-    skew = F.try_divide(g1 * F.sqrt(total * (total - 1)), total - 2)
-    kurtosis = F.try_divide(total - 1, (total - 2) * (total - 3)) * ((total + 1) * g2 + 6)
-    return moments.join(F.broadcast(medians), "attribute").select(
+    kinds = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "g1": F.skewness, "g2": F.kurtosis}
+    kinds["total"] = F.count
+    if approx_median:
+        kinds["median"] = lambda c: F.percentile_approx(c, 0.5, F.lit(10_000))
+    # One row for each column and task is shuffled.
+    long = long_values(df, names)
+    table = long.groupBy("attribute").agg(*[f("value").alias(k) for k, f in kinds.items()])
+    if not approx_median:
+        counts = value_counts(long, ["attribute"], "value")
+        with held(counts) as kept:
+            found = exact_quantiles(kept, ["attribute"], [0.5], few_groups=True)
+            medians = [(r["attribute"], r["q"][0]) for r in found.collect()]
+        small = df.sparkSession.createDataFrame(medians, "attribute string, median double")
+        # One row per column of the table: safe to broadcast.
+        table = table.join(F.broadcast(small), "attribute", "left")
+    total = F.col("total").cast("double")
+    skew = F.try_divide(F.col("g1") * F.sqrt(total * (total - 1)), total - 2)
+    kurtosis = F.try_divide(total - 1, (total - 2) * (total - 3)) * ((total + 1) * F.col("g2") + 6)
+    return table.where(total > 0).select(
         "attribute",
         "min",
         "max",
         (F.col("max") - F.col("min")).alias("range"),
         "mean",
         "median",
-        F.sqrt(m2).alias("std"),
+        "std",
         F.when(total > 2, skew).alias("skew"),
         F.when(total > 3, kurtosis).alias("kurtosis"),
     )
 
 
-# More pairs than this are computed as one matrix instead of as single aggregates.
-MAX_PAIR_AGGREGATES = 15
-
-
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair as ``(col_a, col_b, r)``.
 
-    Few columns are pairwise aggregates. Many columns are one distributed
-    covariance matrix; its size is the square of the number of columns. Rows
-    with a missing value count for the pairs they are complete in, so a table
-    with missing values is always done pair by pair.
+    One aggregate over one scan, with one row for each pair and task to shuffle.
+    A row with a missing value counts for the pairs in which it is complete.
     """
     names = list(columns or numeric_names(df))
+    pairs = list(combinations_with_replacement(names, 2))
     doubles = df.select([F.col(c).cast("double").alias(c) for c in names])
-    if len(names) * (len(names) - 1) // 2 <= MAX_PAIR_AGGREGATES:
-        return _corr_pairs(doubles, list(combinations(names, 2)), names)
-    with held(doubles) as kept:
-        gaps = kept.where(" OR ".join(f"`{n}` IS NULL" for n in names))
-        if not gaps.isEmpty():
-            return _corr_in_batches(doubles, names)
-        rows = VectorAssembler(inputCols=names, outputCol="v").transform(kept).select("v")
-        matrix = Correlation.corr(rows, "v").first()[0].toArray()
-    cells = [
-        (a, b, None if math.isnan(matrix[i, j]) else float(matrix[i, j]))
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-    ]
-    cells = [(a, b, 1.0 if a == b and r is not None else r) for a, b, r in cells]
-    return df.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
-
-
-def _corr_in_batches(doubles: DataFrame, names: list[str]) -> DataFrame:
-    pairs = list(combinations(names, 2))
-    parts = [
-        _corr_pairs(doubles, pairs[i : i + MAX_PAIR_AGGREGATES], names if i == 0 else [])
-        for i in range(0, len(pairs), MAX_PAIR_AGGREGATES)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _corr_pairs(
-    doubles: DataFrame, pairs: Sequence[tuple[str, str]], diagonal: Sequence[str]
-) -> DataFrame:
-    """Both triangles of the given pairs from one aggregate row."""
-    sums = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    spreads = [F.stddev_pop(a).alias(f"s{i}") for i, a in enumerate(diagonal)]
-
-    def cell(a: str, b: str, r: Column) -> Column:
-        return F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r"))
-
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells += [cell(a, b, F.col(f"r{i}")), cell(b, a, F.col(f"r{i}"))]
-    for i, a in enumerate(diagonal):
-        cells.append(cell(a, a, F.when(F.col(f"s{i}") > 0, F.lit(1.0))))
-    return doubles.agg(*sums, *spreads).select(F.inline(F.array(*cells)))
+    cells = [F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]
+    found = doubles.select(F.inline(F.array(*cells))).groupBy("pair").agg(
+        F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("spread")
+    )
+    places = [(i, a, b) for i, (a, b) in enumerate(pairs)] + [(i, b, a) for i, (a, b) in enumerate(pairs) if a != b]
+    named = df.sparkSession.createDataFrame(places, "pair int, col_a string, col_b string")
+    same = F.col("col_a") == F.col("col_b")
+    r = F.when(~same, F.col("r")).when(F.col("spread") > 0, F.lit(1.0))
+    return named.join(found, "pair", "left").select("col_a", "col_b", r.alias("r"))
 
 
 def corr_with(totals: DataFrame, x: str = "key", y: str = "sales") -> DataFrame:

@@ -270,8 +270,14 @@ def with_held(rows: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFr
 
 
 def feature_rows(prepared: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Only what training reads: the features, ``date`` and the log target."""
-    return prepared.select(*features, "date", TARGET)
+    """Only what training reads: the features, ``date`` and the log target of complete rows."""
+    return prepared.select(*features, "date", TARGET).dropna()
+
+
+def incomplete_rows(prepared: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
+    """The rows that ``feature_rows`` leaves out, plus ``reason``."""
+    missing = F.concat_ws(", ", *[F.when(F.col(n).isNull(), F.lit(n)) for n in [*features, "date", TARGET]])
+    return prepared.where(missing != "").withColumn("reason", F.concat(F.lit("no value for "), missing))
 
 
 def one_feature(prepared: DataFrame, feature: str) -> DataFrame:

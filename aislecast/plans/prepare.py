@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
@@ -32,6 +32,8 @@ ROBUST = ["competition_distance", "competition_time_month"]
 MINMAX = ["promo_time_week", "year"]
 LABELLED = "store_type"
 ONE_HOT = "state_holiday"
+# Code of a label that is missing or was not there when the levels were fitted.
+UNSEEN = -1
 STARTS = [
     "competition_open_since_month",
     "competition_open_since_year",
@@ -49,13 +51,13 @@ def clean(
 
     ``distance_fill=None`` leaves missing distances as they are.
     """
-    df = parse_dates(df, "date")
+    df = parse_dates(df, "date", strict=False)
     if distance_fill is not None:
         df = fill(df, "competition_distance", distance_fill)
-    df = fill_from_date(df)
+    df = fill_from_date(fill(df, "promo2", 0))
     df = df.withColumn("month_map", month_abbreviation(F.col("date"), month_names))
     df = df.withColumn("is_promo", listed(F.col("month_map"), F.col("promo_interval")))
-    return cast_integers(df, *STARTS)
+    return cast_integers(df, *STARTS, strict=False)
 
 
 def calendar_features(df: DataFrame) -> DataFrame:
@@ -103,22 +105,14 @@ def fit_parameters(training: DataFrame, distance_fill: DataFrame | None = None)
     """Fit every scaler and encoder: ``(feature, method, name, value)``.
 
     ``training`` holds ``training_rows``; ``distance_fill`` is a one-row frame
-    ``(value)`` kept along with the scalers for filling new records. The table
-    is read once, into counts of distinct values; quantiles, ranges and levels
-    are taken from those counts.
+    ``(value)`` kept along with the scalers for filling new records. Ranges are
+    one aggregate, and only the two columns with quartiles have their values
+    counted. An encoder's levels are numbered without limit.
     """
-    with held(_feature_counts(training)) as counts:
-        distinct = counts.count()
-        numbers = counts.where(F.col("x").isNotNull()).select("feature", "x", "n")
-        robust = numbers.where(F.col("feature").isin(ROBUST))
-        minmax = numbers.where(F.col("feature").isin(MINMAX))
+    with held(training.select(*ROBUST, *MINMAX, LABELLED, ONE_HOT)) as kept:
         parts = [
-            _scale_rows(scaling.robust_from_counts(robust, distinct), "robust"),
-            _scale_rows(scaling.minmax_from_counts(minmax), "minmax"),
-            counts.where(F.col("level").isNotNull())
-            .select("feature", F.lit("level").alias("method"), F.col("level").alias("name"))
-            .withColumn("value", F.lit(0.0))
-            .limit(2 * scaling.MAX_LITERAL_LEVELS + 1),
+            _scale_rows(scaling.robust_parameters(kept, ROBUST), "robust"),
+            _scale_rows(scaling.minmax_parameters(kept, MINMAX), "minmax"),
         ]
         if distance_fill is not None:
             parts.append(
@@ -129,30 +123,26 @@ def fit_parameters(training: DataFrame, distance_fill: DataFrame | None = None)
                     F.col("value").cast("double").alias("value"),
                 )
             )
-        rows = reduce(DataFrame.unionByName, parts).collect()
-    return training.sparkSession.createDataFrame(_with_codes(rows), COLUMNS)
-
-
-def _feature_counts(training: DataFrame) -> DataFrame:
-    """``(feature, x, level, n)``: distinct numbers or levels of every fitted column."""
-    cells = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            F.col(name).cast("double").alias("x"),
-            F.lit(None).cast("string").alias("level"),
-        )
-        for name in ROBUST + MINMAX
-    ]
-    cells += [
-        F.struct(
-            F.lit(name).alias("feature"),
-            F.lit(None).cast("double").alias("x"),
-            F.col(name).alias("level"),
-        )
-        for name in (LABELLED, ONE_HOT)
-    ]
-    long = training.select(F.inline(F.array(*cells)))
-    return long.groupBy("feature", "x", "level").agg(F.count(F.lit(1)).alias("n"))
+        rows = [tuple(r) for r in reduce(DataFrame.unionByName, parts).collect()]
+        large = []
+        for feature in (LABELLED, ONE_HOT):
+            levels = scaling.few_levels(kept, feature)
+            if levels is None:
+                # Written by level_codes, so it outlives the held rows.
+                large.append((feature, scaling.level_codes(kept, feature)))
+            else:
+                rows += [(feature, "level", name, float(i)) for i, name in enumerate(levels)]
+        table = training.sparkSession.createDataFrame(rows, COLUMNS)
+        for feature, codes in large:
+            table = table.unionByName(
+                codes.select(
+                    F.lit(feature).alias("feature"),
+                    F.lit("level").alias("method"),
+                    F.col(feature).alias("name"),
+                    F.col("code").cast("double").alias("value"),
+                )
+            )
+    return table
 
 
 def _scale_rows(fitted: DataFrame, method: str) -> DataFrame:
@@ -160,22 +150,6 @@ def _scale_rows(fitted: DataFrame, method: str) -> DataFrame:
     return long.select("feature", F.lit(method).alias("method"), "name", "value")
 
 
-def _with_codes(rows: list[Row]) -> list[tuple]:
-    """Number the sorted levels of each encoder."""
-    levels: dict[str, list[str]] = {LABELLED: [], ONE_HOT: []}
-    out = []
-    for feature, method, name, value in rows:
-        if method == "level":
-            levels[feature].append(name)
-        else:
-            out.append((feature, method, name, value))
-    for feature, names in levels.items():
-        if len(names) > scaling.MAX_LITERAL_LEVELS:
-            raise ValueError(f"{feature} has more than {scaling.MAX_LITERAL_LEVELS} levels")
-        out += [(feature, "level", name, float(i)) for i, name in enumerate(sorted(names))]
-    return out
-
-
 def prepare(df: DataFrame, parameters: Parameters) -> DataFrame:
     """Scale, encode and transform with saved parameters."""
     df = df.withColumns(
@@ -184,8 +158,9 @@ def prepare(df: DataFrame, parameters: Parameters) -> DataFrame:
             for name in ROBUST + MINMAX
         }
     )
-    df = scaling.one_hot(df, ONE_HOT, parameters.levels[ONE_HOT])
-    df = scaling.label_encode(df, LABELLED, parameters.levels[LABELLED])
+    names = parameters.levels[ONE_HOT]
+    df = scaling.one_hot(df, ONE_HOT, None if isinstance(names, DataFrame) else names)
+    df = scaling.label_encode(df, LABELLED, parameters.levels[LABELLED], UNSEEN)
     df = scaling.ordinal_encode(df, "assortment")
     if TARGET in df.columns:
         df = scaling.log_target(df)

@@ -20,6 +20,8 @@ DEFAULTS = {
     # Split a skewed join also where that costs one more shuffle behind it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoints go once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Do not record the Python call site of every column expression.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
@@ -51,8 +53,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/aislecast/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the application ends."""
+    return kept_until_exit(spark, f"{shared_folder(spark).rstrip('/')}/aislecast/{label}-{uuid.uuid4().hex}")
 
 
 def kept_until_exit(spark: SparkSession, path: str) -> str:
@@ -75,7 +77,7 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     executor costs no recomputation. They go when the application ends.
     """
     spark = df.sparkSession
-    path = kept_until_exit(spark, work_path(spark, label))
+    path = work_path(spark, label)
     schema = df.schema
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(schema).parquet(path)

@@ -100,9 +100,9 @@ def test_quantiles_equal_numpy(spark, few):
     frame = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     counts = q.value_counts(frame, ["g"], "v")
-    sliced = q.exact_quantiles(counts, ["g"], probs, slices=8, few_groups=few)
-    direct = q.exact_quantiles(counts, ["g"], probs, distinct=counts.count())
-    for found in (sliced, direct):
+    narrowed = q.exact_quantiles(counts, ["g"], probs, few_groups=few, bracket_rows=7)
+    direct = q.exact_quantiles(counts, ["g"], probs, few_groups=few)
+    for found in (narrowed, direct):
         table = {r["g"]: r for r in found.collect()}
         assert set(table) == set(groups)
         for name, values in groups.items():
@@ -110,6 +110,15 @@ def test_quantiles_equal_numpy(spark, few):
             np.testing.assert_allclose(table[name]["q"], np.quantile(values, probs), atol=1e-12)
 
 
+def test_quantiles_of_many_distinct_values(spark):
+    """One group of 250,000 distinct values, in brackets of a size that takes two passes."""
+    frame = spark.range(250_000).select(F.lit("a").alias("g"), (F.col("id") * 7919 % 250_000).cast("double").alias("v"))
+    probs = [0.1, 0.5, 0.75]
+    row = q.exact_quantiles(q.value_counts(frame, ["g"], "v"), ["g"], probs, bracket_rows=400).first()
+    assert row["total"] == 250_000
+    np.testing.assert_allclose(row["q"], np.quantile(np.arange(250_000.0), probs))
+
+
 def test_approximate_quantiles_are_near(spark):
     frame = spark.range(10001).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("v"))
     row = q.quantiles(frame, ["g"], "v", [0.5], approx=True).first()

@@ -11,12 +11,12 @@ from aislecast.catalog.frames import Frames
 from aislecast.operators import errors, rows
 from aislecast.plans import models, selection
 from aislecast.plans.forecast import Forecaster, future_records, save_forecaster, six_week_forecast
-from aislecast.plans.prepare import fit_parameters
+from aislecast.plans.prepare import fit_parameters, prepare
 from aislecast.schemas import FUTURE, RECORD, SALES, STORE
 from aislecast.session import work_path
 from aislecast.sources import records, tables
 from aislecast.sources.parameters import Parameters, load_parameters, save_parameters
-from aislecast.streaming.scoring import score_stream
+from aislecast.streaming.scoring import refuse_stream, score_stream
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = ["lin_a", "lin_b", "step", "noise_a", "noise_b"]
@@ -102,7 +102,7 @@ def test_selection_keeps_the_planted_features(planted):
 
 
 def test_shadows_are_permutations(planted):
-    spread = selection.spread_rows(planted, NAMES, "sales", 1)
+    spread = selection.spread_rows(planted, NAMES, "sales")
     both = selection.with_shadows(spread, NAMES, 1).toPandas()
     assert len(both) == 2000
     for name in NAMES:
@@ -110,6 +110,31 @@ def test_shadows_are_permutations(planted):
         assert abs(np.corrcoef(both[name], both[selection.SHADOW + name])[0, 1]) < 0.2
 
 
+def test_shadows_of_clustered_rows_lose_their_link(spark):
+    """Rows that lie together in the source, with an advisory size that makes Spark split partitions."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select(
+            F.floor(F.col("id") / 5000).cast("double").alias("store"), F.rand(3).alias("sales")
+        )
+        spread = selection.spread_rows(rows, ["store"], "sales", part_rows=10_000)
+        assert spread.rdd.getNumPartitions() == 20
+        both = selection.with_shadows(spread, ["store"], 5)
+        assert both.select(F.spark_partition_id().alias("p"), "store").distinct().count() == 20 * 40
+        assert abs(both.agg(F.corr("store", "shadow_store")).first()[0]) < 0.05
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
+def test_registered_selection_decides(spark):
+    from aislecast.catalog import QUERIES
+
+    decisions = {r["feature"]: r["decision"] for r in QUERIES["boruta_select"](spark, SMALL).collect()}
+    assert {"accepted", "rejected"} & set(decisions.values())
+
+
 def test_coin_tails_and_false_discovery():
     assert selection.upper_tail(0, 10) == 1 and selection.lower_tail(10, 10) == 1
     assert selection.upper_tail(9, 10) == pytest.approx(11 / 1024)
@@ -169,11 +194,21 @@ def test_parameters_survive_saving(spark):
     assert f.parameters.fills["competition_distance"] == f.distance_fill.first()[0]
 
 
-def test_too_many_levels_are_refused(spark):
+def test_any_number_of_labels_is_fitted_and_applied(spark):
     f = Frames(spark, SMALL)
     many = f.training.withColumn("store_type", F.concat("store_type", "store", F.col("date").cast("string")))
-    with pytest.raises(ValueError, match="store_type"):
-        fit_parameters(many)
+    levels = sorted(r[0] for r in many.select("store_type").distinct().collect())
+    assert len(levels) > 4000
+    table = fit_parameters(many)
+    path = work_path(spark, "parameters")
+    save_parameters(table, path)
+    parameters = load_parameters(spark, path)
+    assert not isinstance(parameters.levels["store_type"], list)
+    coded = prepare(many.withColumn("label", F.col("store_type")), parameters).select("label", "store_type").distinct()
+    assert {r["label"]: r["store_type"] for r in coded.collect()} == {v: i for i, v in enumerate(levels)}
+    wide = f.training.withColumn("state_holiday", F.concat("store", F.col("date").cast("string")))
+    with pytest.raises(ValueError, match="state_holiday"):
+        prepare(wide, Parameters.from_table(fit_parameters(wide)))
 
 
 # --- scoring -----------------------------------------------------------------
@@ -205,6 +240,61 @@ def test_closed_days_get_no_score_but_missing_flags_do(served):
     assert sorted(r["open"] is None for r in forecaster.score(kept).collect()) == [False, True]
 
 
+def odd_payloads(f):
+    """Ten good records, a closed day, and one record of each kind that cannot be scored."""
+    good = [json.loads(r["record"]) for r in records.records_out(future_records(f.future, f.store).limit(10)).collect()]
+    store = [n for n in RECORD.names if n in STORE.names and n != "Store"]
+    odd = [
+        {**good[0], "StoreType": "z"},
+        {**good[1], **dict.fromkeys(store)},
+        {**good[2], "CompetitionOpenSinceMonth": 0},
+        {**good[3], "Promo2SinceWeek": 99},
+        {**good[4], "Date": "2015-02-30"},
+        {**good[5], "Store": "seven"},
+    ]
+    texts = [json.dumps(good), json.dumps({**good[6], "Open": 0}), *map(json.dumps, odd)]
+    return texts + ["not json", json.dumps(good[7])[:40], "[]"]
+
+
+REASONS = sorted(
+    ["unknown store_type"] * 2
+    + ["no value for competition_time_month", "no value for promo_time_week", "not a JSON record", "not a JSON record"]
+    + ["unreadable: Date", "unreadable: Store"]
+)
+
+
+def test_records_that_cannot_be_scored_are_named(spark, served):
+    f, forecaster = served
+    payloads = spark.createDataFrame([(t,) for t in odd_payloads(f)], "value string")
+    read = records.records_in(payloads, "value")
+    broken = records.records_refused(payloads, "value")
+    odd = forecaster.refused(read)
+    assert forecaster.score(read).count() == 10
+    assert sorted(r["reason"] for r in broken.select("reason").union(odd.select("reason")).collect()) == REASONS
+    # One closed day is neither: scored, refused and closed make up the input.
+    assert read.count() + broken.count() == 10 + len(REASONS) + 1
+
+
+def test_stream_sends_odd_records_to_a_place_of_their_own(spark, served, tmp_path):
+    f, forecaster = served
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("\n".join(odd_payloads(f)))
+    score_stream(spark, forecaster, str(source), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+    refuse_stream(spark, forecaster, str(source), str(tmp_path / "no"), str(tmp_path / "c2")).awaitTermination()
+    assert spark.read.text(str(tmp_path / "out")).count() == 10
+    reasons = [json.loads(r["value"])["reason"] for r in spark.read.text(str(tmp_path / "no")).collect()]
+    assert sorted(reasons) == REASONS
+
+
+def test_training_rows_without_a_feature_are_set_aside(served):
+    f, _ = served
+    odd = f.prepared.withColumn("promo2", F.when(F.col("store") != 3, F.col("promo2")))
+    aside = models.incomplete_rows(odd)
+    assert models.feature_rows(odd).count() + aside.count() == odd.count()
+    assert {r[0] for r in aside.select("reason").distinct().collect()} == {"no value for promo2"}
+
+
 def test_report_for_chosen_stores(served):
     f, forecaster = served
     report = six_week_forecast(forecaster, f.future, f.store, [7, 3, 9]).collect()
