@@ -185,7 +185,25 @@ def table_shape(f: Frames) -> DataFrame:
     return columns.table_shape(f.raw)
 
 
-@query("table_dtypes")
+# The types of the joined table.
+_RAW_TYPES = {
+    "store": "bigint", "day_of_week": "int", "date": "date", "sales": "bigint", "customers": "bigint", "open": "int",
+    "promo": "int", "state_holiday": "string", "school_holiday": "int", "store_type": "string", "assortment": "string",
+    "competition_distance": "double", "competition_open_since_month": "double", "competition_open_since_year": "double",
+    "promo2": "int", "promo2_since_week": "double", "promo2_since_year": "double", "promo_interval": "string",
+}
+
+
+@query(
+    "table_dtypes",
+    sql(
+        "raw",
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS column_name, '{t}' AS column_type, count({n}) AS present FROM raw"
+            for n, t in _RAW_TYPES.items()
+        ),
+    ),
+)
 def table_dtypes(f: Frames) -> DataFrame:
     return columns.column_types(f.raw)
 

@@ -258,9 +258,23 @@ def head_rows(f: Frames) -> DataFrame:
     return rows.head_rows(weekly, ["year_week", "assortment"])
 
 
-@query("sample_rows")
+_DAY = "date_diff('day', DATE '1990-01-01', date)"
+
+
+@query(
+    "sample_rows",
+    sql(
+        "raw",
+        f"""SELECT * EXCLUDE (mark) FROM (
+          SELECT *, (((((42 + store) * 48271) % 2147483647 + {_DAY}) * 69621) % 2147483647 * 40014 + 12345)
+            % 2147483647 AS mark FROM raw)
+        ORDER BY mark, store, date LIMIT 5""",
+    ),
+)
 def sample_rows(f: Frames) -> DataFrame:
-    return rows.sample_rows(f.raw, 5)
+    """Five rows of the joined table, by an order of store and day that both engines compute."""
+    day = F.datediff("date", F.lit("1990-01-01").cast("date"))
+    return rows.sample_rows(f.raw, 5, numbers=[F.col("store"), day])
 
 
 # --- errors of the average model ---------------------------------------------

@@ -69,16 +69,32 @@ def top_rows(df: DataFrame, by: str, keys: Sequence[str], n: int = 5) -> DataFra
     return df.orderBy(F.desc_nulls_last(by), *keys).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, seed: int = 42, numbers: Sequence[Column] | None = None) -> DataFrame:
     """``n`` rows in random order.
 
     Ordering by a seeded hash of the row gives the same sample however the
-    table is partitioned, also when a task runs again.
+    table is partitioned, also when a task runs again. ``numbers`` are integer
+    expressions that tell the rows apart: the order is then plain arithmetic on
+    them, which any engine repeats.
     """
+    if numbers:
+        return df.orderBy(scattered(numbers, seed), *numbers).limit(n)
     mark = F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns])
     return df.orderBy(mark).limit(n)
 
 
+# A prime below 2**31 and multipliers: products stay below 2**63.
+_PRIME, _FACTORS = 2_147_483_647, (48_271, 69_621, 16_807)
+
+
+def scattered(numbers: Sequence[Column], seed: int) -> Column:
+    """A pseudo-random number of integer columns, by linear steps modulo a prime."""
+    mark = F.lit(seed).cast("long")
+    for i, number in enumerate(numbers):
+        mark = F.pmod((mark + number.cast("long")) * _FACTORS[i % 3], F.lit(_PRIME))
+    return F.pmod(mark * 40_014 + 12_345, F.lit(_PRIME))
+
+
 def sample_share(df: DataFrame, share: float, seed: int = 42) -> DataFrame:
     """A share of the rows, for samples too large to sort."""
     return df.sample(fraction=share, seed=seed)
