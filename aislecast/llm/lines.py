@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spreading import salted_join
-from .text import ascii_lower, with_columns
+from .text import ascii_lower
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -72,17 +72,17 @@ def drop_repeated_lines(
         k = line_key(line)
         return (F.length(k) < min_chars) | ~F.array_contains(joined["_lost"], _hash(k))
 
-    kept = F.when(joined["_lost"].isNotNull(), F.filter(lines, stays))
-    text = F.when(joined["_lost"].isNotNull(), F.array_join("_kept", "\n")).otherwise(joined[text_col])
-    shaped = joined.withColumn("_kept", kept)
-    out = with_columns(
-        shaped,
-        n_lines=F.size(lines).cast("long"),
-        n_dropped=F.when(F.col("_kept").isNotNull(), F.size(lines) - F.size("_kept")).otherwise(0).cast("long"),
-        _text=text,
-    )
-    return out.select(
-        *[F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
-        "n_lines",
-        "n_dropped",
+    changed = joined["_lost"].isNotNull()
+    others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    shaped = joined.select(
+        *[joined[c] for c in others],
+        joined[text_col].alias("_text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(changed, F.filter(lines, stays)).alias("_kept"),
     )
+    dropped = F.when(F.col("_kept").isNotNull(), F.col("n_lines") - F.size("_kept")).otherwise(0)
+    text = F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("_text"))
+    columns = [
+        text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c == text_col or c in others
+    ]
+    return shaped.select(*columns, "n_lines", dropped.cast("long").alias("n_dropped"))

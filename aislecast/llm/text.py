@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TOKENIZERS = Path("/opt/tokenizers")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

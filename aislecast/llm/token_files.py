@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import kept_until_exit, work_path, written
+from ..session import work_path, written
 from .elias_fano import EliasFano
 from .text import slices, strings
 
@@ -219,6 +219,6 @@ def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, with_ids:
     the application ends.
     """
     spark: SparkSession = docs.sparkSession
-    folder = kept_until_exit(spark, work_path(spark, "tokens"))
+    folder = work_path(spark, "tokens")
     files = written(write_token_files(docs, tokenizer, folder, end_id), "token-files")
     return read_token_files(files, with_ids)

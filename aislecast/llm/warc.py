@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spreading import salted_join
-from ..session import kept_until_exit, work_path, written
+from ..session import work_path, written
 from .text import slices
 
 SEGMENT_BYTES = 16_384
@@ -295,7 +295,7 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFr
     The archives are deleted when the application ends.
     """
     spark: SparkSession = pages.sparkSession
-    folder = kept_until_exit(spark, work_path(spark, "warc"))
+    folder = work_path(spark, "warc")
     files = written(write_archives(plan_records(pages), folder, segment), "warc-files")
     # As many partitions as files, so that each file is a task's own work.
     return decode_pages(reassemble(read_records(files.repartition(max(1, files.count())))))

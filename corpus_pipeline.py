@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from aislecast.llm import decontaminate, lines, near_copies, quality, trie_bpe
 from aislecast.llm.text import table, with_columns
-from aislecast.session import kept_until_exit, remove_path, work_path
+from aislecast.session import remove_path, work_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each one's input is removed when its result is written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = kept_until_exit(spark, work_path(spark, f"pipeline-{name}"))
+        path = work_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
             remove_path(spark, before)
