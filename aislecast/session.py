@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +37,18 @@ def build_session(name: str = "aislecast", **options: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def importable_by_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder that the driver has it in.
+
+    On a cluster the package is installed, or shipped with ``--py-files``; there
+    the folder is only one more place to look.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    places = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in places:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, places)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can reach, taken from ``spark.checkpoint.dir``.
 
