@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable_by_workers
 from . import decontaminate, lines, near_copies, neighbours, privacy, quality, templates, token_files, trie_bpe, warc
 from .text import table
 
@@ -16,11 +17,16 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None):
-    def register(run: Callable[[SparkSession, str], DataFrame]):
+    def register(build: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable_by_workers(spark)
+            return build(spark, sf_dir)
+
+        run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
-        return run
+        return build
 
     return register
 

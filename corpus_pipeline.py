@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from aislecast.llm import decontaminate, lines, near_copies, quality, trie_bpe
 from aislecast.llm.text import table, with_columns
-from aislecast.session import remove_path, work_path
+from aislecast.session import importable_by_workers, remove_path, work_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,6 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other; each one's input is removed when its result is written."""
+    importable_by_workers(spark)
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = work_path(spark, f"pipeline-{name}")
