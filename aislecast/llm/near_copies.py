@@ -37,7 +37,7 @@ MATCHES = 39
 BLOCK_NODES = 400
 BLOCK_SHINGLES = 300_000
 SEED = 8
-MEMO = 1_000_000
+MEMO = 300_000
 
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)

@@ -33,7 +33,7 @@ BATCH = 32
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 16_000_000
 SEED = 9
-MEMO = 800_000
+MEMO = 300_000
 # Stands for a word that repeats the one before it. It cannot be a word: it has a space.
 AGAIN = "again again"
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .text import slices, strings
 
-MEMO = 800_000
+MEMO = 500_000
 PAIRS = 1_000_000
 ADDED = {
     "n_tokens": T.LongType(),
