@@ -121,7 +121,8 @@ def disclosures(docs: DataFrame, evidence: int = EVIDENCE, at_least: float = DIS
     which is 1 if t only occurs with c. A pair needs ``evidence`` distinct lines.
 
     Identifiers on fewer lines cannot have that, so they go before their words
-    are listed. Word counts are made for the words of pairs alone.
+    are listed. Exact word counts are made for words of pairs alone, and only
+    if they are rare enough for the disclosure asked for.
     """
     lines = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).where(F.length("line") > 0)
     hinted = lines.where(F.col("line").rlike("|".join(_HINTS.values()))).distinct()
@@ -139,9 +140,16 @@ def disclosures(docs: DataFrame, evidence: int = EVIDENCE, at_least: float = DIS
     )
     hashed = lines.select(F.xxhash64("line").alias("h"), "line")
     total = hashed.select("h").distinct().count()
-    # Words that open no pair fall away in the join, before anything is counted or shuffled.
-    uses = hashed.select("h", F.explode(_terms(F.col("line"))).alias("term")).join(pairs.select("term").distinct(), "term")
-    term_counts = uses.groupBy("term").agg(F.count_distinct("h").alias("n_t"))
+    # A word on more lines than this has no pair of enough disclosure.
+    reach = F.max(F.col("n_ct") * F.pow(F.lit(float(max(total, 1))) / F.col("n_c"), F.lit(1 - at_least)))
+    wanted = written(pairs.groupBy("term").agg(reach.alias("most")), "terms")
+    words_of = hashed.select("h", F.explode(_terms(F.col("line"))).alias("term"))
+    # Frequent words go by small sketches first; three times the limit is 15 standard errors above it.
+    # Only the lines of the words that are left are shuffled and counted exactly.
+    sketch = F.approx_count_distinct("h", 0.15)
+    rough = words_of.join(wanted, "term").groupBy("term", "most").agg(sketch.alias("about"))
+    rare = written(rough.where(F.col("about") <= 3 * F.col("most")).select("term"), "rare-terms")
+    term_counts = words_of.join(rare, "term").groupBy("term").agg(F.count_distinct("h").alias("n_t"))
     share = F.log(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(
         F.lit(float(max(total, 1))) / F.col("n_c")
     )
