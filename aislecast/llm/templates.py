@@ -19,6 +19,8 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,7 +43,7 @@ ASIDE = {
     "label", "menu", "nav", "noscript", "object", "option", "script", "select", "style", "svg", "template", "textarea",
     "title", "video", "xmp",
 }
-# Words of class, id and role that name parts around an article.
+# Words of class, id and role that hint at parts around an article.
 SIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs",
     "complementary", "consent", "contentinfo", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "login",
@@ -50,6 +52,11 @@ SIDE_WORDS = {
     "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 REPLY_WORDS = {"comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "responses"}
+# Words of both sets that alone name parts of articles too.
+AMBIGUOUS = {
+    "banner", "complementary", "disclaimer", "discussion", "header", "menu", "notice", "promotion", "related", "replies",
+    "reply", "responses", "search",
+}
 # Elements that an opening tag of the key ends, if they are open and nothing of ``_SCOPE`` lies between.
 _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -73,64 +80,111 @@ MIN_PAGES = 2
 MAX_DEPTH = 200
 
 
-def _role(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool]:
-    """Name of an element in paths, and whether what it holds is outside of the article."""
-    words: list[str] = []
-    name = tag
+def _role(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool, int]:
+    """Name of an element in paths, whether what it holds is outside of the article, and what its words hint.
+
+    The hint is 2 if a whole class, id or role is made of words for parts around an article, 1 if it holds one.
+    """
+    name, hint = tag, 0
     if attributes and "=" in attributes:
         for key, value in _NAMED.findall(attributes):
             split = _WORDS.findall(value.lower())
-            words += split
             if split and key.lower() != "role" and name == tag:
                 name = f"{tag}.{'-'.join(split[:3])}"
+            for whole in value.lower().strip("\"'").split():
+                parts = _WORDS.findall(whole)
+                n = sum(w in SIDE_WORDS or w in REPLY_WORDS for w in parts)
+                if n:
+                    sure = n == len(parts) and not (inside_article and n == 1 and AMBIGUOUS.intersection(parts))
+                    hint = max(hint, 1 + sure)
     if tag in ("html", "body"):
-        return tag, False
-    if any(w in REPLY_WORDS for w in words):
-        return name, True
+        return tag, False, 0
     if tag in ("article", "main"):
-        return name, False
+        return name, False, 0
     if tag == "header":
-        return name, not inside_article
-    aside = tag in ASIDE or any(w in SIDE_WORDS for w in words)
-    return name, aside or bool(attributes and _HIDDEN.search(attributes))
+        return name, not inside_article, 0
+    if tag in _TEXT_BLOCKS or inside_article and (hint == 1 or tag == "section"):
+        hint = 0
+    return name, tag in ASIDE or bool(attributes and _HIDDEN.search(attributes)), hint
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, str]], Counter[str]]:
-    """The blocks ``(path, text)`` outside of menus and the like, and the number of elements of each path.
+@dataclass(slots=True)
+class Element:
+    """An element with its place among the page's events, the characters of text below it, and what its words hint."""
+
+    path: str
+    outer: int
+    hint: int
+    begin: int
+    end: int = 0
+    chars: int = 0
+    article: bool = False
+    dropped: bool = False
+
+
+class Block(NamedTuple):
+    path: str
+    text: str
+    element: int
+    place: int
+    links: int
+
+
+def parsed(page: str) -> tuple[list[Block], list[Element]]:
+    """The blocks and elements outside of menus and the like, in the order of the page.
 
     A path names the block elements around a text, from the outermost one.
+    Words of class, id and role are hints. An element that they name is left
+    out unless it holds an article or most of the page's text.
     """
-    blocks: list[tuple[str, str]] = []
-    seen: Counter[str] = Counter()
-    # Open elements: tag, path of the block elements up to it, whether it is aside.
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
+    blocks: list[Block] = []
+    elements: list[Element] = [Element("", -1, 0, 0)]
+    # Open elements: tag, path of the block elements up to it, whether it is aside, number of the block element.
+    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]
     text: list[str] = []
     at, size = 0, len(page)
-    articles = 0
+    articles = place = linked = links = 0
 
     def end_block() -> None:
+        nonlocal place, links
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if joined:
-                blocks.append((stack[-1][1], joined))
+                place += 1
+                blocks.append(Block(stack[-1][1], joined, stack[-1][3], place, min(links, len(joined))))
+        links = 0
 
     def close(index: int) -> None:
-        nonlocal articles
-        articles -= sum(tag in ("article", "main") for tag, _, _ in stack[index:])
+        nonlocal articles, place, linked
+        if any(stack[i][3] != stack[i - 1][3] and elements[stack[i][3]].hint for i in range(index, len(stack))):
+            end_block()
+        for i in range(len(stack) - 1, index - 1, -1):
+            tag, _, _, number = stack[i]
+            articles -= tag in ("article", "main")
+            linked -= tag == "a"
+            if number != stack[i - 1][3]:
+                place += 1
+                elements[number].end = place
         del stack[index:]
 
+    def put(piece: str) -> None:
+        nonlocal links
+        if not stack[-1][2]:
+            text.append(piece)
+            if linked:
+                links += len(piece)
+
     while at < size:
         begin = page.find("<", at)
         found = _TAG.match(page, begin) if begin >= 0 else None
         if found is None:
             stop = size if begin < 0 else begin + 1
-            if not stack[-1][2]:
-                text.append(page[at:stop])
+            put(page[at:stop])
             at = stop
             continue
-        if begin > at and not stack[-1][2]:
-            text.append(page[at:begin])
+        if begin > at:
+            put(page[at:begin])
         at = found.end()
         tag = found[2] or found[5]
         if not tag:
@@ -161,23 +215,59 @@ def blocks_of(page: str) -> tuple[list[tuple[str, str]], Counter[str]]:
             continue
         if len(stack) > MAX_DEPTH and not block:
             continue
-        name, aside = _role(tag, attributes, articles > 0)
+        name, aside, hint = _role(tag, attributes, articles > 0)
         outer = stack[-1]
-        aside = aside or outer[2]
-        path = outer[1]
+        path, number = outer[1], outer[3]
         if (block or tag in CONTAINERS) and len(stack) <= MAX_DEPTH:
             path = f"{path}/{name}"
+            if hint:
+                end_block()
+            aside = aside or outer[2]
             if not aside:
-                seen[path] += 1
-        elif aside and not outer[2] and block:
-            end_block()
-        articles += tag in ("article", "main")
-        stack.append((tag, path, aside))
+                place += 1
+                number = len(elements)
+                elements.append(Element(path, outer[3], hint, place))
+        else:
+            # Text of an inline element is part of a block, so its words decide at once.
+            aside = aside or hint == 2 or outer[2]
+        if tag in ("article", "main"):
+            articles += 1
+            up = number
+            while up > 0 and not aside:
+                elements[up].article = True
+                up = elements[up].outer
+        linked += tag == "a"
+        stack.append((tag, path, aside, number))
     end_block()
-    return blocks, seen
+    close(1)
+    return _without_sides(blocks, elements)
+
+
+def _without_sides(blocks: list[Block], elements: list[Element]) -> tuple[list[Block], list[Element]]:
+    """Without the elements that their words name as parts around an article, and what lies in them."""
+    total = 0
+    for block in blocks:
+        total += len(block.text)
+        up = block.element
+        while up >= 0:
+            elements[up].chars += len(block.text)
+            up = elements[up].outer
+    any_article = elements[0].article or any(e.article for e in elements)
+    for element in elements[1:]:
+        side = element.hint and not element.article
+        if side and not (element.hint == 2 and any_article):
+            side = 2 * element.chars <= total
+        element.dropped = bool(side) or elements[element.outer].dropped
+    return [b for b in blocks if not elements[b.element].dropped], elements
+
+
+def blocks_of(page: str) -> tuple[list[tuple[str, str]], Counter[str]]:
+    """The blocks ``(path, text)`` of a page's own parts, and the number of elements of each path."""
+    blocks, elements = parsed(page)
+    return [(b.path, b.text) for b in blocks], Counter(e.path for e in elements[1:] if not e.dropped)
 
 
-def _end_open(stack: list[tuple[str, str, bool]], ended: set[str], close) -> None:
+def _end_open(stack: list[tuple[str, str, bool, int]], ended: set[str], close) -> None:
     """End the innermost open element of ``ended`` within the present scope."""
     for index in range(len(stack) - 1, 0, -1):
         tag = stack[index][0]

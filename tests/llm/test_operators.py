@@ -327,6 +327,20 @@ def test_article_text_leaves_out_what_is_around():
     assert templates.main_text("<div>" * 3000 + "deep", None) == "deep"
 
 
+def test_words_of_class_and_id_are_only_hints():
+    def page(body, around="div class='site with-sidebar'"):
+        return f"<html><body><{around}>{body}</{around.split()[0]}></body></html>"
+
+    long = " ".join(["word"] * 30)
+    article = f"<article><div class='article-header'>By me</div><h2 id='related-work'>Related</h2><p>{long}</p>"
+    article += "<section id='discussion'><p>We discuss</p></section><div class='ad'>Buy</div></article>"
+    kept = f"By me\nRelated\n{long}\nWe discuss"
+    for around in ("div class='site with-sidebar'", "div class='content-sidebar-wrap'", "div class='comments'"):
+        assert templates.main_text(page(article + "<div class='sidebar'>Side</div>", around), None) == kept
+    alone = f"<p>{long}</p><h2 class='header'>Head</h2><div class='left-sidebar'>Side</div>"
+    assert templates.main_text(page(alone), None) == f"{long}\nHead"
+
+
 def test_template_of_a_host_gives_its_slot(spark):
     def page(i, body):
         return f"<html><body><div class='top'>Daily Site</div><div class='x{'' }'><div class='post'>{body}</div></div><div class='end'>All rights</div></body></html>"
