@@ -3,9 +3,10 @@
 The tokens of a page are its elements, told apart by their path, and its blocks
 of text with their path. Over the pages of one host every token has an
 occurrence vector, its number in each page. Tokens with equal vectors are one
-equivalence class; a class in most pages whose elements lie inside each other or
-side by side is part of the template. The slots are what the template leaves
-open, and the slot with the text is the main one.
+equivalence class. A large class in most pages, whose tokens have one order and
+nesting in all of them, is part of the template. The slots are what the template
+leaves open between its tokens; those with prose make up the article, and texts
+of the template are left out, also inside it.
 
 Vectors are never gathered: two sums over the pages, of counts times a hash of
 the page, are equal if the vectors are. So the largest host is aggregated like
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,9 @@ _WORDS = re.compile(r"[a-z]+")
 SHARE = 0.6
 MOST = 0.5
 MIN_PAGES = 2
+MIN_CLASS = 3
+MIN_TEXT = 4
+SLOT_SHARE = 0.1
 MAX_DEPTH = 200
 
 
@@ -291,34 +296,99 @@ def _last_tag(path: str) -> str:
     return path.rpartition("/")[2].partition(".")[0]
 
 
-def page_tokens(page: str) -> list[tuple[str, str, int, int]]:
-    """``(path, text, count, chars)`` of a page: elements (text empty) with the text below them, and outer text blocks."""
-    blocks, seen = blocks_of(page)
-    below: Counter[str] = Counter()
-    texts: Counter[tuple[str, str]] = Counter()
-    for path, text in blocks:
-        for prefix in prefixes(path):
-            below[prefix] += len(text)
-        texts[path, text] += 1
-    rows = [(path, "", n, below[path]) for path, n in seen.items()]
-    inner = {path for path in seen if _last_tag(path) in ("article", "main")}
-    # Text of an article is never part of the template, so it need not be counted.
-    rows += [
-        (path, text, n, 0) for (path, text), n in texts.items() if not any(p in inner for p in prefixes(path))
-    ]
+def text_mark(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def page_tokens(page: str) -> list[tuple[str, str, int]]:
+    """``(path, text, count)`` of a page: elements (text empty) and blocks, whose text is given by its hash."""
+    blocks, elements = parsed(page)
+    tokens = Counter((e.path, "") for e in elements[1:] if not e.dropped)
+    tokens.update((b.path, text_mark(b.text)) for b in blocks)
+    return [(path, text, n) for (path, text), n in tokens.items()]
+
+
+def class_places(page: str, tokens: dict[tuple[str, str], int]) -> list[tuple[str, str, int, int, int, int]]:
+    """``(path, text, begin, end, chars, links)`` of a page's ``tokens``, which are given with their class.
+
+    begin and end are the token's numbers among the begins and ends of its
+    class; chars and links count the open text between an element's ends and
+    those of the next tokens in it, that is its slots.
+    """
+    blocks, elements = parsed(page)
+    found: dict[tuple[str, str], tuple[int, int]] = {}
+    for element in elements[1:]:
+        if not element.dropped and (element.path, "") in tokens:
+            found[element.path, ""] = element.begin, element.end
+    chars, links = Counter(), Counter()
+    for block in blocks:
+        key = (block.path, text_mark(block.text))
+        if key in tokens:
+            found[key] = block.place, block.place
+            continue
+        at = next((p for p in reversed([*prefixes(block.path)]) if (p, "") in found), None)
+        if at is not None:
+            chars[at] += len(block.text)
+            links[at] += block.links
+    events: dict[int, set[int]] = {}
+    for key, ends in found.items():
+        events.setdefault(tokens[key], set()).update(ends)
+    rank = {c: {place: i for i, place in enumerate(sorted(places))} for c, places in events.items()}
+    rows = []
+    for key, (begin, end) in found.items():
+        own = rank[tokens[key]]
+        path, text = key
+        rows.append((path, text, own[begin], own[end], 0 if text else chars[path], 0 if text else links[path]))
     return rows
 
 
+def template_of(tokens: list[dict], share: float, slot_share: float) -> tuple[str | None, list[tuple[str, str]]]:
+    """``(container, fixed)`` from a host's valid tokens and the open text in the slots of each element.
+
+    The slots of an article hold prose and at least ``slot_share`` of the text.
+    The container is the article or main element around the largest of them if
+    it has ``share`` of the text, else the innermost element around them all.
+    """
+    paths = {t["path"] for t in tokens if not t["text"] and t["valid"]}
+    chars, links = Counter(), Counter()
+    for token in tokens:
+        at = next((p for p in reversed([*prefixes(token["path"])]) if p in paths), "")
+        chars[at] += token["chars"]
+        links[at] += token["links"]
+    total = chars.total()
+    fixed = [(t["path"], t["text"]) for t in tokens if t["text"] and t["valid"]]
+    slots = [p for p, n in chars.items() if n and n >= slot_share * total and 2 * links[p] <= n]
+    if not slots:
+        return None, fixed
+    main = max(slots, key=lambda p: (chars[p], p))
+    around = [p for p in reversed([*prefixes(main)]) if p in paths and _last_tag(p) in CONTAINERS]
+    for path in around:
+        inside = sum(n for p, n in chars.items() if (p + "/").startswith(path + "/"))
+        if _last_tag(path) in ("article", "main") and inside >= share * total:
+            return path, fixed
+    for path in around:
+        if all((p + "/").startswith(path + "/") for p in slots):
+            return path, fixed
+    return None, fixed
+
+
 def main_text(page: str, container: str | None, fixed: set[tuple[str, str]] | frozenset = frozenset()) -> str:
-    """The blocks in the container, without the template's own texts outside of it, joined by line ends."""
+    """The blocks in the container without the template's own texts, joined by line ends.
+
+    If those texts are most of the container, the page is one of several copies and keeps them.
+    """
     blocks, seen = blocks_of(page)
     if container is None or container not in seen:
         container = own_container(blocks, seen)
+    own = [(path, text) not in fixed for path, text in ((p, text_mark(t)) for p, t in blocks)] if fixed else None
     if container:
-        inside = [text for path, text in blocks if path == container or path.startswith(container + "/")]
+        inside = [i for i, (path, _) in enumerate(blocks) if path == container or path.startswith(container + "/")]
         if inside:
-            return "\n".join(inside)
-    return "\n".join(text for path, text in blocks if (path, text) not in fixed)
+            kept = [i for i in inside if own is None or own[i]]
+            if 2 * sum(len(blocks[i][1]) for i in kept) < sum(len(blocks[i][1]) for i in inside):
+                kept = inside
+            return "\n".join(blocks[i][1] for i in kept)
+    return "\n".join(text for i, (_, text) in enumerate(blocks) if own is None or own[i])
 
 
 def own_container(blocks: list[tuple[str, str]], seen: Counter[str]) -> str:
@@ -336,28 +406,22 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
 
 
-TOKENS = "host string, mark_a long, mark_b long, path string, text string, n long, chars long"
-
+TOKENS = "host string, mark_a long, mark_b long, path string, text string, n long"
+PLACES = "host string, path string, text string, first int, last int, chars long, links long"
 
-def host_templates(pages: DataFrame, most: float = MOST, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """``(host, container, fixed)``: the main slot of each host's template, and the template's own texts.
 
-    A token belongs to the template if its class, the tokens with its vector,
-    is in at least ``most`` of the host's pages, at least ``min_pages``, once in
-    each. The container is the innermost element of such a class with at least
-    ``share`` of the host's text. Elements are nested by their paths, so a class
-    is valid if its paths form branches of one tree, which paths always do.
-    """
+def host_classes(pages: DataFrame, most: float = MOST, min_pages: int = MIN_PAGES, min_class: int = MIN_CLASS) -> DataFrame:
+    """``(host, tokens)``: tokens of large classes, those in at least ``most`` of the host's pages, once in each."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
-            columns: list[list] = [[] for _ in range(7)]
+            columns: list[list] = [[] for _ in range(6)]
             for host, a, b, page in zip(*(batch.column(n).to_pylist() for n in ("host", "mark_a", "mark_b", "html"))):
                 for row in page_tokens(page or ""):
                     for column, value in zip(columns, (host, a, b, *row)):
                         column.append(value)
-            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            names = ["host", "mark_a", "mark_b", "path", "text", "n", "chars"]
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+            names = ["host", "mark_a", "mark_b", "path", "text", "n"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     def mark(seed: int) -> Column:
@@ -365,7 +429,7 @@ def host_templates(pages: DataFrame, most: float = MOST, min_pages: int = MIN_PA
 
     named = pages.select(host_of(F.col("url")).alias("host"), mark(1).alias("mark_a"), mark(2).alias("mark_b"), "html")
     named = named.where("host <> ''")
-    sizes = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = named.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     vectors = (
         named.mapInArrow(tokens, TOKENS)
         .groupBy("host", "path", "text")
@@ -374,25 +438,84 @@ def host_templates(pages: DataFrame, most: float = MOST, min_pages: int = MIN_PA
             F.sum(F.col("n") * F.col("mark_a")).alias("va"),
             F.sum(F.col("n") * F.col("mark_b")).alias("vb"),
             F.max("n").alias("most"),
-            F.sum("chars").alias("chars"),
         )
+        .where(f"most = 1 AND df >= {min_pages}")
     )
-    frequent = vectors.join(sizes, "host").where((F.col("df") >= min_pages) & (F.col("df") >= most * F.col("pages")))
-    classes = frequent.where("most = 1").groupBy("host", "va", "vb", "df").agg(
-        F.collect_list(F.struct("path", "text", "chars")).alias("tokens")
-    )
-    total = frequent.where("text = ''").groupBy("host").agg(F.max("chars").alias("total"))
-    member = classes.join(total, "host").select("host", "total", F.explode("tokens").alias("t")).select("host", "total", "t.*")
-    last = F.regexp_extract("path", r"([^/.]*)(?:\.[^/]*)?$", 1)
-    depth = F.size(F.split("path", "/"))
-    fits = (F.col("text") == "") & last.isin(*sorted(CONTAINERS)) & (F.col("chars") >= share * F.col("total"))
-    order = F.struct(last.isin("article", "main").alias("named"), depth.alias("depth"), "path")
-    return member.groupBy("host").agg(
-        F.max(F.when(fits, order))["path"].alias("container"),
-        F.collect_set(F.when(F.col("text") != "", F.struct("path", "text"))).alias("fixed"),
-    )
+    frequent = vectors.join(sizes, "host").where(F.col("df") >= most * F.col("pages"))
+    classes = frequent.groupBy("host", "va", "vb", "df").agg(F.collect_list(F.struct("path", "text")).alias("tokens"))
+    return classes.where(F.size("tokens") >= min_class).groupBy("host").agg(F.collect_list("tokens").alias("classes"))
+
+
+def host_templates(
+    pages: DataFrame,
+    most: float = MOST,
+    min_pages: int = MIN_PAGES,
+    share: float = SHARE,
+    min_class: int = MIN_CLASS,
+    slot_share: float = SLOT_SHARE,
+    min_text: int = MIN_TEXT,
+) -> DataFrame:
+    """``(host, container, fixed)``: the article's place in each host's template, and the template's own texts.
+
+    A class is the tokens with one vector. It takes part if it has at least
+    ``min_class`` tokens, in at least ``most`` of the host's pages and at least
+    ``min_pages``, once in each. A token stays in its class if its begin and
+    end have the same place among those of the class in every page, so what is
+    left has one order and nesting; it must still be ``min_class`` tokens. Texts
+    are fixed from ``min_text`` pages on, as fewer may just be copies.
+    """
+    known = written(host_classes(pages, most, min_pages, min_class), "classes")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            columns: list[list] = [[] for _ in range(7)]
+            for host, page, classes in zip(*(batch.column(n).to_pylist() for n in ("host", "html", "classes"))):
+                tokens = {(t["path"], t["text"]): i for i, own in enumerate(classes) for t in own}
+                for row in class_places(page or "", tokens):
+                    for column, value in zip(columns, (host, *row)):
+                        column.append(value)
+            types = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            names = ["host", "path", "text", "first", "last", "chars", "links"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html").join(known, "host")
+    placed = (
+        rows.mapInArrow(places, PLACES)
+        .groupBy("host", "path", "text")
+        .agg(
+            F.count(F.lit(1)).alias("df"),
+            ((F.min("first") == F.max("first")) & (F.min("last") == F.max("last"))).alias("valid"),
+            F.sum("chars").alias("chars"),
+            F.sum("links").alias("links"),
+        )
+        .groupBy("host")
+        .agg(F.collect_list(F.struct("path", "text", "df", "valid", "chars", "links")).alias("tokens"))
+    )
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            out = []
+            for host, tokens, classes in zip(*(batch.column(n).to_pylist() for n in ("host", "tokens", "classes"))):
+                left = {(t["path"], t["text"]) for t in tokens if t["valid"]}
+                large = [own for own in classes if sum((t["path"], t["text"]) in left for t in own) >= min_class]
+                stay = left.intersection((t["path"], t["text"]) for own in large for t in own)
+                for token in tokens:
+                    token["valid"] = (token["path"], token["text"]) in stay and (not token["text"] or token["df"] >= min_text)
+                container, fixed = template_of(tokens, share, slot_share)
+                out.append({"host": host, "container": container, "fixed": [{"path": p, "text": t} for p, t in fixed]})
+            yield pa.RecordBatch.from_pylist(out, TEMPLATE_ARROW)
+
+    return placed.join(known, "host").mapInArrow(settle, TEMPLATE)
+
+
+TEMPLATE = "host string, container string, fixed array<struct<path: string, text: string>>"
+TEMPLATE_ARROW = pa.schema(
+    [
+        ("host", pa.string()),
+        ("container", pa.string()),
+        ("fixed", pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))),
+    ]
+)
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -402,7 +525,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
     markup and reader comments are left out. Character references are decoded,
     white space inside a block becomes one space, and the blocks are joined by
-    one line end in the order of the page. Nothing else is dropped.
+    one line end in the order of the page. Nothing else is dropped but texts that
+    the host's template repeats.
 
     A page whose layout is not its host's, or whose host is unknown or has no
     common template, is cut by its own elements alone. Null or empty html, or a

@@ -358,6 +358,39 @@ def test_template_of_a_host_gives_its_slot(spark):
     assert found[10]["text"] == "" and found[11]["text"] == "" and found[12]["text"] == "Other layout"
 
 
+def test_classes_decide_on_slots_and_fixed_texts(spark):
+    def words(i, n):
+        return " ".join(f"w{i}x{k}" for k in range(n))
+
+    def page(i):
+        notice = "<div class='box'><p class='small'>Join our club</p></div>"
+        heading = "<h2>Methods</h2>" if i % 3 else "<h2>Other</h2>"
+        lead, body = f"<div class='lead'><p>{words(i, 20)}</p></div>", f"<div class='rest'>{heading}<p>{words(-i, 50)}</p></div>"
+        links = f"<div class='more'><a href='/'>{words(i + 1000, 15)}</a></div>"
+        return f"<html><body><div class='page'><div class='post'>{lead}{notice}{body}</div>{links}</div></body></html>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(1, 13)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in templates.extract_main_text(pages).collect()}
+    # All slots of the article, without the template's text in it, but with a heading that many pages have.
+    for i in range(1, 13):
+        heading = "Methods" if i % 3 else "Other"
+        assert found[i] == f"{words(i, 20)}\n{heading}\n{words(-i, 50)}"
+
+
+def test_tokens_without_one_order_leave_their_class(spark):
+    def page(i):
+        parts = [f"<div class='{c}'>{c} text</div>" for c in ("a", "b")]
+        own = f"<div class='post'><p>{' '.join(f'w{i}x{k}' for k in range(40))}</p></div>"
+        return f"<html><body>{''.join(parts[:: 1 if i % 2 else -1])}<div class='c'>c text</div>{own}</body></html>"
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    (template,) = templates.host_templates(pages).collect()
+    assert template["container"] == "/html/body/div.post"
+    assert [f["path"] for f in template["fixed"]] == ["/html/body/div.c"]
+
+
 def test_page_text_on_whole_table(spark):
     import html as entities
 
