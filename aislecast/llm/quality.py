@@ -32,6 +32,7 @@ BATCH = 32
 # Labelled documents, and characters of them, that the fit reads at most.
 SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 16_000_000
+LONG = 20
 SEED = 9
 MEMO = 300_000
 # Stands for a word that repeats the one before it. It cannot be a word: it has a space.
@@ -170,7 +171,10 @@ def train(
 ) -> Model:
     """Fit on at most ``rows`` labelled documents and ``chars`` characters, picked by a hash of the id.
 
-    Only documents that are not held out, with one label of 0 or 1, are read.
+    Only documents that are not held out, with one label of 0 or 1, are read;
+    equal rows count once. Documents are chosen by their length alone: one that
+    does not fit is passed over, and one longer than a ``LONG``-th of ``chars``
+    waits until the shorter ones are chosen. Only chosen texts are fetched.
     Without documents of both classes the model is blank: every score is 0.5.
     """
     known = (
@@ -182,15 +186,21 @@ def train(
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "class")
     # At most ``rows`` ids and classes: their size is known before they are sent to the tasks.
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    sized = found.select("doc_id", "class", F.length("text").alias("n"), "text").where("text is not null")
-    few = sized.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-    texts, classes, left = [], [], chars
-    for row in few.toLocalIterator():
-        left -= row["n"]
-        if left < 0:
-            break
-        texts.append(row["text"])
-        classes.append(row["class"])
+    found = found.where("text is not null").withColumn("mark", F.xxhash64("text"))
+    sizes = found.select("doc_id", "class", "mark", F.length("text").alias("n")).distinct()
+    few = sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(rows)
+    chosen, left = [], chars
+    for row in sorted(few.collect(), key=lambda r: r["n"] * LONG > chars):
+        if row["n"] <= left:
+            left -= row["n"]
+            chosen.append(row)
+    if not chosen:
+        return Model.blank()
+    keys = docs.sparkSession.createDataFrame(chosen, few.schema).select("doc_id", "mark")
+    fetched = found.join(F.broadcast(keys), ["doc_id", "mark"]).groupBy("doc_id", "mark").agg(F.first("text").alias("text"))
+    by_key = {(r["doc_id"], r["mark"]): r["text"] for r in fetched.toLocalIterator()}
+    texts = [by_key[r["doc_id"], r["mark"]] for r in chosen]
+    classes = [r["class"] for r in chosen]
     return fit(texts, classes)
 
 

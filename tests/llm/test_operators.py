@@ -513,6 +513,20 @@ def test_quality_model_tells_classes_apart(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.95
 
 
+def test_one_long_document_does_not_end_the_sample(spark):
+    ids = [r[0] for r in spark.range(300).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()]
+    texts = {i: "good words here" if i % 2 else "bad stuff there" for i in ids}
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+
+    def odds(first):
+        rows = [(i, first if i == ids[0] else text) for i, text in texts.items()]
+        model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, chars=5000)
+        return model.score("good words here") - model.score("bad stuff there")
+
+    # Longer than all characters together, and one that would leave nearly none.
+    assert odds("long " * 2000) > 0.2 and odds("x" * 4990) > 0.2
+
+
 def test_quality_scores_have_a_value_for_every_row(spark):
     blank = quality.train(frame(spark, ["a"]), spark.createDataFrame([], "doc_id long, quality int"))
     rows = quality.score_documents(frame(spark, [None, "", "a a a", "x" * 100_000]), blank).collect()
