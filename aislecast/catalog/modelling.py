@@ -262,11 +262,10 @@ def boruta_select(f: Frames) -> DataFrame:
 
 
 def _forecaster(f: Frames) -> Forecaster:
-    """Fit the parameters and a small boosted model, save both and load them back."""
+    """Fit the parameters and the tuned boosted model, save both and load them back."""
     with held(f.feature_rows) as kept:
         train, _ = _split(f, kept)
-        tuned = {**models.TUNED, "n_estimators": 10}
-        model = models.fit(models.boosted(**tuned, bins=BINS), train)
+        model = models.fit(models.boosted(**models.TUNED), train)
     path = work_path(f.spark, "forecaster")
     save_forecaster(f.parameter_table, model, path)
     return Forecaster.load(f.spark, path)

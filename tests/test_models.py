@@ -135,6 +135,23 @@ def test_registered_selection_decides(spark):
     assert {"accepted", "rejected"} & set(decisions.values())
 
 
+@pytest.mark.parametrize("name", ["score_batch", "six_week_forecast", "stream_scoring"])
+def test_scoring_queries_fit_the_tuned_model(spark, monkeypatch, name):
+    from aislecast.catalog import QUERIES
+
+    class Asked(Exception):
+        pass
+
+    def fit(model, train):
+        raise Asked(model.getStages()[-1])
+
+    monkeypatch.setattr(models, "fit", fit)
+    with pytest.raises(Asked) as asked:
+        QUERIES[name](spark, SMALL)
+    trees = asked.value.args[0]
+    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getMaxBins()) == (3000, 5, 256)
+
+
 def test_coin_tails_and_false_discovery():
     assert selection.upper_tail(0, 10) == 1 and selection.lower_tail(10, 10) == 1
     assert selection.upper_tail(9, 10) == pytest.approx(11 / 1024)
