@@ -258,7 +258,7 @@ def compare_models_small(f: Frames) -> DataFrame:
 def boruta_select(f: Frames) -> DataFrame:
     train, _ = _split(f, f.prepared)
     names = [c for c in train.columns if c not in ("date", "sales")]
-    return boruta(train, names, "sales", max_iter=20)
+    return boruta(train, names, "sales")
 
 
 def _forecaster(f: Frames) -> Forecaster:

@@ -152,6 +152,23 @@ def test_scoring_queries_fit_the_tuned_model(spark, monkeypatch, name):
     assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getMaxBins()) == (3000, 5, 256)
 
 
+def test_selection_query_runs_all_rounds_of_unlimited_trees(spark, monkeypatch):
+    from aislecast.catalog import QUERIES
+
+    depths = []
+
+    def importances(rows, inputs, label, seed, depth, bins):
+        depths.append(depth)
+        # Every feature beats its shadow in every second round, so none is decided.
+        half = np.arange(len(inputs)) * 2 < len(inputs)
+        return (half if len(depths) % 2 else ~half).astype(float)
+
+    monkeypatch.setattr(selection, "importances", importances)
+    rows = QUERIES["boruta_select"](spark, SMALL).collect()
+    assert depths == [30] * 100
+    assert {r["decision"] for r in rows} == {"tentative"}
+
+
 def test_coin_tails_and_false_discovery():
     assert selection.upper_tail(0, 10) == 1 and selection.lower_tail(10, 10) == 1
     assert selection.upper_tail(9, 10) == pytest.approx(11 / 1024)
