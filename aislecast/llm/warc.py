@@ -32,7 +32,8 @@ SEGMENT_BYTES = 16_384
 CHUNK_BYTES = 4_096
 FILE_BYTES = 64 << 20
 MIN_DUPLICATE_BYTES = 100
-RECORD_ID = "<urn:x-page:%d>"
+# Page, file and place in the file: a page's number alone may be repeated.
+RECORD_ID = "<urn:x-page:%d:%s>"
 FILES = "file string, n_records long"
 RECORDS = "origin string, segment int, total long, type string, refers string, digest string, url string, block binary"
 PAGES = (
@@ -88,12 +89,14 @@ def _record(kind: str, record_id: str, block: bytes, **fields: object) -> bytes:
     return press.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + press.flush()
 
 
-def _records(page_id: int, url: str, payload: bytes, digest: str, first_id: int | None, segment: int) -> Iterator[bytes]:
-    name = RECORD_ID % page_id
-    common = {"Target_URI": " ".join((url or "").split()), "Payload_Digest": f"sha256:{digest}"}
+def _records(
+    page_id: int, url: str, payload: bytes, digest: str, first_id: int | None, segment: int, place: str
+) -> Iterator[bytes]:
+    name = RECORD_ID % (page_id, place)
+    common = {"Page_ID": page_id, "Target_URI": " ".join((url or "").split()), "Payload_Digest": f"sha256:{digest}"}
     if first_id is not None and first_id != page_id:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        yield _record("revisit", name, head, Refers_To=RECORD_ID % first_id, **common)
+        yield _record("revisit", name, head, Refers_To_Page_ID=first_id, **common)
         return
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = head + chunked(payload)
@@ -104,7 +107,7 @@ def _records(page_id: int, url: str, payload: bytes, digest: str, first_id: int
     yield _record("response", name, parts[0], Segment_Number=1, **common)
     for number, part in enumerate(parts[1:], 2):
         last = {"Segment_Total_Length": len(block)} if number == len(parts) else {}
-        own = f"<urn:x-page:{page_id}:{number}>"
+        own = RECORD_ID % (page_id, f"{place}:{number}")
         yield _record("continuation", own, part, Segment_Origin_ID=name, Segment_Number=number, **last, **common)
 
 
@@ -123,7 +126,7 @@ def write_archives(planned: DataFrame, folder: str, segment: int = SEGMENT_BYTES
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 payload = row["payload"]
                 digest = row["digest"] or digest_of(payload).hexdigest()
-                for data in _records(row["page_id"], row["url"], payload, digest, row["first_id"], segment):
+                for data in _records(row["page_id"], row["url"], payload, digest, row["first_id"], segment, f"{name[:32]}-{count}"):
                     out.write(data)
                     size += len(data)
                     count += 1
@@ -172,7 +175,7 @@ def _parse(record: bytes) -> dict:
         "segment": int(number) if number else 0,
         "total": int(total) if total else None,
         "type": field["WARC-Type"],
-        "refers": field.get("WARC-Refers-To"),
+        "refers": field.get("WARC-Refers-To-Page-ID"),
         "digest": field.get("WARC-Payload-Digest", "").removeprefix("sha256:"),
         "url": field.get("WARC-Target-URI"),
         "block": block,
@@ -270,7 +273,7 @@ def decode_pages(whole: DataFrame) -> DataFrame:
                     page |= {
                         "payload_bytes": int(field["Content-Length"]),
                         "payload_digest": row["digest"],
-                        "refers_to": _page_number(row["refers"]),
+                        "refers_to": int(row["refers"]),
                     }
                 else:
                     payload = unchunked(body) if field.get("Transfer-Encoding") == "chunked" else body
@@ -290,7 +293,8 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFr
 
     Of the pages with equal payloads of at least 100 bytes, that with the
     smallest page_id is a ``response``, the others are ``revisit`` records;
-    rows that repeat the smallest page_id are responses too. Null html is an
+    rows that repeat the smallest page_id are responses too, each a record with
+    an id of its own. A revisit names the page, not one of its records. Null html is an
     empty payload. A row without page_id has no record id and is not written.
     The archives are deleted when the application ends.
     """

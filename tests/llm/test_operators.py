@@ -256,6 +256,15 @@ def test_archives_hold_duplicates_segments_and_empty_pages(spark):
         assert rows[page_id]["payload"] == (None if page_id in (3, 8) else data)
 
 
+def test_segmented_pages_with_one_id_are_records_of_their_own(spark):
+    long = "äö" * 40_000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", long), (1, "u", long + "!"), (2, "u", long)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = warc.archive_round_trip(docs).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in found) == [(1, "response", None)] * 4 + [(2, "revisit", 1)]
+    assert sorted(len(r["payload"]) for r in found if r["payload"]) == [160_000] * 3 + [160_001]
+
+
 def test_reassembly_refuses_missing_segments(spark):
     rows = [("o", n, None if n < 3 else 9, "response" if n == 1 else "continuation", None, "", "u", b"abc") for n in (3, 1, 2)]
     whole = warc.reassemble(spark.createDataFrame(rows, warc.RECORDS)).collect()
