@@ -32,8 +32,8 @@ from .text import slices
 
 COORDINATES = 64
 # Of 64 coordinates, texts with a similarity of 0.8 agree in 51 on average, and
-# in fewer than 39 once in about 20,000 pairs.
-MATCHES = 39
+# in fewer than 36 once in about 236,000 pairs (binomial sum).
+MATCHES = 36
 BLOCK_NODES = 400
 BLOCK_SHINGLES = 300_000
 SEED = 8

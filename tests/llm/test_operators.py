@@ -487,6 +487,14 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, block):
     assert [r["kept"] for r in rows] == [c == i for i, (_, c) in enumerate(want)]
 
 
+def test_links_at_the_threshold_are_rarely_missed():
+    import math
+
+    n = near_copies.COORDINATES
+    missed = sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(near_copies.MATCHES))
+    assert missed < 1 / 200_000
+
+
 def test_near_copies_of_rows_without_or_with_repeated_ids(spark):
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (2, "A b c d e f"), (2, "A b c d e f"), (9, None), (9, None)]
     out = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
