@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable_by_workers
-from . import decontaminate, lines, near_copies, neighbours, privacy, quality, templates, token_files, trie_bpe, warc
+from . import decontaminate, dialogues, lines, near_copies, neighbours, privacy, quality, templates, token_files, trie_bpe, warc
+from .checksum_sql import CRC_TABLE, crc32
 from .text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +230,82 @@ def op8_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's article, cut out by its host's template."""
     return templates.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "op12_dialogue_repair",
+    f"""
+    WITH RECURSIVE {CRC_TABLE},
+    filled AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+        FROM conversations
+    ), drawn AS (
+        SELECT conv_id, turn, role, text, {crc32('name')} % 20 AS draw FROM filled, crc
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+               CASE draw WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM (SELECT *, unnest(range(CASE WHEN draw = 3 THEN 2 ELSE 1 END)) FROM drawn WHERE draw <> 0)
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+               md5(length(role) || ':' || role || ':' || text)) AS place FROM damaged
+    ), ended AS (
+        SELECT *, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS final,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth,
+               lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed
+    ), marked AS (
+        SELECT conv_id, turn, role, text, place, left(role, 1) AS initial,
+               final = '' AS blank, final <> '' AND nth > 1 AS dup,
+               nth = 1 AND final NOT IN ('', '.', '!', '?') AS cut,
+               before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM ended
+    ), totals AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+               count(*) FILTER (cut) AS truncated, count(*) FILTER (bad) AS illegal FROM marked GROUP BY conv_id
+    ), inserts AS (
+        -- Roles written by up to two inserts in a row; more never pay.
+        SELECT * FROM (VALUES ('', '', 0), ('', 'u', 1), ('', 'a', 2), ('s', '', 0), ('s', 'u', 1), ('s', 'a', 2),
+            ('u', '', 0), ('u', 'a', 1), ('u', 'u', 2), ('a', '', 0), ('a', 'u', 1), ('a', 'a', 2)) AS i(was, role, n)
+    ), paths AS (
+        SELECT conv_id, 0::BIGINT AS place, '' AS state, 0::BIGINT AS cost, '' AS audit, '' AS lines FROM totals
+        UNION ALL
+        SELECT conv_id, place, state, best.cost, best.audit, best.lines
+        FROM (
+            SELECT conv_id, place, state, min({{'cost': cost, 'audit': audit, 'lines': lines}}) AS best
+            FROM (
+                SELECT m.conv_id, m.place,
+                    CASE edit WHEN 'D' THEN now WHEN 'K' THEN m.initial ELSE CASE now WHEN 'u' THEN 'a' ELSE 'u' END END AS state,
+                    p.cost + 2 * i.n + CASE edit WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END
+                        + CASE WHEN m.cut AND edit <> 'D' THEN 1 ELSE 0 END AS cost,
+                    p.audit || repeat('I', i.n) || edit AS audit,
+                    p.lines || CASE WHEN i.n = 0 THEN '' WHEN i.n = 1 AND i.role = 'u' OR i.n = 2 AND i.role = 'a'
+                            THEN 'user:' || chr(10) ELSE 'assistant:' || chr(10) END
+                        || CASE WHEN i.n < 2 THEN '' WHEN i.role = 'u' THEN 'user:' || chr(10) ELSE 'assistant:' || chr(10) END
+                        || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN m.role || ':' || m.text || chr(10)
+                            ELSE CASE now WHEN 'u' THEN 'assistant:' ELSE 'user:' END || m.text || chr(10) END AS lines
+                FROM paths p
+                JOIN marked m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.place = p.place + 1
+                JOIN inserts i ON i.was = p.state
+                CROSS JOIN LATERAL (SELECT CASE WHEN i.n = 0 THEN p.state ELSE i.role END AS now)
+                CROSS JOIN (VALUES ('D'), ('K'), ('R')) AS e(edit)
+                WHERE edit = 'D' OR NOT m.blank AND NOT m.dup
+                    AND (edit = 'R' OR m.initial <> '' AND now || m.initial IN ('s', 'u', 'su', 'ua', 'au'))
+            ) GROUP BY conv_id, place, state
+        )
+    ), ends AS (
+        SELECT p.conv_id, min({{'cost': cost + tail, 'audit': audit || repeat('I', tail // 2), 'lines': lines || CASE tail
+            WHEN 4 THEN 'user:' || chr(10) || 'assistant:' || chr(10) WHEN 2 THEN 'assistant:' || chr(10) ELSE '' END}}) AS best
+        FROM (SELECT *, CASE state WHEN 's' THEN 4 WHEN 'u' THEN 2 ELSE 0 END AS tail FROM paths) p
+        JOIN totals t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND p.place = t.n GROUP BY p.conv_id
+    ), ids AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank,
+           coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+           sha256(coalesce(left(best.lines, length(best.lines) - 1), '')) AS repaired_sha256
+    FROM ids LEFT JOIN totals ON totals.conv_id IS NOT DISTINCT FROM ids.conv_id
+    LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM ids.conv_id
+    """,
+)
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after damage, and its cheapest repair."""
+    return dialogues.damage_and_repair(table(spark, sf_dir, "conversations"))
