@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable_by_workers
-from . import decontaminate, dialogues, lines, near_copies, neighbours, privacy, quality, templates, token_files, trie_bpe, warc
+from . import decontaminate, dialogues, lines, near_copies, neighbours, privacy, quality, spellings, templates, token_files, trie_bpe, warc
 from .checksum_sql import CRC_TABLE, crc32
 from .text import table
 
@@ -309,3 +309,49 @@ def op6_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation's faults after damage, and its cheapest repair."""
     return dialogues.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "op11_spelling_variants",
+    f"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+        SELECT doc_id, run, count(*) AS n FROM (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents WHERE text IS NOT NULL
+        ) WHERE length(run) >= 7 GROUP BY doc_id, run
+    ), drawn AS (
+        SELECT run, n, {crc32("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM runs, crc
+    ), words AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+            SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                   ELSE run END AS word FROM drawn
+        ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), left_out AS (
+        SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+    ), pairs AS (
+        SELECT a.word AS a, a.n AS an, b.word AS b, b.n AS bn
+        FROM left_out a JOIN left_out b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT w.word, w.n, l.word, l.n FROM words w JOIN left_out l ON l.rest = w.word
+        UNION SELECT l.word, l.n, w.word, w.n FROM words w JOIN left_out l ON l.rest = w.word
+    ), best AS (
+        SELECT a, count(*) AS n_near, min({{'minus': -bn, 'word': b}}) AS top FROM pairs GROUP BY a
+    ), forms AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near,
+               CASE WHEN -top.minus >= 10 * n THEN top.word END AS form,
+               CASE WHEN -top.minus >= 10 * n THEN -top.minus END AS form_n
+        FROM words LEFT JOIN best ON word = a
+    ), steps AS (
+        SELECT word, form AS root, 1 AS step FROM forms WHERE form IS NOT NULL
+        UNION ALL
+        SELECT s.word, f.form, s.step + 1 FROM steps s JOIN forms f ON s.root = f.word WHERE f.form IS NOT NULL
+    ), ends AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
+    SELECT forms.word, form, coalesce(root, forms.word) AS root, n, n_near, form_n
+    FROM forms LEFT JOIN ends USING (word)
+    """,
+)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words, form and root."""
+    return spellings.spelling_variants(table(spark, sf_dir, "documents"))
