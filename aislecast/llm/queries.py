@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable_by_workers
-from . import decontaminate, dialogues, lines, near_copies, neighbours, privacy, quality, spellings, templates, token_files, trie_bpe, warc
+from . import decontaminate, dialogues, lines, near_copies, neighbours, overlap_join, privacy, quality, spellings, templates, token_files, trie_bpe, warc
 from .checksum_sql import CRC_TABLE, crc32
 from .text import table
 
@@ -355,3 +355,33 @@ def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word's near words, form and root."""
     return spellings.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_overlap_join",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s
+        FROM words
+    ), one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+        FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (
+        SELECT doc_id, doc_id AS r FROM documents
+        UNION
+        SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.r = edges.a
+    ), best AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+    SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+    FROM sets JOIN best USING (doc_id)
+    """,
+)
+def op13_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and component of linked documents."""
+    return overlap_join.overlap_join(table(spark, sf_dir, "documents"))
