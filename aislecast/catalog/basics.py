@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import dates, encode
 from ..operators import columns, joins, nulls, rows, scaling, totals
 from ..plans import prepare
-from ..schemas import ASSORTMENT_RANK, FEATURES, JOINED_COLUMNS, MONTH_NAMES, RECORD
+from ..schemas import ASSORTMENT_RANK, FEATURES, JOINED_COLUMNS, MONTH_NAMES, RECORD, SALES
+from ..session import work_path
 from ..sources.records import records_in, records_out
+from ..sources.tables import read_csv, refused_csv, write_csv
 from .base_sql import sql
 from .frames import Frames
 from .registry import query, rounded
@@ -37,6 +39,41 @@ def scan_future(f: Frames) -> DataFrame:
     return f.future
 
 
+def _spoiled_csv(f: Frames) -> str:
+    """The sales table as CSV files in which some cells cannot be read."""
+    path = work_path(f.spark, "csv")
+    bad = (F.col("Store") % 10 == 3) & (F.dayofmonth("Date") == 15)
+    write_csv(f.sales.withColumn("Sales", F.when(bad, F.lit("n/a")).otherwise(F.col("Sales").cast("string"))), path)
+    return path
+
+
+_SPOILED = '"Store" % 10 = 3 AND day("Date") = 15'
+
+
+@query("csv_round_trip", sql("sales_t", f"SELECT * FROM sales_t WHERE NOT ({_SPOILED})"))
+def csv_round_trip(f: Frames) -> DataFrame:
+    """The lines that can be read in full, with their types."""
+    return read_csv(f.spark, _spoiled_csv(f), SALES)
+
+
+@query(
+    "csv_accounts",
+    sql(
+        "sales_t",
+        "SELECT CAST(count(*) AS BIGINT) AS lines, "
+        f"CAST(count(*) FILTER (NOT ({_SPOILED})) AS BIGINT) AS rows_read, "
+        f"CAST(count(*) FILTER ({_SPOILED}) AS BIGINT) AS refused FROM sales_t",
+    ),
+)
+def csv_accounts(f: Frames) -> DataFrame:
+    """Lines written, rows read and lines refused."""
+    path = _spoiled_csv(f)
+    read = read_csv(f.spark, path, SALES).select(F.lit("rows_read").alias("kind"), "Store")
+    odd = refused_csv(f.spark, path, SALES).select(F.lit("refused").alias("kind"), F.length("line").alias("Store"))
+    kinds = read.unionByName(odd).unionByName(f.sales.select(F.lit("lines").alias("kind"), "Store"))
+    return kinds.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("lines", "rows_read", "refused")])
+
+
 def _future_records(f: Frames) -> DataFrame:
     return joins.attach_store(f.future, f.store).select(*RECORD.names)
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import errors, rows, totals
 from ..plans import models
 from ..plans.forecast import forecast_message as add_message
+from ..session import work_path
+from ..sources.tables import rows_since, write_by_month
 from .base_sql import sql
 from .frames import Frames
 from .registry import query, rounded
@@ -168,6 +170,27 @@ def cutoff_by_store(f: Frames) -> DataFrame:
     return rows.cutoff_by_store(f.sales_days.select("store", "date"))
 
 
+@query(
+    "sales_since_cutoff",
+    sql(
+        "train",
+        "SELECT r.\"Store\" AS store, CAST(count(*) AS BIGINT) AS days, CAST(sum(r.\"Sales\") AS BIGINT) AS sales "
+        "FROM sales_t r JOIN (SELECT store, max(date) - 42 AS cutoff FROM train GROUP BY store) c "
+        "ON r.\"Store\" = c.store AND r.\"Date\" >= c.cutoff GROUP BY 1",
+    ),
+)
+def sales_since_cutoff(f: Frames) -> DataFrame:
+    """Every store's rows from its own cutoff on, read from the month folders that any store needs."""
+    path = work_path(f.spark, "months")
+    write_by_month(f.sales, path)
+    cutoffs = rows.cutoff_by_store(f.sales_days.select("store", "date"))
+    since = cutoffs.select(F.col("store").alias("Store"), F.col("cutoff").alias("since"))
+    recent = rows_since(f.spark.read.parquet(path), since, f.last)
+    return recent.groupBy(F.col("Store").alias("store")).agg(
+        F.count(F.lit(1)).alias("days"), F.sum("Sales").alias("sales")
+    )
+
+
 @query("distinct_values", sql("train", "SELECT DISTINCT state_holiday FROM train"))
 def distinct_values(f: Frames) -> DataFrame:
     return totals.distinct_values(f.sales_days, "state_holiday")

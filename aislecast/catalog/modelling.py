@@ -1,7 +1,7 @@
 """Models, cross-validation, feature selection, scoring and the stream.
 
 Every query runs on the whole prepared table. Queries named ``..._small`` fit
-fewer or shallower trees than the operators' defaults, which take hours here.
+fewer or shallower trees than the operators' defaults, which take long here.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..plans.selection import boruta_select as boruta
 from ..session import held, work_path
 from ..sources.models import load_model, save_model
 from ..sources.records import read_records, write_records
-from ..streaming.scoring import score_stream
+from ..streaming.scoring import score_stream, scored_batches, stream_batches
 from .base_sql import sql
 from .business import cv_columns, errors_sql, fold_sql
 from .frames import Frames
@@ -54,6 +54,12 @@ def random_forest_small(f: Frames) -> DataFrame:
     return _holdout(f, "Random Forest", models.forest(TREES, DEPTH, BINS))
 
 
+@query("random_forest")
+def random_forest(f: Frames) -> DataFrame:
+    """The forest at its full size: 100 trees of unlimited depth."""
+    return _holdout(f, "Random Forest", models.forest())
+
+
 @query("gbt_regression")
 def gbt_regression(f: Frames) -> DataFrame:
     """The first boosted model at its full size: 100 rounds of depth 10."""
@@ -197,8 +203,68 @@ def model_roundtrip(f: Frames) -> DataFrame:
 def cross_validate(f: Frames) -> DataFrame:
     def work(kept: DataFrame) -> DataFrame:
         train, _ = _split(f, kept)
-        last = rows.last_date(train)
-        return models.cross_validate(train, last, 5, "Linear Regression", models.linear())
+        return models.cross_validate_linear(train, rows.last_date(train), 5, "Linear Regression")
+
+    return models.with_held(f.feature_rows, work)
+
+
+@query("cross_validate_lasso")
+def cross_validate_lasso(f: Frames) -> DataFrame:
+    def work(kept: DataFrame) -> DataFrame:
+        train, _ = _split(f, kept)
+        return models.cross_validate_linear(train, rows.last_date(train), 5, "Lasso", models.LASSO_ALPHA)
+
+    return models.with_held(f.feature_rows, work)
+
+
+_TWO_FOLDS = """,
+two_rows AS (
+  SELECT date, CAST(competition_time_month AS DOUBLE) AS x, CAST(promo AS DOUBLE) AS z, log_sales AS y
+  FROM parts WHERE NOT is_test
+),
+two_sums AS (
+  SELECT fold, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz,
+    covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy
+  FROM fold_list JOIN two_rows ON date < validation_start GROUP BY fold
+),
+two_fits AS (
+  SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS bx, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS bz FROM two_sums
+),
+fold_errors AS (
+  SELECT fold, avg(abs(s - p)) AS mae, avg(abs(s - p) / greatest(abs(s), 2.220446049250313e-16)) AS mape,
+    sqrt(avg(pow(s - p, 2))) AS rmse
+  FROM (
+    SELECT l.fold, exp(r.y) - 1 AS s, exp(my + bx * (r.x - mx) + bz * (r.z - mz)) - 1 AS p
+    FROM fold_list l JOIN two_rows r ON r.date BETWEEN l.validation_start AND l.validation_end
+    JOIN two_fits t ON t.fold = l.fold)
+  GROUP BY fold
+)
+"""
+
+
+@query(
+    "cross_validate_two_features",
+    fold_sql("").rstrip() + _TWO_FOLDS + f"SELECT 'Linear Regression' AS model_name, {cv_columns(4)} FROM fold_errors",
+)
+def cross_validate_two_features(f: Frames) -> DataFrame:
+    """Five folds of least squares on two features, from the cross-products of one scan."""
+    names = ["competition_time_month", "promo"]
+    kept = f.open_days.select("store", "date", *[F.col(n).cast("double").alias(n) for n in names], F.log1p("sales").alias("sales"))
+
+    def work(held_rows: DataFrame) -> DataFrame:
+        train, _ = _split(f, held_rows)
+        return models.cross_validate_linear(train, rows.last_date(train), 5, "Linear Regression", features=names)
+
+    return rounded(models.with_held(kept, work), 4)
+
+
+@query("random_search")
+def random_search(f: Frames) -> DataFrame:
+    """The search at its full size: ten draws on five folds."""
+
+    def work(kept: DataFrame) -> DataFrame:
+        train, _ = _split(f, kept)
+        return models.random_search(train, rows.last_date(train))
 
     return models.with_held(f.feature_rows, work)
 
@@ -254,18 +320,19 @@ def compare_models_small(f: Frames) -> DataFrame:
     return models.with_held(f.feature_rows, work)
 
 
-@query("boruta_select")
-def boruta_select(f: Frames) -> DataFrame:
+@query("boruta_select_small")
+def boruta_select_small(f: Frames) -> DataFrame:
+    """At most 20 rounds of trees of depth 5."""
     train, _ = _split(f, f.prepared)
     names = [c for c in train.columns if c not in ("date", "sales")]
-    return boruta(train, names, "sales")
+    return boruta(train, names, "sales", max_iter=20, depth=5)
 
 
 def _forecaster(f: Frames) -> Forecaster:
-    """Fit the parameters and the tuned boosted model, save both and load them back."""
+    """Fit the parameters and the first boosted model in full, save both and load them back."""
     with held(f.feature_rows) as kept:
         train, _ = _split(f, kept)
-        model = models.fit(models.boosted(**models.TUNED), train)
+        model = models.fit(models.boosted(**models.FIRST_BOOSTED), train)
     path = work_path(f.spark, "forecaster")
     save_forecaster(f.parameter_table, model, path)
     return Forecaster.load(f.spark, path)
@@ -339,6 +406,27 @@ def six_week_forecast_line(f: Frames) -> DataFrame:
     return rounded(six_weeks(_line_forecaster(f), f.future, f.store).select("store", "prediction"), 3)
 
 
+@query(
+    "stream_accounts",
+    _line_scores(
+        "SELECT CAST(count(*) AS BIGINT) AS records, "
+        "CAST(count(*) FILTER (store % 10 <> 3) AS BIGINT) AS scored, "
+        "CAST(count(*) FILTER (store % 10 = 3) AS BIGINT) AS refused FROM line_scores"
+    ),
+)
+def stream_accounts(f: Frames) -> DataFrame:
+    """Arriving records, some of an unknown store type, and what the stream made of them."""
+    forecaster = _line_forecaster(f)
+    source, out, checkpoint = (work_path(f.spark, n) for n in ("records", "batches", "checkpoint"))
+    odd = F.when(F.col("Store") % 10 == 3, F.lit("z")).otherwise(F.col("StoreType"))
+    write_records(future_records(f.future, f.store).withColumn("StoreType", odd), source)
+    stream_batches(f.spark, forecaster, source, out, checkpoint).awaitTermination()
+    count = F.count(F.lit(1))
+    scored, refused = (scored_batches(f.spark, out, kind).agg(count.alias(kind)) for kind in ("scored", "refused"))
+    records = read_records(f.spark, source).agg(count.alias("records"))
+    return records.join(scored).join(refused)
+
+
 @query("stream_scoring_line", _line_scores("SELECT store, date, round(prediction, 4) AS prediction FROM line_scores"))
 def stream_scoring_line(f: Frames) -> DataFrame:
     """The exact check of the stream: the same records as files, scored as they arrive."""

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles, value_counts
 from ..session import held
 from .columns import long_values, numeric_names
+from .moments import pair_moments
 
 
 def describe_numeric(
@@ -57,21 +59,17 @@ def describe_numeric(
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair as ``(col_a, col_b, r)``.
 
-    One aggregate over one scan, with one row for each pair and task to shuffle.
-    A row with a missing value counts for the pairs in which it is complete.
+    One scan that adds up co-moment arrays, one for each task. A row with a
+    missing value counts for the pairs in which it is complete; NaN counts as
+    missing.
     """
     names = list(columns or numeric_names(df))
-    pairs = list(combinations_with_replacement(names, 2))
-    doubles = df.select([F.col(c).cast("double").alias(c) for c in names])
-    cells = [F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for i, (a, b) in enumerate(pairs)]
-    found = doubles.select(F.inline(F.array(*cells))).groupBy("pair").agg(
-        F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("spread")
-    )
-    places = [(i, a, b) for i, (a, b) in enumerate(pairs)] + [(i, b, a) for i, (a, b) in enumerate(pairs) if a != b]
-    named = df.sparkSession.createDataFrame(places, "pair int, col_a string, col_b string")
-    same = F.col("col_a") == F.col("col_b")
-    r = F.when(~same, F.col("r")).when(F.col("spread") > 0, F.lit(1.0))
-    return named.join(found, "pair", "left").select("col_a", "col_b", r.alias("r"))
+    found = pair_moments(df, names)
+    r = found[0].correlations() if found else np.full((len(names), len(names)), np.nan)
+    cells = [
+        (a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)
+    ]
+    return df.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
 
 
 def corr_with(totals: DataFrame, x: str = "key", y: str = "sales") -> DataFrame:

@@ -5,21 +5,25 @@ from __future__ import annotations
 import datetime as dt
 import random
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spreading import salted_join
 from ..operators import errors
 from ..operators.joins import attach_mean
+from ..operators.moments import Moments, pair_moments
 from ..schemas import FEATURES, HORIZON_DAYS, TARGET
-from ..session import held, shared_folder
+from ..session import held, importable_by_workers
+from .boosting import BlockBoosting, BlockForest, TreeModel, fit_in_step
 
 # --- Fixed values: the search grid and the tuned parameters ------------------
 SEARCH_GRID = {
@@ -48,9 +52,13 @@ FIRST_BOOSTED = {
     "subsample": 0.7,
     "colsample_bytree": 0.9,
 }
+BASE_SCORE = 0.5
 SEED = 42
 # --- end of fixed values -----------------------------------------------------
 
+Estimator = Pipeline | BlockBoosting | BlockForest
+Model = PipelineModel | TreeModel
+
 # Folds of one model that are fitted at the same time.
 PARALLEL_FITS = 4
 
@@ -78,17 +86,13 @@ def lasso(alpha: float = LASSO_ALPHA, features: Sequence[str] = FEATURES) -> Pip
 
 def forest(
     trees: int = FOREST_TREES,
-    depth: int = 30,
+    depth: int | None = None,
     bins: int = 256,
     seed: int = SEED,
     features: Sequence[str] = FEATURES,
-    memory_mb: int = 1024,
-) -> Pipeline:
-    model = RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed,
-        featureSubsetStrategy="all", maxMemoryInMB=memory_mb,
-    )
-    return estimator(model, features)
+) -> BlockForest:
+    """Trees on bootstraps of the rows, of unlimited depth by default."""
+    return BlockForest(trees, depth, bins, seed, tuple(features))
 
 
 def boosted(
@@ -101,24 +105,20 @@ def boosted(
     bins: int = 256,
     seed: int = SEED,
     features: Sequence[str] = FEATURES,
-    memory_mb: int = 1024,
-) -> Pipeline:
-    """Gradient-boosted trees; every tenth round is checkpointed to cut lineage."""
-    model = GBTRegressor(
-        maxIter=n_estimators, stepSize=eta, maxDepth=max_depth, subsamplingRate=subsample,
-        featureSubsetStrategy=str(colsample_bytree) if colsample_bytree < 1 else "all",
-        minInstancesPerNode=min_child_weight, maxBins=bins, seed=seed,
-        checkpointInterval=10, maxMemoryInMB=memory_mb,
-    )
-    return estimator(model, features)
+    base_score: float = BASE_SCORE,
+) -> BlockBoosting:
+    """Gradient-boosted trees for squared error, with an L2 term of 1 in every leaf."""
+    return BlockBoosting(
+        n_estimators, eta, max_depth, subsample, colsample_bytree, min_child_weight, 1.0, base_score, bins, seed, tuple(features)
+    )
 
 
-def fit(model: Pipeline, train: DataFrame) -> PipelineModel:
-    shared_folder(train.sparkSession)  # tree models checkpoint there
+def fit(model: Estimator, train: DataFrame) -> Model:
+    importable_by_workers(train.sparkSession)
     return model.fit(train)
 
 
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def predict(model: Model, rows: DataFrame) -> DataFrame:
     """Rows with ``predictions`` in sales units and, if known, ``sales`` too.
 
     The prediction is a column of the row it belongs to, so keys stay attached.
@@ -141,7 +141,7 @@ def average_model(
     return joined.withColumns({TARGET: F.expm1(TARGET), "predictions": F.expm1("predictions")})
 
 
-def holdout_error(name: str, model: Pipeline, train: DataFrame, test: DataFrame) -> DataFrame:
+def holdout_error(name: str, model: Estimator, train: DataFrame, test: DataFrame) -> DataFrame:
     """Fit on ``train``; error of the predictions for ``test``."""
     return errors.ml_error(predict(fit(model, train), test), name)
 
@@ -187,10 +187,16 @@ def cross_validate(
     last: dt.date,
     folds: int,
     model_name: str,
-    model: Pipeline,
+    model: Estimator,
     days: int = HORIZON_DAYS,
 ) -> DataFrame:
-    """One row: mean and std over time-ordered folds of MAE, MAPE and RMSE."""
+    """One row: mean and std over time-ordered folds of MAE, MAPE and RMSE.
+
+    Boosted models of all folds grow in the same jobs.
+    """
+    if isinstance(model, BlockBoosting):
+        per_fold = staged_fold_errors(rows, last, folds, {model_name: model}, days)
+        return errors.cv_summary(per_fold.withColumnRenamed("draw", "model_name"))
 
     def fit_predict(train: DataFrame, valid: DataFrame) -> DataFrame:
         return predict(fit(model, train), valid)
@@ -199,6 +205,95 @@ def cross_validate(
     return errors.cv_summary(fold_errors(predicted, model_name))
 
 
+def cross_validate_linear(
+    rows: DataFrame,
+    last: dt.date,
+    folds: int,
+    model_name: str,
+    alpha: float = 0.0,
+    features: Sequence[str] = FEATURES,
+    days: int = HORIZON_DAYS,
+) -> DataFrame:
+    """``cross_validate`` of least squares, or of the lasso for ``alpha`` above 0, with one scan for all fits.
+
+    The rows are cut at the folds' starts into time segments; the sums of the
+    segments before a fold give its cross-products, hence its fit. A second
+    scan, of the validation rows alone, takes the errors of all folds.
+    """
+    numbers = list(range(folds, 0, -1))
+    starts = [errors.fold_bounds(last, k, days)[0] for k in numbers]
+    passed = reduce(Column.__add__, [(F.col("date") >= F.lit(s)).cast("int") for s in starts])
+    complete = rows.where(F.col("date") < F.lit(starts[-1])).dropna(subset=[*features, TARGET])
+    segments = pair_moments(complete, [*features, TARGET], passed)
+    day, cells, total = F.col("date"), [], None
+    for at, k in enumerate(numbers):
+        if at in segments:
+            total = segments[at] if total is None else total.merged(segments[at])
+        if total is None:
+            raise ValueError(f"no rows before fold {k}")
+        intercept, weights = solve(total, alpha)
+        value = reduce(Column.__add__, [F.col(f) * w for f, w in zip(features, weights.tolist())], F.lit(intercept))
+        start, end = errors.fold_bounds(last, k, days)
+        cell = F.struct(F.lit(k).alias("fold"), F.expm1(value).alias("predictions"))
+        cells.append(F.when(day.between(F.lit(start), F.lit(end)), cell))
+    valid = rows.where(day >= F.lit(starts[0])).select(F.expm1(TARGET).alias(TARGET), F.inline(F.array_compact(F.array(*cells))))
+    return errors.cv_summary(fold_errors(valid, model_name))
+
+
+def solve(moments: Moments, alpha: float = 0.0, rounds: int = 10_000) -> tuple[float, np.ndarray]:
+    """Intercept and weights of the last column on the others: least squares, or coordinate descent for the lasso."""
+    products, means, n = moments.covariance_sums(), moments.means(), moments.count[0, 0]
+    gram, with_label = products[:-1, :-1], products[:-1, -1]
+    if alpha == 0:
+        scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+        weights = np.linalg.lstsq(gram / np.outer(scale, scale), with_label / scale, rcond=1e-12)[0] / scale
+    else:
+        weights = np.zeros(len(gram))
+        for _ in range(rounds):
+            before = weights.copy()
+            for j in np.flatnonzero(np.diag(gram) > 0):
+                rest = with_label[j] - gram[j] @ weights + gram[j, j] * weights[j]
+                weights[j] = np.sign(rest) * max(abs(rest) - alpha * n, 0.0) / gram[j, j]
+            if np.abs(weights - before).max() <= 1e-12 * max(1.0, np.abs(weights).max()):
+                break
+    return float(means[-1] - means[:-1] @ weights), weights
+
+
+def staged_fold_errors(
+    rows: DataFrame, last: dt.date, folds: int, models: Mapping[int | str, BlockBoosting], days: int = HORIZON_DAYS
+) -> DataFrame:
+    """Error of every model, named by ``draw``, on every fold.
+
+    Models that differ in the number of rounds alone share one fit for each
+    fold, and all fits grow in step: a round of all of them takes as many jobs as
+    one of a single model. A fold's rows are scored once, for all models and
+    numbers of rounds.
+    """
+    importable_by_workers(rows.sparkSession)
+    shared: dict[BlockBoosting, dict[int | str, int]] = {}
+    for draw, model in models.items():
+        shared.setdefault(replace(model, rounds=0), {})[draw] = model.rounds
+    longest = [replace(m, rounds=max(r.values())) for m, r in shared.items()]
+    numbers = range(folds, 0, -1)
+    starts = [errors.fold_bounds(last, k, days)[0] for k in numbers]
+    train = rows.where(F.col("date") < F.lit(starts[-1]))
+    fitted = fit_in_step(train, longest * folds, [start for start in starts for _ in longest])
+    parts = []
+    for at, k in enumerate(numbers):
+        _, valid = errors.fold_split(rows, last, k, days)
+        cells = []
+        for i, rounds in enumerate(shared.values()):
+            counts = sorted(set(rounds.values()))
+            valid = fitted[at * len(longest) + i].staged(valid, counts, f"staged_{i}")
+            cells += [
+                F.struct(F.lit(draw).alias("draw"), F.expm1(F.col(f"staged_{i}")[counts.index(n)]).alias("predictions"))
+                for draw, n in rounds.items()
+            ]
+        parts.append(valid.select(F.lit(k).alias("fold"), F.expm1(TARGET).alias(TARGET), F.inline(F.array(*cells))))
+    scored = reduce(DataFrame.unionByName, parts)
+    return scored.groupBy("draw", "fold").agg(*errors.error_columns_of(TARGET, "predictions"))
+
+
 def cross_validate_average(
     rows: DataFrame, last: dt.date, folds: int = 5, days: int = HORIZON_DAYS
 ) -> DataFrame:
@@ -242,14 +337,20 @@ def random_search(
     seed: int = SEED,
     bins: int = 256,
 ) -> DataFrame:
-    """Cross-validated error of each drawn combination, best RMSE first."""
-    results = []
-    for draw, values in enumerate(draw_parameters(grid, draws, seed)):
-        model = boosted(**values, bins=bins, seed=seed)
-        result = cross_validate(rows, last, folds, "Boosted Trees", model)
-        settings = [F.lit(v).alias(name) for name, v in values.items()]
-        results.append(result.select(F.lit(draw).alias("draw"), *settings, "*"))
-    return reduce(DataFrame.unionByName, results).orderBy("rmse_mean", "draw")
+    """Cross-validated error of each drawn combination, best RMSE first.
+
+    All draws and folds are fitted in step; see ``staged_fold_errors``.
+    """
+    drawn = draw_parameters(grid, draws, seed)
+    models = {draw: boosted(**values, bins=bins, seed=seed) for draw, values in enumerate(drawn)}
+    summary = errors.cv_summary(staged_fold_errors(rows, last, folds, models), by="draw")
+    table = [(draw, *map(float, values.values())) for draw, values in enumerate(drawn)]
+    settings = rows.sparkSession.createDataFrame(table, "draw int, " + ", ".join(f"{n} double" for n in grid))
+    for name, values in grid.items():
+        if all(isinstance(v, int) for v in values):
+            settings = settings.withColumn(name, F.col(name).cast("int"))
+    named = settings.withColumn("model_name", F.lit("Boosted Trees"))
+    return named.join(summary, "draw").orderBy("rmse_mean", "draw")
 
 
 def compare_models(results: Sequence[DataFrame], by: str = "rmse") -> DataFrame:

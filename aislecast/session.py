@@ -78,6 +78,24 @@ def kept_until_exit(spark: SparkSession, path: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
+def path_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it does not exist."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(jvm_path)] if files.exists(jvm_path) else []
+
+
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if there is one of that name already."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(jvm_path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a work folder whose content no frame needs any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,8 +14,9 @@ from aislecast.plans.forecast import Forecaster, future_records, save_forecaster
 from aislecast.plans.prepare import fit_parameters, prepare
 from aislecast.schemas import FUTURE, RECORD, SALES, STORE
 from aislecast.session import work_path
-from aislecast.sources import records, tables
+from aislecast.sources import records, tables, versions
 from aislecast.sources.parameters import Parameters, load_parameters, save_parameters
+from aislecast.streaming import scoring
 from aislecast.streaming.scoring import refuse_stream, score_stream
 
 SMALL = "/root/testdata/sf0.001"
@@ -78,6 +79,22 @@ def test_cross_validation_and_search(planted):
     assert all(d[k] in v for d in draws for k, v in models.SEARCH_GRID.items())
 
 
+def test_staged_errors_equal_separate_fits(planted):
+    """Draws that differ in rounds alone share a fit; its stages are the fits with fewer rounds."""
+    few, many = (models.boosted(n, 0.3, 3, 0.7, 0.9, 3, bins=32, features=NAMES) for n in (4, 9))
+    other = models.boosted(5, 0.1, 2, bins=32, features=NAMES)
+    draws = {0: few, 1: many, 2: other}
+    together = {(r["draw"], r["fold"]): r for r in models.staged_fold_errors(planted, LAST, 2, draws).collect()}
+    assert len(together) == 6
+    for draw, model in draws.items():
+        for row in models.staged_fold_errors(planted, LAST, 2, {draw: model}).collect():
+            assert row["rmse"] == pytest.approx(together[draw, row["fold"]]["rmse"], rel=1e-9)
+    # A fold by hand: bins are those of all rows before the last fold.
+    train, valid = errors.fold_split(planted, LAST, 1)
+    alone = models.holdout_error("m", few, train, valid).first()["rmse"]
+    assert together[0, 1]["rmse"] == pytest.approx(alone, rel=1e-9)
+
+
 def test_random_search_ranks_by_error(spark):
     f = Frames(spark, SMALL)
     grid = {**models.SEARCH_GRID, "n_estimators": [2], "max_depth": [2]}
@@ -131,30 +148,30 @@ def test_shadows_of_clustered_rows_lose_their_link(spark):
 def test_registered_selection_decides(spark):
     from aislecast.catalog import QUERIES
 
-    decisions = {r["feature"]: r["decision"] for r in QUERIES["boruta_select"](spark, SMALL).collect()}
+    decisions = {r["feature"]: r["decision"] for r in QUERIES["boruta_select_small"](spark, SMALL).collect()}
     assert {"accepted", "rejected"} & set(decisions.values())
 
 
 @pytest.mark.parametrize("name", ["score_batch", "six_week_forecast", "stream_scoring"])
-def test_scoring_queries_fit_the_tuned_model(spark, monkeypatch, name):
+def test_scoring_queries_score_every_open_record(spark, name):
     from aislecast.catalog import QUERIES
 
-    class Asked(Exception):
-        pass
-
-    def fit(model, train):
-        raise Asked(model.getStages()[-1])
+    f = Frames(spark, SMALL)
+    found = QUERIES[name](spark, SMALL).collect()
+    records = future_records(f.future, f.store)
+    expected = records.count() if name != "six_week_forecast" else records.select("Store").distinct().count()
+    assert len(found) == expected > 0
+    assert all(r["prediction"] > 0 for r in found)
 
-    monkeypatch.setattr(models, "fit", fit)
-    with pytest.raises(Asked) as asked:
-        QUERIES[name](spark, SMALL)
-    trees = asked.value.args[0]
-    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getMaxBins()) == (3000, 5, 256)
 
+def test_scoring_queries_fit_the_first_boosted_model_in_full():
+    model = models.boosted(**models.FIRST_BOOSTED)
+    assert (model.rounds, model.depth, model.rate, model.l2, model.base) == (100, 10, 0.01, 1.0, 0.5)
+    tuned = models.boosted(**models.TUNED)
+    assert (tuned.rounds, tuned.depth, tuned.bins, len(tuned.columns(7))) == (3000, 5, 256, 14)
 
-def test_selection_query_runs_all_rounds_of_unlimited_trees(spark, monkeypatch):
-    from aislecast.catalog import QUERIES
 
+def test_selection_runs_until_all_rounds_are_used(planted, monkeypatch):
     depths = []
 
     def importances(rows, inputs, label, seed, depth, bins):
@@ -164,9 +181,9 @@ def test_selection_query_runs_all_rounds_of_unlimited_trees(spark, monkeypatch):
         return (half if len(depths) % 2 else ~half).astype(float)
 
     monkeypatch.setattr(selection, "importances", importances)
-    rows = QUERIES["boruta_select"](spark, SMALL).collect()
-    assert depths == [30] * 100
-    assert {r["decision"] for r in rows} == {"tentative"}
+    found = selection.boruta_select(planted, NAMES, "sales", max_iter=30).collect()
+    assert depths == [None] * 30
+    assert {r["decision"] for r in found} == {"tentative"}
 
 
 def test_coin_tails_and_false_discovery():
@@ -196,8 +213,61 @@ def test_month_folders_are_pruned(spark, tmp_path):
     tables.write_by_month(f.sales, str(tmp_path / "sales"))
     back = spark.read.parquet(str(tmp_path / "sales"))
     assert back.count() == f.sales.count()
-    year = back.where("sales_year = 1999")
-    assert year.count() == f.sales.where("year(Date) = 1999").count()
+    since = f.sales.groupBy("Store").agg(F.date_sub(F.max("Date"), 42).alias("since"))
+    recent = tables.rows_since(back, since, f.last)
+    plan = recent._sc._jvm.PythonSQLUtils.explainString(recent._jdf.queryExecution(), "formatted")
+    assert "dynamicpruning" in plan
+    expected = f.sales.join(since, "Store").where("Date >= since")
+    assert recent.select(*f.sales.columns).exceptAll(expected.select(*f.sales.columns)).count() == 0
+    assert recent.count() == expected.count() > 0
+
+
+def test_csv_lines_read_and_refused_are_all_lines(spark, tmp_path):
+    good = "1,5,2015-07-31,5263,555,1,1,0,1"
+    odd = ["2,5,2015-07-31,many,555,1,1,0,1", "3,5,2015-31-07,5263,555,1,1,0,1", "x", "4,5,2015-07-31,1,1,1,1,0,1,9,9"]
+    (tmp_path / "sales.csv").write_text("\n".join([",".join(SALES.names), good, *odd, good.replace("5263", "")]) + "\n")
+    path = str(tmp_path / "sales.csv")
+    rows_read = tables.read_sales(spark, path)
+    assert rows_read.columns == SALES.names
+    assert sorted(str(r["Sales"]) for r in rows_read.collect()) == ["5263", "None"]
+    assert sorted(r["line"] for r in tables.refused_csv(spark, path, SALES).collect()) == sorted(odd)
+
+
+def test_readers_get_whole_versions(spark):
+    path = work_path(spark, "versions")
+    with pytest.raises(FileNotFoundError):
+        versions.published(spark, path)
+    frame = spark.range(3)
+
+    def half_done(folder):
+        frame.write.parquet(f"{folder}/a")
+        raise RuntimeError("the writer dies")
+
+    def whole(number):
+        def write(folder):
+            frame.withColumn("v", F.lit(number)).write.parquet(f"{folder}/a")
+            if number > 1:  # a reader during the second save still gets the first
+                assert read() == 1
+            frame.withColumn("v", F.lit(number)).write.parquet(f"{folder}/b")
+
+        return write
+
+    def read():
+        folder = versions.published(spark, path)
+        (one,), (two,) = ({r["v"] for r in spark.read.parquet(f"{folder}/{n}").collect()} for n in "ab")
+        assert one == two
+        return one
+
+    assert versions.publish(spark, path, whole(1)) == 1 and read() == 1
+    with pytest.raises(RuntimeError):
+        versions.publish(spark, path, half_done)
+    assert read() == 1
+    assert versions.publish(spark, path, whole(2)) == 2 and read() == 2
+    assert versions.published(spark, path, 1) != versions.published(spark, path)
+    versions.drop_versions(spark, path, keep=1)
+    assert read() == 2
+    with pytest.raises(FileNotFoundError):
+        versions.published(spark, path, 1)
 
 
 def test_json_object_array_and_empty(spark):
@@ -321,6 +391,39 @@ def test_stream_sends_odd_records_to_a_place_of_their_own(spark, served, tmp_pat
     assert sorted(reasons) == REASONS
 
 
+def test_a_batch_repeated_after_a_crash_counts_once(spark, served, tmp_path, monkeypatch):
+    f, forecaster = served
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("\n".join(odd_payloads(f)))
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    honest, calls = scoring._refused, []
+
+    def crash(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("between the two outputs")
+        return honest(*args)
+
+    # The scored rows of the first batch are written before its refused ones are made.
+    def scored_then_crash(forecaster_, kept):
+        if not calls:
+            text = records.records_out(forecaster_.score(records.records_in(kept, "value", RECORD)), "value")
+            text.write.mode("overwrite").text(f"{out}/scored/batch=0")
+        return crash(forecaster_, kept)
+
+    monkeypatch.setattr(scoring, "_refused", scored_then_crash)
+    with pytest.raises(Exception, match="between the two outputs"):
+        scoring.stream_batches(spark, forecaster, str(source), out, check).awaitTermination()
+    scoring.stream_batches(spark, forecaster, str(source), out, check).awaitTermination()
+    (source / "b.txt").write_text(odd_payloads(f)[0])
+    scoring.stream_batches(spark, forecaster, str(source), out, check).awaitTermination()
+    scored = scoring.scored_batches(spark, out)
+    assert sorted((r["batch"], r["count"]) for r in scored.groupBy("batch").count().collect()) == [(0, 10), (1, 10)]
+    refused = scoring.scored_batches(spark, out, "refused").collect()
+    assert sorted(json.loads(r["value"])["reason"] for r in refused) == REASONS
+
+
 def test_training_rows_without_a_feature_are_set_aside(served):
     f, _ = served
     odd = f.prepared.withColumn("promo2", F.when(F.col("store") != 3, F.col("promo2")))
