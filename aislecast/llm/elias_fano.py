@@ -48,6 +48,10 @@ class EliasFano:
 
     def select(self, index: int) -> int:
         """The value at ``index``."""
+        return ((self.position(index) - index) << self.low_bits) + int(self._lows(index, index + 1)[0])
+
+    def position(self, index: int) -> int:
+        """The place of the set bit with this number."""
         if not 0 <= index < self.count:
             raise IndexError(index)
         at = int(self.sampled[index // SAMPLE])
@@ -57,12 +61,21 @@ class EliasFano:
         while True:
             ones = np.flatnonzero(bits)
             if left < len(ones):
-                position = byte * 8 + int(ones[left])
-                return ((position - index) << self.low_bits) + int(self._lows(index, index + 1)[0])
+                return byte * 8 + int(ones[left])
             left -= len(ones)
             byte += 64
             bits = np.unpackbits(self.high[byte : byte + 64], bitorder="little")
 
+    def range(self, start: int, stop: int) -> np.ndarray:
+        """The values from ``start`` up to ``stop``: select finds the first, a scan of the bits the others."""
+        if start >= stop:
+            return np.zeros(0, np.int64)
+        first, last = self.position(start), self.position(stop - 1)
+        byte = first // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[byte : last // 8 + 1], bitorder="little")) + byte * 8
+        ones = ones[(ones >= first) & (ones <= last)]
+        return ((ones - np.arange(start, stop)) << self.low_bits) + self._lows(start, stop)
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.count] if self.count else np.zeros(0)
         return ((ones.astype(np.int64) - np.arange(self.count)) << self.low_bits) + self._lows(0, self.count)

@@ -30,6 +30,7 @@ from .text import slices, strings
 
 MAGIC = b"TOKEFIDS"
 FILE_IDS = 64 << 20
+FILE_DOCS = 1 << 20
 MEMO = 800_000
 _TAIL = struct.Struct("<qqqqqq8s")
 FILES = "part int, number int, file string, n_docs long, n_ids long"
@@ -41,10 +42,11 @@ _RUNS = re.compile(r"\s \s|\s \Z")
 
 
 class SpacedEncoder:
-    """The library's encoding, with the encoding of each space-separated word kept.
+    """The library's encoding, with the encoding of each word kept.
 
     Byte-level pieces start at a space that follows a word, so the ids of a
-    text are those of its words, each with the space before it.
+    text are those of its words, each with the space before it. A line end
+    between two words is a piece of its own, and the word after it has no space.
     """
 
     def __init__(self, path: str):
@@ -55,27 +57,41 @@ class SpacedEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.line_end = self._ids("\n")
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
+        """Encode the words that are not known yet, ``before`` in front of each."""
+        fresh = [w for w in words if w not in known]
+        for start in range(0, len(fresh), 10_000):
+            part = fresh[start : start + 10_000]
+            done = self.tokenizer.encode_batch([before + w for w in part], add_special_tokens=False)
+            known.update((w, self._pack(e.ids)) for w, e in zip(part, done))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.known) > MEMO:
-            self.known.clear()
+        for known in (self.known, self.bare):
+            if len(known) > MEMO:
+                known.clear()
         split = [None if _RUNS.search(text) else text.split(" ") for text in texts]
-        fresh = [w for w in {w for words in split if words for w in words[1:]} if w not in self.known]
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            done = self.tokenizer.encode_batch([" " + w for w in part], add_special_tokens=False)
-            self.known.update((w, self._pack(e.ids)) for w, e in zip(part, done))
+        fresh = {w for words in split if words for w in words[1:]}.difference(self.known)
+        # Words with line ends inside are taken apart, as most of them are met once.
+        lines = {w: w.split("\n") for w in fresh if "\n" in w}
+        lines = {w: p for w, p in lines.items() if all(x and not x[0].isspace() and not x[-1].isspace() for x in p)}
+        bare = {w for words in split if words for w in words[:1]}.union(*(p[1:] for p in lines.values()))
+        self._learn((fresh - lines.keys()).union(p[0] for p in lines.values()), self.known, " ")
+        self._learn(bare, self.bare, "")
+        for word, parts in lines.items():
+            self.known[word] = self.line_end.join([self.known[parts[0]], *map(self.bare.__getitem__, parts[1:])])
         out, get = [], self.known.__getitem__
         for text, words in zip(texts, split):
-            if words is None:
-                out.append(self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                first = self._pack(self.tokenizer.encode(words[0], add_special_tokens=False).ids)
-                out.append(first + b"".join(map(get, words[1:])))
+            out.append(self._ids(text) if words is None else self.bare[words[0]] + b"".join(map(get, words[1:])))
         return out
 
 
@@ -152,7 +168,7 @@ def write_token_files(
                 out.write(packed + end)
                 ends.append((ends[-1] if ends else 0) + len(packed) // encode.width + 1)
                 ids.append(doc_id)
-                if ends[-1] >= file_ids:
+                if ends[-1] >= file_ids or len(ids) >= FILE_DOCS:
                     yield close()
                     out, number = None, number + 1
         if out is not None:
@@ -177,7 +193,8 @@ TOKEN_ARROW = pa.schema(
 def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
     """The documents of the files: doc_id, start over all files, number and checksum of ids.
 
-    The files' starts are a running sum over one row for each file.
+    The files' starts are a running sum over one row for each file, and the files
+    are read by as many tasks as there are files.
     """
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -188,17 +205,19 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                 store, path = fs.FileSystem.from_uri(name)
                 with store.open_input_file(path) as source:
                     held = TokenFile(source)
-                    bounds = held.bounds.values()
                     for first in range(0, held.n_docs, 500):
                         last = min(held.n_docs, first + 500)
+                        # Boundaries of these documents alone, by select.
+                        bounds = held.bounds.range(first, last + 1)
                         block = held.tokens(first, last).astype("<u4")
                         rows = []
                         for i in range(first, last):
-                            ids = block[bounds[i] - bounds[first] : bounds[i + 1] - bounds[first]]
+                            at, end = bounds[i - first], bounds[i - first + 1]
+                            ids = block[at - bounds[0] : end - bounds[0]]
                             rows.append(
                                 {
                                     "doc_id": held.doc_id(i),
-                                    "start": base + int(bounds[i]),
+                                    "start": base + int(at),
                                     "n_tokens": len(ids),
                                     "ids_crc32": zlib.crc32(ids.tobytes()),
                                     "ids": ids.astype(np.int32) if with_ids else None,
@@ -206,7 +225,9 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                             )
                         yield pa.RecordBatch.from_pylist(rows, TOKEN_ARROW)
 
-    return placed.select("file", "start").repartition("file").mapInArrow(read, TOKENS)
+    # A number of its own, so that Spark does not merge the few names into one task.
+    tasks = max(1, min(2 * files.count(), 10_000))
+    return placed.select("file", "start").repartition(tasks, "file").mapInArrow(read, TOKENS)
 
 
 def token_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, with_ids: bool = False) -> DataFrame:

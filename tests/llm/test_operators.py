@@ -627,3 +627,32 @@ def test_empty_tables_give_empty_results(spark):
         neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ]
     assert [df.count() for df in empty] == [0] * 10
+
+
+def test_ranges_of_boundaries_equal_the_values():
+    rng = np.random.default_rng(6)
+    for count, largest in ((1, 0), (5, 9), (3000, 50_000), (2000, 3)):
+        values = np.sort(rng.integers(0, largest + 1, count))
+        coded = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
+        for _ in range(30):
+            a, b = sorted(rng.integers(0, count + 1, 2).tolist())
+            assert np.array_equal(coded.range(a, b), values[a:b])
+        assert [coded.select(i) for i in range(min(count, 50))] == values[:50].tolist()
+
+
+def test_words_at_line_ends_are_encoded_as_by_the_library():
+    encode = token_files.SpacedEncoder(BYTE_BPE)
+    texts = ["one two\nthree four", "a\n\nb c\n d", "x\r\ny z\n\tw", " \nlead", "end\n", "é\nü ß\nß's\n's", "a\n b\n\n\nc d\ne\nf", ""]
+    texts += ["\n".join(texts), " ".join(texts), "it's\nwe'll go\n1\n2 3\n-4"]
+    library = Tokenizer.from_file(BYTE_BPE)
+    for _ in range(2):  # with an empty memo, then a full one
+        for packed, text in zip(encode.encode(texts), texts):
+            assert np.frombuffer(packed, encode.type).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_files_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_DOCS", 20)
+    docs = frame(spark, [f"text {i}" for i in range(200)])
+    rows = token_files.token_round_trip(docs, BYTE_BPE)
+    assert rows.select(F.spark_partition_id()).distinct().count() > 3
+    assert [r["doc_id"] for r in rows.orderBy("start").collect()] == list(range(200))
