@@ -59,6 +59,7 @@ class SpacedEncoder:
         self.known: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
+        self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -68,11 +69,15 @@ class SpacedEncoder:
 
     def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
         """Encode the words that are not known yet, ``before`` in front of each."""
-        fresh = [w for w in words if w not in known]
+        new = [w for w in words if w not in known]
+        # Letters and the mark after them are separate pieces: the letters are encoded once for all marks.
+        marked = {w for w in new if w[-1:] in self.marks and w[:-1].isalpha()}
+        fresh = list({w for w in new if w not in marked}.union(x for w in marked if (x := w[:-1]) not in known))
         for start in range(0, len(fresh), 10_000):
             part = fresh[start : start + 10_000]
             done = self.tokenizer.encode_batch([before + w for w in part], add_special_tokens=False)
             known.update((w, self._pack(e.ids)) for w, e in zip(part, done))
+        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""

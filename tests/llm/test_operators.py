@@ -644,6 +644,7 @@ def test_words_at_line_ends_are_encoded_as_by_the_library():
     encode = token_files.SpacedEncoder(BYTE_BPE)
     texts = ["one two\nthree four", "a\n\nb c\n d", "x\r\ny z\n\tw", " \nlead", "end\n", "é\nü ß\nß's\n's", "a\n b\n\n\nc d\ne\nf", ""]
     texts += ["\n".join(texts), " ".join(texts), "it's\nwe'll go\n1\n2 3\n-4"]
+    texts += ["one. one, one! two.\ntwo; . .. a.b. 3. é: it's. ế, x\n.", "One.", "é!", ". one", "two.\n\nthree? ²."]
     library = Tokenizer.from_file(BYTE_BPE)
     for _ in range(2):  # with an empty memo, then a full one
         for packed, text in zip(encode.encode(texts), texts):
