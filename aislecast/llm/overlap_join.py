@@ -12,7 +12,8 @@
    sets, which are held in blocks of bounded size, small components together. A list with more than
    ``COMPONENTS`` of them is left to step 4.
 4. Nodes of such frequent tokens are posted anew in an order that has these
-   tokens last, and treated as in step 3. The last round takes every list.
+   tokens last, and treated as in step 3. Those that still have frequent ones
+   after ``LEVELS`` rounds visit whole blocks of each other.
 
 The order of tokens is that of their hashes, so no frequencies have to be
 shuffled. Blocks and their visitors are dealt by numbers of bounded size, and
@@ -40,7 +41,7 @@ from .text import slices
 PERCENT = 85
 STARS = 1
 LEVELS = 3
-COMPONENTS = 48
+COMPONENTS = 12
 FILTER_BITS = 1 << 24
 BLOCK_TOKENS = 1_000_000
 VISITORS = 2_000
@@ -228,10 +229,12 @@ def _visit_links(lists: DataFrame, component: DataFrame, sets: DataFrame, percen
     larger = F.struct(F.col("other.c"), F.col("other.component")) > F.struct(F.col("own.c"), F.col("own.component"))
     fits = (F.col("most") * 100 >= F.col("other.least") * percent) & (F.col("other.most") * 100 >= F.col("least") * percent)
     enough = F.least(shared_least(F.col("least"), percent), shared_least(F.col("other.least"), percent))
-    often = met.where(larger & fits).groupBy("node", "own.component", F.col("other.component").alias("there")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(enough).alias("enough"), F.first("other.total").alias("total")
+    often = met.where(larger & fits).groupBy("node", F.col("other.component").alias("there")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(enough.cast("int")).alias("enough")
     )
-    visits = written(often.where("n >= enough").select("node", "component", "there", "total"), "visits")
+    found = often.where("n >= enough").select("node", "there")
+    totals = kept.select(F.col("component").alias("there"), "total")
+    visits = written(found.join(component.select("node", "component"), "node").join(totals, "there"), "visits")
     # Components of less than a block share blocks; a larger one has several of its own.
     goals = visits.select("there", "total").distinct()
     small = F.col("total") <= BLOCK_TOKENS
@@ -258,6 +261,25 @@ def _visit_links(lists: DataFrame, component: DataFrame, sets: DataFrame, percen
     return _visits(_dealt(visitors, members, sets), percent)
 
 
+def _pool_links(lists: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between nodes of lists that many components share, without a row for each pair of them.
+
+    The nodes are dealt over blocks; each visits the blocks that have a node of
+    one of its lists, itself or on the far side of its own block.
+    """
+    nodes = lists.select("node", "component", "most").distinct()
+    pools = 1 + (nodes.agg(F.sum("most")).first()[0] or 0) // BLOCK_TOKENS
+    pool = F.pmod(F.xxhash64("node"), F.lit(pools))
+    there = lists.groupBy("token").agg(F.collect_set(pool).alias("pools"))
+    visits = salted_join(lists.select("token", "node", "component"), there, ["token"], ["node"], salts=8).select(
+        "node", "component", pool.alias("own"), F.explode("pools").alias("pool")
+    )
+    block = F.concat_ws("/", F.lit("pool"), "pool").alias("block")
+    visitors = visits.where("pool >= own").select("node", "component", block).distinct()
+    members = nodes.select("node", "component", F.concat_ws("/", F.lit("pool"), pool).alias("block")).distinct()
+    return _visits(_dealt(visitors, members, sets), percent)
+
+
 def _posted_anew(nodes: DataFrame, sets: DataFrame, frequent: DataFrame, percent: int) -> DataFrame:
     """``(token, node)``: prefixes of the nodes in the order that has the frequent tokens last."""
 
@@ -330,10 +352,13 @@ def overlap_join(docs: DataFrame, width: int = 4, percent: int = PERCENT, most:
             pending = written(_open(pending, component), "open-lists")
         several = pending.select("token", "component").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c"))
         heavy = written(several.where(F.col("c") > most).select("token"), "frequent-tokens")
-        final = level == levels - 1 or heavy.isEmpty()
-        light = pending if final else pending.join(heavy, "token", "left_anti")
+        light = pending.join(heavy, "token", "left_anti")
         component = _joined(component, _visit_links(light, component, sets, percent))
-        if final:
+        if heavy.isEmpty():
+            break
+        if level == levels - 1:
+            some = pending.join(heavy, "token", "left_semi").drop("component").join(component.select("node", "component"), "node")
+            component = _joined(component, _pool_links(some, component, sets, percent))
             break
         again = written(pending.join(heavy, "token", "left_semi").select("node").distinct(), "nodes-again")
         frequent = heavy if frequent is None else frequent.unionByName(heavy)
