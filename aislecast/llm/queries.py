@@ -52,7 +52,7 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op4_warc_segments",
     """
     WITH p AS (
-        SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages WHERE page_id IS NOT NULL
+        SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
     ), d AS (
         SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes,
                sha256(payload) AS payload_digest FROM p
@@ -60,9 +60,9 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
     )
     SELECT page_id, payload_bytes, payload_digest,
-           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-    FROM f
+           CASE WHEN payload_bytes >= 100 AND later THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND later THEN first_id END AS refers_to
+    FROM (SELECT *, first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id AS later FROM f)
     """,
 )
 def op4_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,8 @@ CHUNK_BYTES = 4_096
 FILE_BYTES = 64 << 20
 MIN_DUPLICATE_BYTES = 100
 # Page, file and place in the file: a page's number alone may be repeated.
-RECORD_ID = "<urn:x-page:%d:%s>"
+RECORD_ID = "<urn:x-page:%s:%s>"
+NO_ID = "none"
 FILES = "file string, n_records long"
 RECORDS = "origin string, segment int, total long, type string, refers string, digest string, url string, block binary"
 PAGES = (
@@ -52,7 +53,8 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_DUPLICATE_BYTES) -> Data
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     big = rows.where(F.length("payload") >= min_bytes)
     first = big.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return salted_join(rows, first.drop("n"), ["digest"], ["page_id"], "left")
+    known = first.where("first_id is not null").drop("n")
+    return salted_join(rows, known, ["digest"], ["page_id", "url"], "left")
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -90,10 +92,11 @@ def _record(kind: str, record_id: str, block: bytes, **fields: object) -> bytes:
 
 
 def _records(
-    page_id: int, url: str, payload: bytes, digest: str, first_id: int | None, segment: int, place: str
+    page_id: int | None, url: str, payload: bytes, digest: str, first_id: int | None, segment: int, place: str
 ) -> Iterator[bytes]:
-    name = RECORD_ID % (page_id, place)
-    common = {"Page_ID": page_id, "Target_URI": " ".join((url or "").split()), "Payload_Digest": f"sha256:{digest}"}
+    page = NO_ID if page_id is None else page_id
+    name = RECORD_ID % (page, place)
+    common = {"Page_ID": page, "Target_URI": " ".join((url or "").split()), "Payload_Digest": f"sha256:{digest}"}
     if first_id is not None and first_id != page_id:
         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         yield _record("revisit", name, head, Refers_To_Page_ID=first_id, **common)
@@ -107,7 +110,7 @@ def _records(
     yield _record("response", name, parts[0], Segment_Number=1, **common)
     for number, part in enumerate(parts[1:], 2):
         last = {"Segment_Total_Length": len(block)} if number == len(parts) else {}
-        own = RECORD_ID % (page_id, f"{place}:{number}")
+        own = RECORD_ID % (page, f"{place}:{number}")
         yield _record("continuation", own, part, Segment_Origin_ID=name, Segment_Number=number, **last, **common)
 
 
@@ -138,8 +141,7 @@ def write_archives(planned: DataFrame, folder: str, segment: int = SEGMENT_BYTES
             out.close()
             yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "n_records": [count]})
 
-    named = planned.where("page_id is not null").select("page_id", "url", "payload", "digest", "first_id")
-    return named.mapInArrow(write, FILES)
+    return planned.select("page_id", "url", "payload", "digest", "first_id").mapInArrow(write, FILES)
 
 
 def _members(stream, size: int = 1 << 20) -> Iterator[bytes]:
@@ -255,8 +257,9 @@ PAGE_ARROW = pa.schema(
 )
 
 
-def _page_number(record_id: str) -> int:
-    return int(record_id.strip("<>").split(":")[2])
+def _page_number(record_id: str) -> int | None:
+    page = record_id.strip("<>").split(":")[2]
+    return None if page == NO_ID else int(page)
 
 
 def decode_pages(whole: DataFrame) -> DataFrame:
@@ -295,7 +298,9 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFr
     smallest page_id is a ``response``, the others are ``revisit`` records;
     rows that repeat the smallest page_id are responses too, each a record with
     an id of its own. A revisit names the page, not one of its records. Null html is an
-    empty payload. A row without page_id has no record id and is not written.
+    empty payload. A row without page_id is a record too and comes back with a null
+    page_id: it revisits the page with the smallest id of its payload, or is a
+    response if no row of that payload has an id.
     The archives are deleted when the application ends.
     """
     spark: SparkSession = pages.sparkSession
