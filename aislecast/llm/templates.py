@@ -64,7 +64,8 @@ _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"},
 }
-_TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_TEXT_BLOCKS = {"p", *_HEADINGS}
 _SCOPE = {"ul", "ol", "dl", "table", "body", "article", "section", "div", "main", "select"}
 
 _TAG = re.compile(
@@ -372,6 +373,25 @@ def template_of(tokens: list[dict], share: float, slot_share: float) -> tuple[st
     return None, fixed
 
 
+def with_prose_around(container: str, blocks: list[tuple[str, str]], seen: Counter[str]) -> str:
+    """The container, or a single one around it that adds nothing but headings and paragraphs of its own.
+
+    A title, lead or closing paragraph beside a content element belongs to the
+    article. An article element is left for a ``main`` alone, and no element for
+    ``body``: what stands there belongs to the site.
+    """
+    while True:
+        outer, _, _ = container.rpartition("/")
+        tag, own = _last_tag(outer), _last_tag(container)
+        if tag not in CONTAINERS or tag == "body" or seen[outer] != 1 or own == "main" or own == "article" and tag != "main":
+            return container
+        added = [p for p, _ in blocks if p.startswith(outer + "/") and not (p + "/").startswith(container + "/")]
+        apart = any(p == outer for p, _ in blocks)
+        if apart or not added or any(p.rpartition("/")[0] != outer or _last_tag(p) not in _TEXT_BLOCKS for p in added):
+            return container
+        container = outer
+
+
 def main_text(page: str, container: str | None, fixed: set[tuple[str, str]] | frozenset = frozenset()) -> str:
     """The blocks in the container without the template's own texts, joined by line ends.
 
@@ -380,8 +400,10 @@ def main_text(page: str, container: str | None, fixed: set[tuple[str, str]] | fr
     blocks, seen = blocks_of(page)
     if container is None or container not in seen:
         container = own_container(blocks, seen)
-    own = [(path, text) not in fixed for path, text in ((p, text_mark(t)) for p, t in blocks)] if fixed else None
+    # Headings stay: articles of one host share them ("Introduction") without their being the site's.
+    own = [_last_tag(p) in _HEADINGS or (p, text_mark(t)) not in fixed for p, t in blocks] if fixed else None
     if container:
+        container = with_prose_around(container, blocks, seen)
         inside = [i for i, (path, _) in enumerate(blocks) if path == container or path.startswith(container + "/")]
         if inside:
             kept = [i for i in inside if own is None or own[i]]
@@ -526,7 +548,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     markup and reader comments are left out. Character references are decoded,
     white space inside a block becomes one space, and the blocks are joined by
     one line end in the order of the page. Nothing else is dropped but texts that
-    the host's template repeats.
+    the host's template repeats; headings inside the article stay, however many
+    pages have them. A title, lead or closing paragraph beside the element that
+    holds most of the text belongs to the article.
 
     A page whose layout is not its host's, or whose host is unknown or has no
     common template, is cut by its own elements alone. Null or empty html, or a
