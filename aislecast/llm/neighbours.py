@@ -82,14 +82,20 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
-    """One row for each distinct vector: its smallest id ``vid`` and its ``copies`` smallest ids.
+    """One row for each distinct vector: a number ``vid`` of its own and its ``copies`` smallest ids.
 
-    No more copies of a vector can be among that many nearest ones. The rank
-    limit works before the shuffle, so many copies cost no task anything.
+    No more copies of a vector can be among that many nearest ones. Equal rows
+    count once. The rank limit works before the shuffle, so many copies cost no
+    task anything. The numbers rise with the smallest id, so they settle ties as
+    ids do; an id that several vectors share gives each of them another number.
+    Write the result before it is used twice: numbers depend on the partitions.
     """
     order = Window.partitionBy("vec").orderBy("vec_id")
-    few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= copies)
-    return few.groupBy("vec").agg(F.min("vec_id").alias("vid"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    few = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= copies)
+    groups = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    first = F.col("ids")[0]
+    ordered = groups.repartitionByRange(first, "vec").sortWithinPartitions(first, "vec")
+    return ordered.withColumn("vid", F.monotonically_increasing_id())
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "vec") -> np.ndarray:
@@ -149,8 +155,10 @@ def nearest(
 
     Rows with a null id, and vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor those of another length than most.
-    A query is not its own neighbour; rows that repeat its id are. Ties go to
-    the smaller id. With fewer candidates than ``k``, all are returned; an
+    Equal rows count once. No row with the query's own id is its neighbour, and
+    an id with several vectors is searched once for each of them, so it has as
+    many lists; lists are made longer inside by the most vectors an id has. Ties
+    go to the smaller id. With fewer candidates than ``k``, all are returned; an
     empty table gives an empty result. Only the two named columns are read.
     """
     spark = vectors.sparkSession
@@ -159,9 +167,11 @@ def nearest(
     if not sizes:
         return spark.createDataFrame([], RESULT)
     rows = rows.where(F.size("vec") == sizes[0]["d"])
-    points = written(distinct_vectors(rows, k + 1), "points")
-    asked = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "vec")
-    # The number of a query's vector is its smallest id among all rows.
+    # Rows of a query's own id leave its list, so the list needs as many spare places.
+    per_id = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    own = 1 if per_id == 1 else rows.distinct().groupBy("vec_id").count().agg(F.max("count")).first()[0]
+    points = written(distinct_vectors(rows, k + own), "points")
+    asked = rows.where(is_query).distinct().select(F.col("vec_id").alias("query_id"), "vec")
     queries = written(asked.join(points.select("vid", "vec"), "vec").select("query_id", "vid"), "queries")
     searched = points.join(queries.select("vid").distinct().withColumn("asked", F.lit(True)), "vid", "left").select(
         "vid", "vec", F.coalesce("asked", F.lit(False)).alias("asked")
@@ -196,14 +206,14 @@ def nearest(
             if not batch.num_rows:
                 continue
             x, ids = _matrix(batch), batch.column("vid").to_numpy()
-            own = plan.keys(x, False)
+            keys = plan.keys(x, False)
             is_asked = batch.column("asked").to_numpy(zero_copy_only=False).astype(bool)
             q, q_ids = x[is_asked], ids[is_asked]
-            q_keys = plan.keys(q, True) if len(q) else np.zeros((len(own), 0), np.int64)
+            q_keys = plan.keys(q, True) if len(q) else np.zeros((len(keys), 0), np.int64)
             part = (ids * 2654435761 % (1 << 31)) % blocks
             for curve, cut in enumerate(borders):
                 base = curve * used
-                at = np.searchsorted(cut, own[curve])
+                at = np.searchsorted(cut, keys[curve])
                 yield _placed((base + at) * blocks + part, ids, x, False)
                 here = np.searchsorted(cut, q_keys[curve])
                 for move in range(-side, side + 1):
@@ -213,7 +223,7 @@ def nearest(
                             group = (base + here + move)[inside] * blocks + b
                             yield _placed(group, q_ids[inside], q[inside], True)
 
-    keep = k + 1 + SPARE
+    keep = k + own + SPARE
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asked").to_numpy().astype(bool)
@@ -257,7 +267,7 @@ def nearest(
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     lists = (
         scored.withColumn("n", F.row_number().over(order))
-        .where(F.col("n") <= k + 1)
+        .where(F.col("n") <= k + own)
         .groupBy("qid")
         .agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))
     )

@@ -242,12 +242,12 @@ def test_archives_hold_duplicates_segments_and_empty_pages(spark):
         (8, "u", "y" * 100, "c"),
         (7, "u", "y" * 100, "c"),
         (7, "u", "y" * 100, "c"),
-        (None, "u", "lost", "c"),
+        (None, "u", "kept", "c"),
     ]
     docs = spark.createDataFrame(pages, "page_id long, url string, html string, digest string")
     rows = {r["page_id"]: r for r in warc.archive_round_trip(docs, segment=1000).collect()}
-    assert set(rows) == {1, 2, 3, 4, 5, 6, 7, 8}
-    for page_id, _, text, _ in pages[:-1]:
+    assert set(rows) == {None, 1, 2, 3, 4, 5, 6, 7, 8}
+    for page_id, _, text, _ in pages:
         data = (text or "").encode()
         assert rows[page_id]["payload_digest"] == hashlib.sha256(data).hexdigest()
         assert rows[page_id]["payload_bytes"] == len(data)
@@ -265,6 +265,16 @@ def test_segmented_pages_with_one_id_are_records_of_their_own(spark):
     assert sorted(len(r["payload"]) for r in found if r["payload"]) == [160_000] * 3 + [160_001]
 
 
+def test_rows_without_page_id_are_records_too(spark):
+    long = "äö" * 40_000
+    rows = [(None, "u", long), (None, "v", long), (5, "u", long), (None, "u", "z" * 200), (None, "w", "z" * 200), (None, None, None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = [(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.archive_round_trip(docs).collect()]
+    want = [(None, "revisit", 5, 160_000)] * 2 + [(5, "response", None, 160_000), (None, "response", None, 0)]
+    want += [(None, "response", None, 200)] * 2
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
 def test_reassembly_refuses_missing_segments(spark):
     rows = [("o", n, None if n < 3 else 9, "response" if n == 1 else "continuation", None, "", "u", b"abc") for n in (3, 1, 2)]
     whole = warc.reassemble(spark.createDataFrame(rows, warc.RECORDS)).collect()
@@ -387,6 +397,41 @@ def test_classes_decide_on_slots_and_fixed_texts(spark):
         assert found[i] == f"{words(i, 20)}\n{heading}\n{words(-i, 50)}"
 
 
+def test_headings_stay_however_many_pages_repeat_them(spark):
+    def page(i):
+        words = " ".join(f"w{i}x{k}" for k in range(40))
+        return f"<html><body><article><h2>Introduction</h2><p>{words}</p><h2>References</h2><p>{words} end</p></article></body></html>"
+
+    rows = [(i, f"http://h{n}.example/{i}", page(i)) for n in (1, 3, 4, 8) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for row in templates.extract_main_text(pages).collect():
+        assert [line for line in row["text"].split("\n") if " " not in line] == ["Introduction", "References"], row["url"]
+
+
+def test_title_and_lead_beside_the_content_belong_to_the_article(spark):
+    def page(i, shape):
+        words = " ".join(f"w{i}x{k}" for k in range(60))
+        body = shape.replace("BODY", words).replace("<p>intro", f"<p>intro{i}").replace("<p>outro", f"<p>outro{i}").replace("<p>lead", f"<p>lead{i}")
+        return f"<html><body><div class='top'>Daily Site</div>{body}<p>Owned by us</p></body></html>"
+
+    shapes = {
+        "<div class=post><h1>Title</h1><p>intro</p><div class=content><p>BODY</p></div><p>outro</p></div>": ["Title", "intro", "outro"],
+        "<main><h1>Title</h1><p>lead</p><article><p>BODY</p></article></main>": ["Title", "lead"],
+        "<div class=page><h1>Site</h1><article><h1>Title</h1><p>BODY</p></article></div>": ["Title"],
+        "<div class=page><div class=list>Links</div><p>near</p><div class=content><p>BODY</p></div></div>": [],
+    }
+    for shape, around in shapes.items():
+        text = templates.main_text(page("", shape), None).split("\n")
+        assert [line for line in text if " " not in line] == around, shape
+    for n in (1, 2, 5):
+        rows = [(i, f"http://h{j}.example/{i}", page(i, shape)) for j, shape in enumerate([*shapes][:3]) for i in range(n)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for row in templates.extract_main_text(pages).collect():
+            around = [*shapes.values()][int(row["url"][8])]
+            short = [line.rstrip("0123456789") for line in row["text"].split("\n") if " " not in line]
+            assert short == around, (n, row["url"])
+
+
 def test_tokens_without_one_order_leave_their_class(spark):
     def page(i):
         parts = [f"<div class='{c}'>{c} text</div>" for c in ("a", "b")]
@@ -599,6 +644,27 @@ def test_nearest_leaves_out_bad_vectors_and_settles_ties(spark):
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
 
 
+def test_nearest_of_ids_with_several_vectors(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.5, 1.0]), (3, [0.2, 0.9]), (4, [0.9, 0.1]), (4, [0.9, 0.1]), (5, [0.0, 2.0])]
+    rows += [(40, [float(i), 1.0]) for i in range(60)] + [(i, [0.1 * i, -1.0]) for i in range(61, 79)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df).orderBy("query_id", "rank", "score").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    distinct = sorted({(i, tuple(v)) for i, v in rows})
+    want = {}
+    for q, x in distinct:
+        if q % 20 == 0:
+            scored = sorted((-(x[0] * y[0] + x[1] * y[1]), i) for i, y in distinct if i != q)
+            want.setdefault(q, []).extend((n, i, -s) for n, (s, i) in enumerate(scored[:20], 1))
+    assert got.keys() == want.keys()
+    for q in want:
+        assert len(got[q]) == len(want[q])
+        for (n, _, s), (m, _, t) in zip(sorted(got[q], key=lambda r: (r[0], r[2])), sorted(want[q], key=lambda r: (r[0], r[2]))):
+            assert n == m and np.isclose(s, t)
+    assert 20 not in {i for _, i, _ in got[20]} and 40 not in {i for _, i, _ in got[40]}
+
+
 def test_recall_with_many_ranges(spark):
     vectors = table(spark, "/root/testdata/sf0.1", "embeddings")
     rows = [(r[0], list(r[1])) for r in vectors.select("vec_id", "embedding").collect()]
