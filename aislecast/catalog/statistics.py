@@ -176,6 +176,42 @@ def kernel_density(f: Frames) -> DataFrame:
     return rounded(curve.withColumn("density", F.col("density") * 1e6), 4)
 
 
+def _binned_sql(dimension: str) -> str:
+    return f"""
+SELECT '{dimension}' AS dimension, level, CAST(p AS INTEGER) AS point, round(lo - 3 * h + p * step, 4) AS at,
+  round(1e6 * sum(w * exp(-0.5 * (((lo - 3 * h + p * step) - (lo - 3 * h + node * width)) / h) ** 2))
+    / (n * h * sqrt(2 * pi())), 4) AS density
+FROM (
+  SELECT level, lo, h, step, n, width, unnest([floor(spot), floor(spot) + 1]) AS node,
+    unnest([1 - (spot - floor(spot)), spot - floor(spot)]) AS w
+  FROM (
+    SELECT *, (x - (lo - 3 * h)) / width AS spot FROM (
+      SELECT *, step / ceil(step / (h * sqrt(8 * 1e-4))) AS width FROM (
+        SELECT *, (hi - lo + 6 * h) / 199 AS step FROM (
+          SELECT {dimension} AS level, CAST(count(sales) AS DOUBLE) AS n, min(sales) AS lo, max(sales) AS hi,
+            stddev_samp(CAST(sales AS DOUBLE)) * pow(CAST(count(sales) AS DOUBLE), -0.2) AS h
+          FROM train GROUP BY 1) WHERE h > 0)
+    ) JOIN (SELECT {dimension} AS t, CAST(sales AS DOUBLE) AS x FROM train) ON t = level))
+CROSS JOIN range(0, 200) r(p)
+GROUP BY level, p, lo, h, step, n
+"""
+
+
+DENSITY_DIMENSIONS = ["state_holiday", "assortment"]
+
+
+@query("kernel_density_binned", sql("train", " UNION ALL ".join(map(_binned_sql, DENSITY_DIMENSIONS))))
+def kernel_density_binned(f: Frames) -> DataFrame:
+    """Density of sales by holiday and assortment, in millionths, from linearly binned rows."""
+    curves = [
+        shapes.binned_density(f.open_days, d, "sales").select(
+            F.lit(d).alias("dimension"), F.col(d).alias("level"), "point", "at", (F.col("density") * 1e6).alias("density")
+        )
+        for d in DENSITY_DIMENSIONS
+    ]
+    return rounded(curves[0].unionByName(curves[1]), 4)
+
+
 def _box_sql(dimension: str, level: str, value: str, source: str) -> str:
     return f"""
 SELECT '{dimension}' AS dimension, level, q1, median, q3,

@@ -65,7 +65,47 @@ def kernel_density(
     ``points`` sums for each group, combined on the map side.
     """
     counts = value_counts(df, [group], value)
-    x, n = F.col("x"), F.col("n")
+    return _density_curve(counts, _density_grid(df, group, value, points, cut), group, points)
+
+
+def binned_density(
+    df: DataFrame, group: str, value: str, points: int = 200, cut: float = 3.0, tolerance: float = 1e-4
+) -> DataFrame:
+    """``kernel_density`` from linearly binned rows: for columns with about as many values as rows.
+
+    Each row is shared by the two nodes around it on a grid so fine that no
+    density is off by more than ``tolerance`` times the height of one kernel,
+    ``1 / (h * sqrt(2 * pi))``: linear interpolation of the kernel between nodes
+    ``d`` apart errs by at most ``(d / h)**2 / 8`` of that. Rows are added up where
+    they are read, so a task shuffles two sums for each node it meets, and the
+    curve is summed over nodes in place of values. Their number grows with the
+    range in bandwidths, about the fifth root of the rows. Null and constant
+    groups are left out as in ``kernel_density``.
+    """
+    finest = math.sqrt(8 * tolerance)
+    grid = _density_grid(df, group, value, points, cut).where(F.col("h") > 0)
+    ratio = F.ceil(F.col("step") / (F.col("h") * finest)).cast("double")
+    nodes = grid.select(group, "first", (F.col("step") / ratio).alias("width"))
+    rows = df.select(group, F.col(value).cast("double").alias("x")).where("x is not null")
+    spot = (F.col("x") - F.col("first")) / F.col("width")
+    shares = (
+        salted_join(rows, nodes, [group], ["x"])
+        .select(group, "first", "width", F.floor(spot).alias("node"), (spot - F.floor(spot)).alias("right"))
+        .groupBy(group, "first", "width", "node")
+        .agg(F.sum(1 - F.col("right")).alias("left"), F.sum("right").alias("right"))
+    )
+    sides = F.array(
+        F.struct(F.col("node").alias("node"), F.col("left").alias("n")),
+        F.struct((F.col("node") + 1).alias("node"), F.col("right").alias("n")),
+    )
+    counts = shares.select(group, "first", "width", F.inline(sides)).select(
+        group, (F.col("first") + F.col("node") * F.col("width")).alias("x"), "n"
+    )
+    return _density_curve(counts, grid, group, points)
+
+
+def _density_grid(df: DataFrame, group: str, value: str, points: int, cut: float) -> DataFrame:
+    """``(group, total, h, first, step)``: number of values, bandwidth and evenly spaced points of each group."""
     # Spread from the raw rows: stable, unlike sums of squares of the counts.
     spread = df.groupBy(group).agg(
         F.count(value).cast("double").alias("total"),
@@ -73,13 +113,18 @@ def kernel_density(
         F.min(F.col(value).cast("double")).alias("lo"),
         F.max(F.col(value).cast("double")).alias("hi"),
     )
-    grid = spread.withColumn("h", F.col("sd") * F.pow("total", F.lit(-0.2))).select(
+    return spread.withColumn("h", F.col("sd") * F.pow("total", F.lit(-0.2))).select(
         group,
         "total",
         "h",
         (F.col("lo") - cut * F.col("h")).alias("first"),
         ((F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (points - 1)).alias("step"),
     )
+
+
+def _density_curve(counts: DataFrame, grid: DataFrame, group: str, points: int) -> DataFrame:
+    """Kernels around the values ``x``, ``n`` times each, summed at the points of the grid."""
+    x, n = F.col("x"), F.col("n")
     placed = salted_join(counts, grid.where(F.col("h") > 0), [group], ["x"]).select(
         group,
         "first",

@@ -153,6 +153,22 @@ def test_histogram_closes_the_last_bin(spark):
     assert found["flat", 0] == 5 and len(found) == 10
 
 
+def test_binned_density_is_as_near_as_stated(spark):
+    rng = np.random.default_rng(4)
+    data = [("a", float(v)) for v in rng.normal(5, 2, 3000)] + [("b", float(v)) for v in rng.lognormal(0, 2, 2000)]
+    data += [("few", 1.0), ("few", 4.0), ("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None), (None, 1.0), (None, 9.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    exact = {(r["g"], r["point"]): r for r in shapes.kernel_density(df, "g", "v").collect()}
+    for tolerance in (1e-2, 1e-4):
+        binned = {(r["g"], r["point"]): r for r in shapes.binned_density(df, "g", "v", tolerance=tolerance).collect()}
+        assert binned.keys() == exact.keys() and {g for g, _ in binned} == {"a", "b", "few"}
+        for g in ("a", "b", "few"):
+            values = np.array([v for group, v in data if group == g])
+            kernel = 1 / (values.std(ddof=1) * len(values) ** -0.2 * np.sqrt(2 * np.pi))
+            off = max(abs(binned[g, p]["density"] - exact[g, p]["density"]) for p in range(200))
+            assert off <= tolerance * kernel and all(np.isclose(binned[g, p]["at"], exact[g, p]["at"]) for p in range(200))
+
+
 def test_kernel_density_integrates_to_one(spark):
     rng = np.random.default_rng(4)
     data = [("a", float(v)) for v in rng.normal(size=400)] + [("b", float(v)) for v in rng.normal(5, 2, size=100)]
