@@ -466,3 +466,32 @@ def test_parameter_value_from_a_table(spark):
         "feature string, method string, name string, value double",
     )
     assert Parameters.from_table(table) == Parameters({"x": (1.0, 2.0)}, {"k": ["a", "b"]}, {})
+
+
+def test_features_are_not_repeated_in_the_test_for_complete_rows(spark):
+    """Pushed below the features that test held the expressions of all of them: a method the JVM does not compile."""
+    table = spark.createDataFrame([(1, "a"), (2, None), (None, "c")], "x int, name string")
+    made = table.selectExpr("sin(x) AS store", "upper(name) AS promo", "DATE'2015-01-01' AS date", "log1p(x) AS sales")
+    kept = models.feature_rows(made, ["store", "promo"])
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    tests = [part for part in plan.splitlines() if "Filter" in part]
+    assert tests and not any("sin" in t.lower() or "upper" in t for t in tests)
+    assert kept.columns == ["store", "promo", "date", "sales"] and [r["promo"] for r in kept.collect()] == ["A"]
+
+
+def test_prepared_rows_group_the_lines_once(spark, tmp_path):
+    """Parameters and features read the written sales rows, not the line items again."""
+    from aislecast.catalog.frames import Frames
+
+    lines = spark.range(400).selectExpr(
+        "id AS l_orderkey", "id % 5 + 1 AS l_suppkey", "CAST(id % 9 + 1 AS DOUBLE) AS l_quantity",
+        "CAST(id * 10 + 50 AS DOUBLE) AS l_extendedprice", "0.1D AS l_discount",
+        "CAST(date_add(DATE'1996-01-01', CAST(id % 200 AS INT)) AS TIMESTAMP) AS l_shipdate",
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    suppliers = spark.range(5).selectExpr("id + 1 AS s_suppkey", "CAST(id AS INT) AS s_nationkey", "CAST(id * 100 AS DOUBLE) AS s_acctbal")
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    frames = Frames(spark, str(tmp_path))
+    assert "lineitem" not in "".join(frames.prepared.inputFiles()) and frames.prepared.inputFiles()
+    assert frames.stored_training.columns == frames.training.columns
+    assert sorted(map(tuple, frames.stored_training.collect()), key=str) == sorted(map(tuple, frames.training.collect()), key=str)
