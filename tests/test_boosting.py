@@ -138,3 +138,53 @@ def test_a_constant_label_and_few_rows(spark):
     model = boosting.BlockForest(3, features=NAMES).fit(flat)
     assert list(predicted(model, flat).values()) == [pytest.approx(7.0)] * 5
     assert isinstance(model.trees[0], Tree) and models.forest().depth is None
+
+
+def test_blocks_are_few_and_whole_however_many_rows(spark, monkeypatch):
+    """Beyond the bound partitions hold several larger blocks, and every row is in one of them."""
+    importable_by_workers(spark)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(boosting, "PARTS", 4)
+    rows = spark.range(5_000).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS sales")
+    edges = [np.arange(6.0)]
+    blocks = boosting.to_blocks(rows, ["a"], "sales", edges, [0.0], 5_000)
+    assert blocks.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    held = blocks.collect()
+    labels = np.concatenate([np.frombuffer(b["target"]) for b in held])
+    codes = np.concatenate([np.frombuffer(b["codes"], np.uint8) for b in held])
+    assert np.array_equal(np.sort(labels), np.arange(5_000)) and np.array_equal(codes, labels % 7)
+    assert len({b["block"] for b in held}) == len(held)
+    assert max(len(b["codes"]) for b in held) == 5 * boosting.LARGE
+
+
+def test_histograms_hold_the_bins_of_each_feature_alone(spark, table):
+    width, edges = 4, [np.array([0.0]), np.arange(4.0), np.array([0.5]), np.array([])]
+    blocks = boosting.to_blocks(table, NAMES, "sales", edges, [0.0], 500)
+    growing = [boosting.Growing(0, np.array([1, 2, 3]), boosting.Draw(), Growth())]
+    sizes = boosting.bin_counts(edges)
+    rows = boosting._summed(blocks, sizes, growing, {(0, 0): -1}).collect()
+    sums = sum(np.frombuffer(r["sums"]).reshape(2, -1) for r in rows)
+    assert width == len(sizes) and sums.shape == (2, 5 + 2 + 1)
+    assert sums[1].tolist()[:5] == [table.where(f"b = {i}").count() for i in range(5)]
+    assert sums[1, 5:7].sum() == sums[1, 7] == 500
+
+
+def test_predictions_are_taken_once_a_round(table, monkeypatch):
+    """A round's jobs get no trees of earlier rounds; the blocks hold what these predict."""
+    seen, plain = [], boosting.grow_together
+
+    def watched(blocks, count, sizes, growing, finish_rows):
+        seen.append(np.concatenate([np.frombuffer(r["base"]) for r in blocks.select("base").collect()]))
+        return plain(blocks, count, sizes, growing, finish_rows)
+
+    monkeypatch.setattr(boosting, "grow_together", watched)
+    model = boosting.BlockBoosting(4, 0.3, 3, features=NAMES).fit(table)
+    for k, held in enumerate(seen):
+        part = boosting.TreeModel(NAMES, model.trees[:k], model.edges, 0.5, 0.3)
+        assert np.allclose(np.sort(held), sorted(r["p"] for r in part.transform(table, "p").collect()))
+
+
+def test_groups_grow_with_the_table_up_to_a_bound():
+    assert boosting.group_rows(500_000, boosting.FINISH_ROWS) == boosting.FINISH_ROWS
+    assert boosting.group_rows(3_200_000, boosting.FINISH_ROWS) == 50_000
+    assert boosting.group_rows(10**10, boosting.FINISH_ROWS) == boosting.MOST_FINISH_ROWS
