@@ -148,7 +148,7 @@ def test_blocks_are_few_and_whole_however_many_rows(spark, monkeypatch):
     rows = spark.range(5_000).selectExpr("CAST(id % 7 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS sales")
     edges = [np.arange(6.0)]
     blocks = boosting.to_blocks(rows, ["a"], "sales", edges, [0.0], 5_000)
-    assert blocks.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert blocks.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     held = blocks.collect()
     labels = np.concatenate([np.frombuffer(b["target"]) for b in held])
     codes = np.concatenate([np.frombuffer(b["codes"], np.uint8) for b in held])
@@ -188,3 +188,17 @@ def test_groups_grow_with_the_table_up_to_a_bound():
     assert boosting.group_rows(500_000, boosting.FINISH_ROWS) == boosting.FINISH_ROWS
     assert boosting.group_rows(3_200_000, boosting.FINISH_ROWS) == 50_000
     assert boosting.group_rows(10**10, boosting.FINISH_ROWS) == boosting.MOST_FINISH_ROWS
+
+
+def test_feature_selection_takes_the_bins_once(table, monkeypatch):
+    """Shuffled copies have the values of their features: no round asks for bins again."""
+    from aislecast.plans import selection
+
+    asked = []
+    monkeypatch.setattr(selection, "bin_edges", lambda rows, names, bins: asked.append(names) or boosting_edges(rows, names, bins))
+    monkeypatch.setattr(boosting, "bin_edges", lambda *_: pytest.fail("a round asked for bins"))
+    found = selection.boruta_select(table, list(NAMES), "sales", max_iter=2, depth=3)
+    assert asked == [list(NAMES)] and {r["feature"] for r in found.collect()} == set(NAMES)
+
+
+boosting_edges = boosting.bin_edges
