@@ -14,8 +14,11 @@ import struct
 import uuid
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, count, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ MAGIC = b"TOKEFIDS"
 FILE_IDS = 64 << 20
 FILE_DOCS = 1 << 20
 MEMO = 800_000
+# Words that the library encodes in one call.
+PART = 500
 _TAIL = struct.Struct("<qqqqqq8s")
 FILES = "part int, number int, file string, n_docs long, n_ids long"
 TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
@@ -41,6 +46,11 @@ TOKENS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>
 _RUNS = re.compile(r"\s \s|\s \Z")
 
 
+# Signs behind letters are a piece of their own, however many there are. The
+# apostrophe is not among them: it can take letters with it.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class SpacedEncoder:
     """The library's encoding, with the encoding of each word kept.
 
@@ -54,12 +64,21 @@ class SpacedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        size = self.tokenizer.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
         self.type, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}
+        # The byte-level name of a space; a token that has one starts with it.
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens
+        named = self.tokenizer.get_vocab(with_added_tokens=True).items()
+        self.starts = np.zeros(size, dtype=bool)
+        self.starts[[i for t, i in named if len(space) == 1 and t.startswith(space[0]) and i < size]] = True
+        # Words with a space before them have numbers in the order in which they are met.
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.packed: list[bytes] = []
+        # Words without one: the first of a text or a line.
         self.bare: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
         self.line_end = self._ids("\n")
-        self.marks = {mark: self._ids(mark) for mark in ".,;:!?"}
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -67,36 +86,88 @@ class SpacedEncoder:
     def _ids(self, text: str) -> bytes:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
-        """Encode the words that are not known yet, ``before`` in front of each."""
-        new = [w for w in words if w not in known]
-        # Letters and the mark after them are separate pieces: the letters are encoded once for all marks.
-        marked = {w for w in new if w[-1:] in self.marks and w[:-1].isalpha()}
-        fresh = list({w for w in new if w not in marked}.union(x for w in marked if (x := w[:-1]) not in known))
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            done = self.tokenizer.encode_batch([before + w for w in part], add_special_tokens=False)
-            known.update((w, self._pack(e.ids)) for w, e in zip(part, done))
-        known.update((w, known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words of letters alone, a space before each.
+
+        They are encoded as one text: an id whose token starts with a space is
+        the first of its word.
+        """
+        done = self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)
+        ids = np.array(done[0].ids)
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) != len(words) or first[0]:
+            return self._each([" " + w for w in words])
+        packed, at = ids.astype(self.type).tobytes(), (first * self.width).tolist()
+        return [packed[x:y] for x, y in zip(at, [*at[1:], len(packed)])]
+
+    def _learn_bare(self, words: set[str]) -> None:
+        new = list(words.difference(self.bare))
+        for start in range(0, len(new), PART):
+            part = new[start : start + PART]
+            self.bare.update(zip(part, self._each(part)))
+
+    def _learn(self) -> None:
+        """Encode the words that have a number but no ids yet."""
+        number, packed = self.number, self.packed
+        start, lines = len(packed), []
+        # Words with line ends inside are taken apart, as most of them are met once.
+        for word in [w for w in islice(number, start, None) if "\n" in w]:
+            parts = word.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
+                lines.append((number[word], number[parts[0]], parts[1:]))
+        self._learn_bare({part for _, _, parts in lines for part in parts})
+        apart = {n for n, _, _ in lines}
+        # Letters and the signs after them are separate pieces: the letters are encoded once for all signs.
+        new = list(islice(number, start, None))
+        plain = list(map(str.isalpha, new))
+        places, letters = list(compress(count(start), plain)), list(compress(new, plain))
+        signed, odd, others = [], [], []
+        for n, word in compress(enumerate(new, start), map(not_, plain)):
+            head = word.rstrip(SIGNS)
+            if head != word and head.isalpha():
+                known = len(number)
+                at = number[head]
+                if at == known:
+                    places.append(at)
+                    letters.append(head)
+                signed.append((n, at, word[len(head) :]))
+            elif n not in apart:
+                odd.append(n)
+                others.append(" " + word)
+        packed.extend([b""] * (len(number) - start))
+        for at, fresh, encode in ((places, letters, self._spaced), (odd, others, self._each)):
+            for first in range(0, len(fresh), PART):
+                for n, ids in zip(at[first : first + PART], encode(fresh[first : first + PART])):
+                    packed[n] = ids
+        signs = self.signs
+        for sign in {sign for _, _, sign in signed}.difference(signs):
+            signs[sign] = self._ids(sign)
+        for n, head, sign in signed:
+            packed[n] = packed[head] + signs[sign]
+        for n, head, parts in lines:
+            packed[n] = self.line_end.join([packed[head], *map(self.bare.__getitem__, parts)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        for known in (self.known, self.bare):
+        if len(self.packed) > MEMO:
+            self.number.clear()
+            self.number.default_factory = count().__next__
+            self.packed.clear()
+        for known in (self.bare, self.signs):
             if len(known) > MEMO:
                 known.clear()
         split = [None if _RUNS.search(text) else text.split(" ") for text in texts]
-        fresh = {w for words in split if words for w in words[1:]}.difference(self.known)
-        # Words with line ends inside are taken apart, as most of them are met once.
-        lines = {w: w.split("\n") for w in fresh if "\n" in w}
-        lines = {w: p for w, p in lines.items() if all(x and not x[0].isspace() and not x[-1].isspace() for x in p)}
-        bare = {w for words in split if words for w in words[:1]}.union(*(p[1:] for p in lines.values()))
-        self._learn((fresh - lines.keys()).union(p[0] for p in lines.values()), self.known, " ")
-        self._learn(bare, self.bare, "")
-        for word, parts in lines.items():
-            self.known[word] = self.line_end.join([self.known[parts[0]], *map(self.bare.__getitem__, parts[1:])])
-        out, get = [], self.known.__getitem__
-        for text, words in zip(texts, split):
-            out.append(self._ids(text) if words is None else self.bare[words[0]] + b"".join(map(get, words[1:])))
+        first = [words.pop(0) if words else None for words in split]
+        self._learn_bare({w for w in first if w is not None})
+        number = self.number.__getitem__
+        rows = [None if words is None else list(map(number, words)) for words in split]
+        self._learn()
+        out, get = [], self.packed.__getitem__
+        for text, head, row in zip(texts, first, rows):
+            out.append(self._ids(text) if row is None else self.bare[head] + b"".join(map(get, row)))
         return out
 
 
@@ -133,6 +204,12 @@ class TokenFile:
     def doc_id(self, index: int) -> int | None:
         return None if index < self.nulls else self.base + self.ids.select(index - self.nulls)
 
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """Document ids from ``first`` up to ``last``."""
+        nulls = min(max(self.nulls - first, 0), last - first)
+        ids = self.ids.range(first + nulls - self.nulls, last - self.nulls) if nulls < last - first else []
+        return [None] * nulls + [self.base + int(i) for i in ids]
+
     def tokens(self, first: int, last: int | None = None) -> np.ndarray:
         """Ids of the documents from ``first`` up to ``last`` (that one alone by default)."""
         start, end = self.bounds.select(first), self.bounds.select((first + 1) if last is None else last)
@@ -215,20 +292,14 @@ def read_token_files(files: DataFrame, with_ids: bool = False) -> DataFrame:
                         # Boundaries of these documents alone, by select.
                         bounds = held.bounds.range(first, last + 1)
                         block = held.tokens(first, last).astype("<u4")
-                        rows = []
-                        for i in range(first, last):
-                            at, end = bounds[i - first], bounds[i - first + 1]
-                            ids = block[at - bounds[0] : end - bounds[0]]
-                            rows.append(
-                                {
-                                    "doc_id": held.doc_id(i),
-                                    "start": base + int(at),
-                                    "n_tokens": len(ids),
-                                    "ids_crc32": zlib.crc32(ids.tobytes()),
-                                    "ids": ids.astype(np.int32) if with_ids else None,
-                                }
-                            )
-                        yield pa.RecordBatch.from_pylist(rows, TOKEN_ARROW)
+                        at = bounds - bounds[0]
+                        sums = [zlib.crc32(block[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                        ids = pa.nulls(last - first, TOKEN_ARROW.field("ids").type)
+                        if with_ids:
+                            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(block.astype(np.int32)))
+                        doc_ids = pa.array(held.doc_ids(first, last), pa.int64())
+                        columns = [doc_ids, pa.array(base + bounds[:-1]), pa.array(np.diff(bounds)), pa.array(sums, pa.int64()), ids]
+                        yield pa.RecordBatch.from_arrays(columns, schema=TOKEN_ARROW)
 
     # A number of its own, so that Spark does not merge the few names into one task.
     tasks = max(1, min(2 * files.count(), 10_000))

@@ -741,6 +741,52 @@ def test_words_at_line_ends_are_encoded_as_by_the_library():
             assert np.frombuffer(packed, encode.type).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+class Counting:
+    """A tokenizer that counts the texts it is asked to encode."""
+
+    def __init__(self, inner):
+        self.inner, self.texts = inner, 0
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            self.texts += 1 if isinstance(texts, str) else len(texts)
+            return getattr(self.inner, name)(texts, **options)
+
+        return call
+
+
+def test_words_of_letters_are_handed_to_the_library_together():
+    words = ["".join(w) for w in itertools.product("abcdé", repeat=4)]
+    text = "x " + " ".join(w + sign for w in words for sign in ("", ",", "&&&", ".%%"))
+    encode = token_files.SpacedEncoder(BYTE_BPE)
+    encode.tokenizer = Counting(encode.tokenizer)
+    [packed] = encode.encode([text])
+    want = Tokenizer.from_file(BYTE_BPE).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packed, encode.type).tolist() == want
+    assert encode.tokenizer.texts < 20
+
+
+def odd_texts(n, seed):
+    """Texts of letters, signs, spaces and special tokens in any order."""
+    rng = np.random.default_rng(seed)
+    parts = [*"abTs'.,;&%-_<|>1²", *" \n\t\u00a0\u200b\u3000\x1c", *"éÉßİſµªΣς\u0301中", " ", " ", "\n", "the", "ing", "'s", "<|endoftext|>"]
+    return ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(n)]
+
+
+def test_odd_texts_are_encoded_as_by_the_library(monkeypatch):
+    for module in (token_files, trie_bpe):
+        monkeypatch.setattr(module, "MEMO", 300)
+    spaced, words = token_files.SpacedEncoder(BYTE_BPE), trie_bpe.WordEncoder(WORD_BPE)
+    bytes_bpe, word_bpe = Tokenizer.from_file(BYTE_BPE), Tokenizer.from_file(WORD_BPE)
+    for seed in range(30):
+        texts = odd_texts(50, seed)
+        for text, packed, (n, ids, decoded) in zip(texts, spaced.encode(texts), words.encode(texts)):
+            assert np.frombuffer(packed, spaced.type).tolist() == bytes_bpe.encode(text, add_special_tokens=False).ids
+            want = word_bpe.encode(text, add_special_tokens=False).ids
+            assert (n, ids) == (len(want), " ".join(map(str, want)))
+            assert decoded == word_bpe.decode(want, skip_special_tokens=False)
+
+
 def test_files_are_read_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_DOCS", 20)
     docs = frame(spark, [f"text {i}" for i in range(200)])
