@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aislecast.catalog import QUERIES
 from aislecast.operators import columns, errors, joins, nulls, rows, scaling, shapes, statistics, totals
 from aislecast.plans import models, prepare
+from aislecast.sources import panel
 
 
 def values(frame, name):
@@ -272,3 +274,34 @@ def test_features_before_and_after_the_start(spark):
     assert [r["competition_time_month"] for r in found] == [-1, 0]
     assert {r["promo_since"] for r in found} == {dt.date(2015, 3, 2)}
     assert [r["promo_time_week"] for r in found] == [-1, -1]
+
+
+def odd_lines(spark):
+    """Line items with several a day, closed days, negative amounts and nulls."""
+    days = ["1995-12-25", "1996-12-26", "1995-04-01", "1997-04-02", "1995-01-01", "1996-05-01", "1998-10-03", "1996-02-29", None]
+    numbers = [(10, 100.5), (3, 50.0), (None, 10.0), (7, -20.0), (6, None)]
+    lines = [
+        (store, i % 5, None if quantity is None else float(quantity), price, 0.1, day)
+        for store in (1, 2, None)
+        for i, day in enumerate(days)
+        for quantity, price in numbers[: 1 + (i + (store or 0)) % 5]
+    ]
+    schema = "l_suppkey long, l_orderkey long, l_quantity double, l_extendedprice double, l_discount double, day string"
+    return spark.createDataFrame(lines, schema).selectExpr("*", "CAST(day AS TIMESTAMP) AS l_shipdate").drop("day")
+
+
+def test_sales_dealt_by_store_and_day_are_the_same_rows(spark):
+    plain, spread = (panel.sales_panel(odd_lines(spark), spread=s) for s in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, spread.collect()))
+    codes = {r["StateHoliday"] + ("" if r["Date"] is None else f"{r['Date']:%m-%d}") for r in spread.collect()}
+    assert codes == {"c12-25", "c12-26", "b04-01", "b04-02", "a01-01", "a05-01", "a10-03", "002-29", "0"}
+
+
+def test_distinct_values_groups_no_line_items_before_they_are_dealt(spark, tmp_path):
+    odd_lines(spark).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["distinct_values"](spark, str(tmp_path))
+    names = {"christmas", "easter_holiday", "public_holiday", "regular_day"}
+    assert {r["state_holiday"] for r in found.collect()} == names
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan.rpartition("REPARTITION_BY_COL")
+    assert below[1] and "Aggregate" not in below[2] and "l_orderkey" not in plan
