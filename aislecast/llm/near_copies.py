@@ -76,6 +76,11 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(total)
 
 
+def forget() -> None:
+    """Drop the hashes of words, so that a worker does not hold them between tasks."""
+    _words.clear()
+
+
 def signature(shingle_set: np.ndarray) -> np.ndarray:
     """For each coordinate the least of the set's hashes, 32 bits of it."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
@@ -89,22 +94,25 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, n, mark, sig)``: size, digest and signature of every text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
-            marks, sizes, sigs = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, width)
-                sizes.append(len(found))
-                marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                sigs.append(signature(found).tolist() if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(marks, pa.binary()),
-                    pa.array(sigs, pa.list_(pa.int32())),
-                ],
-                names=["doc_id", "n", "mark", "sig"],
-            )
+        try:
+            for batch in slices(batches, 1000):
+                marks, sizes, sigs = [], [], []
+                for text in batch.column("text").to_pylist():
+                    found = shingles(text, width)
+                    sizes.append(len(found))
+                    marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    sigs.append(signature(found).tolist() if len(found) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id"),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(marks, pa.binary()),
+                        pa.array(sigs, pa.list_(pa.int32())),
+                    ],
+                    names=["doc_id", "n", "mark", "sig"],
+                )
+        finally:
+            forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n long, mark binary, sig array<int>")
@@ -114,13 +122,16 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """``(node, set)`` of the nodes, made anew from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            sets = [shingles(text, width).view(np.int64) for text in batch.column("text").to_pylist()]
-            lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["node", "set"]
-            )
+        try:
+            for batch in slices(batches, 200):
+                sets = [shingles(text, width).view(np.int64) for text in batch.column("text").to_pylist()]
+                lengths = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node"), pa.ListArray.from_arrays(pa.array(lengths), flat)], names=["node", "set"]
+                )
+        finally:
+            forget()
 
     named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     return named.join(nodes.select("node").distinct(), "node").mapInArrow(run, "node long, set array<long>")

@@ -34,7 +34,9 @@ SAMPLE_ROWS = 3_000
 SAMPLE_CHARS = 16_000_000
 LONG = 20
 SEED = 9
-MEMO = 300_000
+# Words, and characters of them, whose scores a scorer keeps at most, but for one text.
+MEMO = 150_000
+MEMO_CHARS = 4_000_000
 # Stands for a word that repeats the one before it. It cannot be a word: it has a space.
 AGAIN = "again again"
 
@@ -74,6 +76,7 @@ class Model:
     margin: np.ndarray
     bias: float
     known: dict[str, float] = field(default_factory=dict, repr=False)
+    chars: int = field(default=0, repr=False)
 
     @classmethod
     def blank(cls, buckets: int = BUCKETS) -> Model:
@@ -90,17 +93,23 @@ class Model:
         """Probability of class 1. A text without words has that of the bias alone."""
         words = words_of(text)
         known = self.known
-        if len(known) > MEMO:
-            known.clear()
+        if len(known) > MEMO or self.chars > MEMO_CHARS:
+            self.forget()
         for word in set(words):
             if word not in known:
                 known[word] = self._of(word)
+                self.chars += len(word)
         total, count = sum(map(known.__getitem__, words)), len(words)
         if again := repeats(words):
             total, count = total + again * self._of(AGAIN), count + again
         odds = self.bias + (total / count if count else 0.0)
         return float(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
 
+    def forget(self) -> None:
+        """Drop the scores of words, so that a worker does not hold them between tasks."""
+        self.known.clear()
+        self.chars = 0
+
     def __reduce__(self):
         return Model, (self.margin, self.bias)
 
@@ -213,22 +222,28 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, carry
     The whole text is scored, and nothing else of the row. A null or empty
     text has no words and gets the score of the bias alone. Rows are only
     mapped; columns with the added names are replaced. ``carry`` names the
-    columns to keep, all by default. The model has a fixed size.
+    columns to keep, all by default; a text among them goes to the tasks once.
+    The model has a fixed size.
     """
     names = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ADDED]
-    base = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("_text"))
-    fields = [f for f in base.schema.fields if f.name != "_text"]
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    text = f"c{names.index('text')}" if "text" in names else "_text"
+    base = docs.select(*kept, *([F.col("text").alias(text)] if text == "_text" else []))
+    fields = base.schema.fields[: len(names)]
     schema = T.StructType(fields + [T.StructField(n, k) for n, k in ADDED.items()])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value
-        for batch in slices(batches, 1000):
-            scores = [scorer.score(text) for text in strings(batch, "_text")]
-            own = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
-            heads = [batch.schema.field(i) for i in range(len(fields))]
-            shape = pa.schema([*heads, pa.field("score", pa.float64()), pa.field("predicted", pa.int32())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *own], schema=shape)
+        try:
+            for batch in slices(batches, 1000):
+                scores = [scorer.score(value) for value in strings(batch, text)]
+                own = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
+                heads = [batch.schema.field(i) for i in range(len(fields))]
+                shape = pa.schema([*heads, pa.field("score", pa.float64()), pa.field("predicted", pa.int32())])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *own], schema=shape)
+        finally:
+            scorer.forget()
 
     out = base.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *ADDED)

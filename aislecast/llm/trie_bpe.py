@@ -26,8 +26,12 @@ from pyspark.sql import types as T
 
 from .text import slices, strings
 
-MEMO = 500_000
-PAIRS = 1_000_000
+# What an encoder keeps at most, but for one batch of texts: words and pieces, characters
+# of what is kept for them, checked pairs of tokens, and states. Some 100 MB in all.
+MEMO = 100_000
+MEMO_CHARS = 16_000_000
+PAIRS = 200_000
+STATES = 50_000
 ADDED = {
     "n_tokens": T.LongType(),
     "ids": T.ArrayType(T.IntegerType()),
@@ -56,12 +60,14 @@ class TrieEncoder:
         self.suffix = suffix
         inner: dict[str, int] = {}
         final: dict[str, int] = {}
-        self.atoms: dict[int, tuple[str, ...]] = {}
+        # Tokens of one character, with or without the suffix.
+        self.single: set[int] = set()
         for token, number in vocab.items():
             ends = bool(suffix) and token.endswith(suffix) and token != suffix
             stem = token[: -len(suffix)] if ends else token
             (final if ends else inner)[stem] = number
-            self.atoms[number] = (*stem[:-1], stem[-1] + suffix) if ends else tuple(stem)
+            if len(stem) == 1:
+                self.single.add(number)
         self.inner, self.final = inner, final if suffix else inner
         self.begins = {stem[:n] for stem in (*inner, *final) for n in range(1, len(stem) + 1)}
         self.vocab, self.width = vocab, max(vocab.values()) + 1
@@ -71,6 +77,7 @@ class TrieEncoder:
         self.ordered = len(self.halves) == len(merges) and all(
             self._made(x) < i for i, *pair in self.halves.values() for x in pair
         )
+        self.names = {} if self.ordered else {number: token for token, number in vocab.items()}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.states: dict[str, tuple[str, list[tuple[int, int]], list[tuple[int, int]]]] = {}
@@ -79,6 +86,13 @@ class TrieEncoder:
         """The rank of the merge that makes ``token``, -1 for a single character."""
         return self.halves[token][0] if token in self.halves else -1
 
+    def _atoms(self, token: int) -> tuple[str, ...]:
+        """The characters of ``token``, the last one with the suffix if it ends a word."""
+        name, suffix = self.names[token], self.suffix
+        if suffix and name.endswith(suffix) and name != suffix:
+            return (*name[: -len(suffix) - 1], name[-len(suffix) - 1 :])
+        return tuple(name)
+
     def by_merges(self, atoms: Iterable[str]) -> list[int]:
         """The ranked merges themselves, for a few atoms."""
         row = [self.vocab[a] for a in atoms]
@@ -101,8 +115,8 @@ class TrieEncoder:
     def fits(self, before: int, token: int) -> bool:
         """Whether ``token`` stays as it is behind ``before`` (-1: at the start of the word)."""
         if not self.ordered:
-            head = self.atoms[before] if before >= 0 else ()
-            return self.by_merges(head + self.atoms[token]) == [t for t in (before, token) if t >= 0]
+            head = self._atoms(before) if before >= 0 else ()
+            return self.by_merges(head + self._atoms(token)) == [t for t in (before, token) if t >= 0]
         return self._whole(token) and (before < 0 or self._whole(before) and self._apart(before, token, len(self.rank)))
 
     def _whole(self, token: int) -> bool:
@@ -113,7 +127,7 @@ class TrieEncoder:
                 rank, left, right = self.halves[token]
                 known = self._whole(left) and self._whole(right) and self._apart(left, right, rank)
             else:
-                known = len(self.atoms[token]) == 1
+                known = token in self.single
             self.whole[token] = known
         return known
 
@@ -174,8 +188,8 @@ class TrieEncoder:
         walk meets them. ``last`` and ``size`` hold the branch that leads to the
         present leaf; going on to the next one keeps the shared part.
         """
-        for kept in (self.pairs, self.states):
-            if len(kept) > PAIRS:
+        for kept, most in ((self.pairs, PAIRS), (self.states, STATES)):
+            if len(kept) > most:
                 kept.clear()
         found: dict[str, list[int]] = {}
         states, step, new_state = self.states, self._last, self._state
@@ -236,6 +250,7 @@ class WordEncoder:
         self.tokens: list[str] = []
         self.piece_ids: dict[str, str] = {}
         self.piece_tokens: dict[str, str] = {}
+        self.chars = 0
         # Letters of one piece in normal form, and signs that are a piece of their own behind letters.
         normal = {c: self._cut(c) for c in _LETTERS}
         self.letters = {ord(c): p[0] for c, p in normal.items() if len(p) == 1}
@@ -266,7 +281,8 @@ class WordEncoder:
         ids_of, tokens_of = self.piece_ids, self.piece_tokens
         new = set(heads).union(tails, *filter(None, cut.values())).difference(ids_of, [""])
         for piece, ids in self.encoder.encode(new).items():
-            ids_of[piece], tokens_of[piece] = self._joined(ids)
+            ids_of[piece], tokens_of[piece] = joined = self._joined(ids)
+            self.chars += len(piece) + len(joined[0]) + len(joined[1])
         for n, (head, tail) in enumerate(zip(heads, tails)):
             if tail:
                 ids, tokens = f"{ids_of[head]} {ids_of[tail]}", f"{tokens_of[head]} {tokens_of[tail]}"
@@ -278,17 +294,28 @@ class WordEncoder:
                 ids, tokens = " ".join(map(ids_of.__getitem__, cut[n])), " ".join(map(tokens_of.__getitem__, cut[n]))
             self.ids.append(ids)
             self.tokens.append(tokens)
+            self.chars += len(words[n]) + len(ids) + len(tokens)
 
     def _joined(self, ids: list[int]) -> tuple[str, str]:
         return " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
 
+    def _forget_words(self) -> None:
+        self.number.clear()
+        self.number.default_factory = count().__next__
+        for kept in (self.ids, self.tokens, self.piece_ids, self.piece_tokens):
+            kept.clear()
+        self.chars = 0
+
+    def forget(self) -> None:
+        """Drop all that was kept of texts, so that a worker does not hold it between tasks."""
+        self._forget_words()
+        self.encoder.pairs.clear()
+        self.encoder.states.clear()
+
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text: number of tokens, ids and decoded tokens, both joined by one space."""
-        if max(len(self.ids), len(self.piece_ids)) > MEMO:
-            self.number.clear()
-            self.number.default_factory = count().__next__
-            for kept in (self.ids, self.tokens, self.piece_ids, self.piece_tokens):
-                kept.clear()
+        if max(len(self.ids), len(self.piece_ids)) > MEMO or self.chars > MEMO_CHARS:
+            self._forget_words()
         number, rows = self.number.__getitem__, []
         for t in texts:
             words = [w for w in _SPACES.split(t) if w] if _SEPARATORS.search(t) else t.split()
@@ -305,7 +332,7 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One for each Python worker, kept between tasks."""
+    """One for each Python worker, kept between tasks without what it learned from texts."""
     return WordEncoder(path)
 
 
@@ -333,18 +360,21 @@ def encode_and_decode(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        for batch in slices(batches, 500):
-            done = encoder.encode(strings(batch, "_text"))
-            own = [
-                pa.array([n for n, _, _ in done], pa.int64()),
-                pa.array([list(map(int, i.split())) if with_ids else None for _, i, _ in done], pa.list_(pa.int32())),
-                pa.array([sha256(i) for _, i, _ in done], pa.string()),
-                pa.array([sha256(d) for _, _, d in done], pa.string()),
-            ]
-            arrays = batch.columns[: len(fields)]
-            heads = [batch.schema.field(i) for i in range(len(fields))]
-            names_own = [pa.field(n, a.type) for n, a in zip(ADDED, own)]
-            yield pa.RecordBatch.from_arrays([*arrays, *own], schema=pa.schema(heads + names_own))
+        try:
+            for batch in slices(batches, 500):
+                done = encoder.encode(strings(batch, "_text"))
+                own = [
+                    pa.array([n for n, _, _ in done], pa.int64()),
+                    pa.array([list(map(int, i.split())) if with_ids else None for _, i, _ in done], pa.list_(pa.int32())),
+                    pa.array([sha256(i) for _, i, _ in done], pa.string()),
+                    pa.array([sha256(d) for _, _, d in done], pa.string()),
+                ]
+                arrays = batch.columns[: len(fields)]
+                heads = [batch.schema.field(i) for i in range(len(fields))]
+                names_own = [pa.field(n, a.type) for n, a in zip(ADDED, own)]
+                yield pa.RecordBatch.from_arrays([*arrays, *own], schema=pa.schema(heads + names_own))
+        finally:
+            encoder.forget()
 
     out = base.mapInArrow(encode, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *ADDED)

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -787,6 +788,44 @@ def test_odd_texts_are_encoded_as_by_the_library(monkeypatch):
             assert decoded == word_bpe.decode(want, skip_special_tokens=False)
 
 
+def test_workers_keep_nothing_of_texts_between_tasks(spark):
+    docs = frame(spark, [f"wort{i} text{i} gone{i} by{i}" for i in range(200)])
+    trie_bpe.encode_and_decode(docs, WORD_BPE).collect()
+    near_copies._sets(docs, 2).collect()
+
+    def kept(batches):
+        encoder = trie_bpe.word_encoder(WORD_BPE)
+        sizes = [len(x) for x in (encoder.ids, encoder.number, encoder.piece_ids, encoder.encoder.pairs, near_copies._words)]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(sizes)] * batch.num_rows, pa.int64())], names=["n"])
+
+    assert {r["n"] for r in spark.range(32, numPartitions=16).mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_memos_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(trie_bpe, "MEMO_CHARS", 5000)
+    monkeypatch.setattr(quality, "MEMO_CHARS", 500)
+    words, library = trie_bpe.WordEncoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    model = quality.Model(np.linspace(-1, 1, 64).astype(np.float32), 0.1)
+    for i in range(30):
+        text = f"{i}" + "long" * 60 + f" and again and {i}"
+        [(n, ids, _)] = words.encode([text])
+        want = library.encode(text, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want)))
+        assert model.score(text) == quality.Model(model.margin, model.bias).score(text)
+        assert len(words.ids) < 25 and sum(map(len, model.known)) < 1000
+
+
+def test_a_carried_text_is_sent_once(spark):
+    docs = frame(spark, ["a b c", None, ""])
+    model = quality.Model(np.linspace(-1, 1, 64).astype(np.float32), 0.1)
+    rows = quality.score_documents(docs, model, carry=["text", "doc_id"])
+    assert "_text" not in rows._jdf.queryExecution().analyzed().toString()
+    alone = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, model, carry=["doc_id"]).collect()}
+    found = {r["doc_id"]: (r["text"], r["score"]) for r in rows.collect()}
+    assert found == {i: (t, alone[i]) for i, t in enumerate(["a b c", None, ""])}
+
+
 def test_files_are_read_by_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_DOCS", 20)
     docs = frame(spark, [f"text {i}" for i in range(200)])
