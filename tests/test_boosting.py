@@ -202,3 +202,39 @@ def test_feature_selection_takes_the_bins_once(table, monkeypatch):
 
 
 boosting_edges = boosting.bin_edges
+
+
+def test_models_beyond_a_bound_are_fitted_in_groups(table, monkeypatch):
+    """Blocks hold the predictions of few models at a time, and every model is what it is alone."""
+    seen, plain = [], boosting.grow_together
+
+    def watched(blocks, count, sizes, growing, finish_rows):
+        seen.append(max(len(r["base"]) // len(r["target"]) for r in blocks.select("base", "target").collect()))
+        return plain(blocks, count, sizes, growing, finish_rows)
+
+    makers = [boosting.BlockBoosting(n, 0.3, 3, 0.8, 0.5, base=b, features=NAMES, finish_rows=80) for n, b in ((3, 0.5), (1, 0.0), (2, 1.0))]
+    alone = [predicted(m.fit(table), table) for m in makers]
+    monkeypatch.setattr(boosting, "HELD_BYTES", 2 * 8 * boosting.BLOCK_ROWS)
+    monkeypatch.setattr(boosting, "grow_together", watched)
+    found = boosting.fit_in_step(table, makers)
+    assert max(seen) == 2 and [len(m.trees) for m in found] == [3, 1, 2]
+    assert [predicted(m, table) for m in found] == alone
+
+
+def test_levels_in_parts_and_features_counted_together(table, monkeypatch):
+    """Passes with few histograms each, and joint histograms of large blocks, give the same trees."""
+    forest = boosting.BlockForest(5, 4, features=NAMES, finish_rows=0)
+    whole = predicted(forest.fit(table), table)
+    monkeypatch.setattr(boosting, "LEVEL_BYTES", 1)
+    assert predicted(forest.fit(table), table) == whole
+    x, y = made(9_000, 3)
+    edges = [np.quantile(x[:, 0], np.arange(1, 30) / 30), np.arange(4.0), np.quantile(x[:, 2], [0.2, 0.6]), np.array([0.5])]
+    codes, sizes = boosting.coded(x, edges), boosting.bin_counts(edges)
+    row = {"block": 0, "codes": codes.tobytes(), "target": y.tobytes(), "days": np.zeros(9_000, np.int32).tobytes(), "base": np.zeros(9_000).tobytes()}
+    block, at = boosting.Block(row, 4), np.arange(9_000) % 3
+    tables = [boosting.Histograms(sizes, [0, 2, 3], 3, joint) for joint in (False, True)]
+    for t in tables:
+        t.add(block, np.arange(9_000), at, y, None)
+    assert [len(t.groups) for t in tables] == [3, 1]
+    assert np.allclose(tables[0].of_features(), tables[1].of_features(), rtol=1e-12)
+    assert tables[1].of_features().shape == (3, 2, 30 + 3 + 2)
