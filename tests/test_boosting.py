@@ -238,3 +238,30 @@ def test_levels_in_parts_and_features_counted_together(table, monkeypatch):
     assert [len(t.groups) for t in tables] == [3, 1]
     assert np.allclose(tables[0].of_features(), tables[1].of_features(), rtol=1e-12)
     assert tables[1].of_features().shape == (3, 2, 30 + 3 + 2)
+
+
+def test_selection_of_a_large_table_makes_blocks_once(table, monkeypatch):
+    """Bins are shuffled inside blocks; the rows are not dealt anew for each round."""
+    from aislecast.plans import selection
+
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(boosting, "PARTS", 3)
+    monkeypatch.setattr(selection, "with_shadows", lambda *_: pytest.fail("rows were dealt anew"))
+    made_blocks, plain = [], boosting.to_blocks
+    for module in (boosting, selection):
+        monkeypatch.setattr(module, "to_blocks", lambda *a, **k: made_blocks.append(plain(*a, **k)) or made_blocks[-1])
+    found = {r["feature"]: r for r in selection.boruta_select(table, list(NAMES), "sales", max_iter=8, depth=4).collect()}
+    assert len(made_blocks) == 1 and found["a"]["decision"] == "accepted"
+    assert found["c"]["decision"] != "accepted" and found["c"]["hits"] < found["a"]["hits"] == found["a"]["trials"]
+    one = made_blocks[0].collect()
+    both = {r["block"]: np.frombuffer(r["codes"], np.uint8) for r in selection.shadow_blocks(made_blocks[0], NAMES, ("a", "c"), ("b", "a"), 5).collect()}
+    for row in one:
+        codes, new = np.frombuffer(row["codes"], np.uint8).reshape(4, -1), both[row["block"]].reshape(4, -1)
+        assert np.array_equal(new[:2], codes[[0, 2]])
+        assert np.array_equal(np.sort(new[2:]), np.sort(codes[[1, 0]]))
+
+
+def test_poisson_numbers_by_table():
+    drawn = np.bincount(boosting.poisson(np.random.default_rng(1), 2_000_000), minlength=9) / 2_000_000
+    wanted = np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040])
+    assert np.allclose(drawn[:8], wanted, atol=5 * np.sqrt(wanted / 2_000_000))
