@@ -265,3 +265,37 @@ def test_poisson_numbers_by_table():
     drawn = np.bincount(boosting.poisson(np.random.default_rng(1), 2_000_000), minlength=9) / 2_000_000
     wanted = np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040])
     assert np.allclose(drawn[:8], wanted, atol=5 * np.sqrt(wanted / 2_000_000))
+
+
+def test_a_large_forest_stays_in_files_and_predicts_the_same(spark, table, monkeypatch):
+    """No lower node comes to the driver; predictions, importances and the saved copy are those of the trees in memory."""
+    forest = boosting.BlockForest(7, features=NAMES, finish_rows=100)
+    whole = forest.fit(table)
+    monkeypatch.setattr(boosting, "MOST_NODES", 100)
+    monkeypatch.setattr(boosting, "END_ROWS", 1_500)
+    stored = forest.fit(table)
+    assert isinstance(stored, boosting.StoredForest) and not isinstance(whole, boosting.StoredForest)
+    upper, all_nodes = (sum(len(t.feature) for t in m.trees) for m in (stored, whole))
+    below = sum(len(r["feature"]) // 2 - 1 for r in stored.parts.collect())
+    assert upper < all_nodes / 4 and upper + below == all_nodes
+    assert predicted(stored, table) == predicted(whole, table)
+    assert np.allclose(stored.importances(), whole.importances(), rtol=1e-12)
+    twice = stored.transform(table.union(table), "p")
+    assert twice.columns == [*table.columns, "p"] and twice.count() == 1_000
+    path = work_path(spark, "forest")
+    save_model(stored, path)
+    assert predicted(load_model(path), table) == predicted(whole, table)
+
+
+def test_plans_of_deep_levels_stay_short(table, monkeypatch):
+    """Each level reads the histograms of the last one; their plans are not nested without end."""
+    lengths, plain = [], boosting._splits
+
+    def watched(*args):
+        found = plain(*args)
+        lengths.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+        return found
+
+    monkeypatch.setattr(boosting, "_splits", watched)
+    boosting.BlockForest(2, 9, features=NAMES, finish_rows=0).fit(table)
+    assert len(lengths) >= 8 and max(lengths[5:]) < 2 * max(lengths[:4])
