@@ -299,3 +299,21 @@ def test_plans_of_deep_levels_stay_short(table, monkeypatch):
     monkeypatch.setattr(boosting, "_splits", watched)
     boosting.BlockForest(2, 9, features=NAMES, finish_rows=0).fit(table)
     assert len(lengths) >= 8 and max(lengths[5:]) < 2 * max(lengths[:4])
+
+
+def test_trees_without_a_split_do_not_renew_the_blocks(spark, monkeypatch):
+    """They add one number to all rows, and the model is what it is with blocks renewed in each round."""
+    importable_by_workers(spark)
+    x, y = made(400, 2)
+    rows = [(*map(float, r), 9 + 0.5 * float(t)) for r, t in zip(x, y)]
+    far = spark.createDataFrame(rows, "a double, b double, c double, d double, sales double").repartition(2)
+    renewed, plain = [], boosting._renewed
+    monkeypatch.setattr(boosting, "_renewed", lambda *a: renewed.append(a) or plain(*a))
+    makers = [boosting.BlockBoosting(8, 0.3, 3, 0.8, features=NAMES, l2=l2, finish_rows=50) for l2 in (40.0, 20.0)]
+    found = boosting.fit_in_step(far, makers)
+    single = [all(len(m.trees[k].feature) == 1 for m in found) for k in range(8)]
+    assert any(single[:7]) and not all(single) and len(renewed) == 7 - sum(single[:7])
+    monkeypatch.setattr(boosting, "RENEW", 1)
+    again = boosting.fit_in_step(far, makers)
+    assert len(renewed) == 14 - sum(single[:7])
+    assert [predicted(m, far) for m in again] == [predicted(m, far) for m in found]
